@@ -1,9 +1,9 @@
 """Benchmark decontamination by a prefix-filtered set join, in DataFrame functions alone.
 
-A window (ten words of an item, or all of a shorter item) occurs in a document only if each of its shingles does, so one
-shingle is a sufficient prefix: the rarest one over all documents, which is counted first.  Documents are exploded into
-shingle keys and joined with the windows' prefix keys; position and length bounds say where the window would have to lie, and
-the words there are compared exactly.  The document side is never shuffled: the windows are broadcast, in slices of a checked
+A window (ten words of an item, or all of a shorter item) is contained in a document only if each of its one-word shingles
+is, so with these ordered by rarity over all documents, which is counted first, a prefix of one is all that is necessary.
+Documents are exploded into words and joined with the windows' prefixes; position and length bounds say where the window
+would have to lie, and the words there are compared exactly.  The document side is never shuffled: the windows are broadcast, in slices of a checked
 size, however many they are.
 """
 
@@ -17,11 +17,10 @@ from pyspark.sql import functions as F
 from .common import only, stored
 
 WINDOW = 10
-SHINGLE = 3
 #: Distinct windows in one broadcast; more windows make more slices, and one pass over the documents for each.
 SLICE = 100_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BASE = 0  # the prefix key of no window: each document keeps one row
+BASE = ""  # no word, and the prefix of no window: each document keeps one row
 
 
 def words(text: Column) -> Column:
@@ -29,19 +28,7 @@ def words(text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     lower = F.when(F.length(t) == F.octet_length(t), F.lower(t)).otherwise(F.translate(t, upper, upper.lower()))
-    return F.filter(F.split(lower, SEPARATORS), lambda w: w != "")
-
-
-def shingles(w: Column, size: int) -> Column:
-    """Keys of ``size`` (1 to 3) consecutive words, by position."""
-    n = F.size(w)
-    if size == 1:
-        return F.transform(w, lambda a: F.xxhash64(a))
-    tail = F.slice(w, 2, n)
-    two = F.zip_with(F.slice(w, 1, F.greatest(n - 1, F.lit(0))), tail, lambda a, b: F.xxhash64(a, b))
-    if size == 2:
-        return two
-    return F.zip_with(F.slice(two, 1, F.greatest(n - 2, F.lit(0))), F.slice(w, 3, n), lambda a, b: F.xxhash64(a, b))
+    return F.array_remove(F.split(lower, SEPARATORS), "")
 
 
 def windows(items: DataFrame) -> DataFrame:
@@ -52,14 +39,6 @@ def windows(items: DataFrame) -> DataFrame:
     return each.groupBy("win", "size").agg(F.collect_set("item_id").alias("ids"))
 
 
-def _exploded(docs: DataFrame, sizes: list[int]) -> DataFrame:
-    """A row for each shingle of a document, and one with the key BASE; ``docs``: uid columns and w."""
-    keys = F.lit(None)
-    entry = lambda s: F.zip_with(shingles(F.col("w"), s), F.sequence(F.lit(0), F.size("w")), lambda k, i: F.struct(k.alias("key"), i.alias("pos")))
-    keys = F.concat(F.array(F.struct(F.lit(BASE).cast("long").alias("key"), F.lit(-1).alias("pos"))), *(F.filter(entry(s), lambda e: e["key"].isNotNull()) for s in sizes))
-    return docs.withColumn("keys", keys)
-
-
 def contaminated(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_hit, items array<string> sorted) for every row of ``docs``.
 
@@ -71,34 +50,30 @@ def contaminated(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", d
     one = d.select("doc", F.xxhash64("text").alias("h"), words(F.col("text")).alias("w")).select("doc", "h", "w", F.size("w").alias("n"))
     b = only(items, **{item_id: "item_id", item_text: "text"}).select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w"))
     wins = stored(windows(b))
-    sizes = sorted({min(r["size"], SHINGLE) for r in wins.select(F.least("size", F.lit(SHINGLE)).alias("size")).distinct().collect()}) or [SHINGLE]
     slices = max(1, math.ceil(wins.count() / SLICE))
-    # Rarity over all documents, for the shingles of the windows only.
-    own = lambda s: shingles(F.col("win"), s)
-    by_size = F.when(F.col("size") >= 3, own(3)).when(F.col("size") == 2, own(2)).otherwise(own(1))
-    placed = wins.select("win", "size", "ids", F.posexplode(by_size).alias("at", "key"))
-    prefix = None
-    exploded = _exploded(one, sizes)
+    placed = wins.select("win", "size", "ids", F.posexplode("win").alias("at", "key"))
     parts = [placed.where(F.pmod(F.xxhash64("win"), F.lit(slices)) == i) for i in range(slices)]
+    # The outer forms of explode: for the others the optimizer infers a filter on the array's size and cuts the text twice.
+    prefix = None
     for part in parts:
         wanted = F.broadcast(part.select(F.col("key").alias("k")).distinct())
-        flat = exploded.select(F.explode("keys").alias("e")).select("e.key")
+        flat = one.select(F.explode_outer("w").alias("key"))
         counted = flat.join(wanted, flat.key == wanted.k, "left_semi").groupBy("key").count()
         rank = Window.partitionBy("win").orderBy(F.coalesce("count", F.lit(0)), "at")
         best = part.join(counted, "key", "left").withColumn("r", F.row_number().over(rank)).where("r = 1").select("key", "at", "win", "size", "ids")
         prefix = best if prefix is None else prefix.unionByName(best)
     prefix = stored(prefix)
-    hits = None
     base = prefix.sparkSession.createDataFrame([(BASE, 0, None, 0, None)], prefix.schema)
+    hits = None
     for i in range(slices):
         mine = prefix.where(F.pmod(F.xxhash64("win"), F.lit(slices)) == i)
         side = F.broadcast(mine.unionByName(base) if i == 0 else mine).withColumnRenamed("key", "k")
-        flat = exploded.select("doc", "h", "n", "w", F.explode("keys").alias("e")).select("doc", "h", "n", "w", F.col("e.key").alias("key"), F.col("e.pos").alias("pos"))
+        flat = one.select("doc", "h", "n", "w", F.posexplode_outer(F.concat("w", F.array(F.lit(BASE)))).alias("pos", "key"))
         start = F.col("pos") - F.col("at")
         fits = (start >= 0) & (start + F.col("size") <= F.col("n"))  # position and length bounds
         same = F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("size")) == F.col("win")
-        found = flat.join(side, flat.key == side.k).where(((F.col("pos") < 0) & F.col("win").isNull()) | (fits & same))
-        found = found.select("doc", "h", "n", F.when(F.col("pos") >= 0, start).alias("start"), "size", "ids")
+        found = flat.join(side, flat.key == side.k).where(F.col("win").isNull() | (fits & same))
+        found = found.select("doc", "h", "n", F.when(F.col("win").isNotNull(), start).alias("start"), "size", "ids")
         hits = found if hits is None else hits.unionByName(found)
     at = F.when(F.col("start").isNotNull(), F.struct("start", "size"))
     whole = hits.groupBy("doc", "h", "n").agg(F.count(F.when(F.col("start").isNull(), 1)).alias("copies"), F.collect_set(at).alias("at"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("ids"))
