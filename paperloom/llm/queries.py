@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, topk
+from . import bpe, chat, decontam, jaccard, topk
 from .common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -23,6 +23,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.summaries(chat.conversations(c.unionByName(own)))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -34,6 +38,7 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_chat_format": op4_chat_format,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op7_decontaminate": op7_decontaminate,
     "op8_exact_topk": op8_exact_topk,
 }
@@ -57,6 +62,17 @@ select conv_id, count(*) as n_turns,
   sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
   coalesce(sum(upto) filter (role = 'assistant'), 0)::bigint as formatted_chars
 from prefixed group by conv_id""",
+    "op5_ngram_jaccard": r"""
+with recursive d as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents
+), g as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) end as s from d
+), e as (select doc_id, unnest(s) as x from g
+), l as (
+  select p.doc_id as a, q.doc_id as b from e p join e q on p.x = q.x and p.doc_id <> q.doc_id join g gp on gp.doc_id = p.doc_id join g gq on gq.doc_id = q.doc_id
+  group by p.doc_id, q.doc_id, len(gp.s), len(gq.s) having 100 * count(*) >= 90 * (len(gp.s) + len(gq.s) - count(*))
+), r as (select doc_id as a, doc_id as b from d union select r.a, l.b from r join l on l.a = r.b)
+select g.doc_id, len(g.s)::bigint as n_shingles, min(r.b) as component_id from g join r on r.a = g.doc_id group by g.doc_id, len(g.s)""",
     "op8_exact_topk": """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as w from embeddings
