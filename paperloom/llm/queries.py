@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, jaccard, topk
+from . import bpe, chat, decontam, jaccard, linedup, topk
 from .common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -27,6 +27,10 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -39,6 +43,7 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_chat_format": op4_chat_format,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_line_dedup": op6_line_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_exact_topk": op8_exact_topk,
 }
