@@ -3,15 +3,33 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, jaccard, linedup, topk
+from . import bpe, chat, decontam, htmlmain, jaccard, licenses, linedup, quality, topk, toxicity
 from .common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
 OK = "</s>[INST] ok [/INST]"
 
 
+def remainder(doc_id: str, by: int) -> Column:
+    """crc32 of the id as text, modulo ``by``; -1 for a null id."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % by, F.lit(-1))
+
+
+def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), remainder("doc_id", 4) == 2
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(~held))
+    out = quality.score(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op2_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"), "n_matches", "permissive")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(RANKS)
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
@@ -39,18 +57,35 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmain.extract(table(spark, sf_dir, "pages"))
+
+
+def op10_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), remainder("doc_id", 3) == 1
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held))
+    out = toxicity.score(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES = {
+    "op1_quality_gam": op1_quality_gam,
+    "op2_license_rules": op2_license_rules,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_chat_format": op4_chat_format,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_line_dedup": op6_line_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_exact_topk": op8_exact_topk,
+    "op9_html_main_text": op9_html_main_text,
+    "op10_toxicity_grammar": op10_toxicity_grammar,
 }
 
 _CONTROL = ["<|", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "<SYS>>", "</SYS>>", "[INST]", "[/INST]", "\\"]
 _ADDED = " + ".join(f"(length(x) - length(replace(x, '{c}', ''))) // {len(c)}" for c in _CONTROL)
 
+_SENTENCES = ", ".join(f"('{s}', '{i}')" for i, s in licenses.SENTENCES.items())
+
 ORACLES = {
     "op4_chat_format": f"""
 with c as (

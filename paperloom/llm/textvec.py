@@ -74,6 +74,11 @@ def words(body: np.ndarray, offsets: np.ndarray, separators: np.ndarray = WHITE,
     after = np.zeros(n, dtype=bool)
     after[:-1] = inside[1:]
     stops = np.flatnonzero(inside & (~after | first[1:])) + 1
+    return starts, stops, span_keys(body, starts, stops), np.diff(np.searchsorted(starts, offsets))
+
+
+def span_keys(body: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Keys of spans of bytes; starts and stops must both rise."""
     keys = np.empty(len(starts), dtype=np.uint64)
     a = 0
     while a < len(starts):
@@ -84,8 +89,7 @@ def words(body: np.ndarray, offsets: np.ndarray, separators: np.ndarray = WHITE,
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[body[lo:hi]] * up[: hi - lo], dtype=np.uint64)])
             keys[a:b] = mix((sums[stops[a:b] - lo] - sums[starts[a:b] - lo]) * down[starts[a:b] - lo])
         a = b
-    counts = np.diff(np.searchsorted(starts, offsets))
-    return starts, stops, keys, counts
+    return keys
 
 
 def shingle_sets(texts: pa.Array, k: int, separators: np.ndarray = WHITE):
