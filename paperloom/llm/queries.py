@@ -84,9 +84,41 @@ QUERIES = {
 _CONTROL = ["<|", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "<SYS>>", "</SYS>>", "[INST]", "[/INST]", "\\"]
 _ADDED = " + ".join(f"(length(x) - length(replace(x, '{c}', ''))) // {len(c)}" for c in _CONTROL)
 
-_SENTENCES = ", ".join(f"('{s}', '{i}')" for i, s in licenses.SENTENCES.items())
+
+
+def _license_sql() -> str:
+    """The rules of ``licenses`` as SQL: nested EXISTS for what follows, set differences for what longer rules have used."""
+    gap, rules = licenses.GAP, licenses.RULES
+    known = ", ".join(f"('{s}', '{i}')" for i, s in licenses.SENTENCES.items())
+
+    def follow(ids: list[str], k: int) -> str:
+        if k == len(ids):
+            return "true"
+        return f"exists (select 1 from seq s{k} where s{k}.doc_id = s0.doc_id and s{k}.id = '{ids[k]}' and s{k}.p > s{k - 1}.p and s{k}.p <= s{k - 1}.p + {gap} and {follow(ids, k + 1)})"
+
+    full = [f"f{no} as (select s0.doc_id, s0.p from seq s0 where s0.id = '{ids[0]}' and {follow(ids, 1)})" for no, (_, _, ids) in enumerate(rules)]
+    used = []
+    for no, (name, allows, ids) in enumerate(rules):
+        firsts = [k for k in range(no) if rules[k][2][0] == ids[0]]
+        inside = [k for k in range(no) if ids[0] in rules[k][2][1:]]
+        without = "".join(f" and not exists (select 1 from f{k} where f{k}.doc_id = f{no}.doc_id and f{k}.p = f{no}.p)" for k in firsts)
+        without += "".join(f" and not exists (select 1 from f{k} where f{k}.doc_id = f{no}.doc_id and f{no}.p > f{k}.p and f{no}.p <= f{k}.p + {gap})" for k in inside)
+        used.append(f"select doc_id, '{name}' as name, {str(allows).lower()} as allows from f{no} where true{without}")
+    return rf"""
+with t as (
+  select doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '\.(\s|$)', chr(10) || '\1', 'g'), '[\n;!?]+'), lambda s: trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))), lambda s: s <> '') as s from documents
+), placed as (select doc_id, unnest(s) as s, unnest(range(len(s))) as p from t
+), known(s, id) as (values {known}
+), seq as materialized (select doc_id, p, id from placed join known using (s)
+), {", ".join(full)}, used as ({" union all ".join(used)}
+), u as (select doc_id, count(*) as n, string_agg(distinct name, ',' order by name) as names, bool_and(allows) as allows from used group by doc_id
+), i as (select doc_id, string_agg(id, ',' order by p) as ids from seq group by doc_id)
+select d.doc_id, coalesce(ids, '') as sentence_ids, coalesce(names, '') as licenses, coalesce(n, 0)::bigint as n_matches, allows as permissive
+from documents d left join u using (doc_id) left join i using (doc_id)"""
+
 
 ORACLES = {
+    "op2_license_rules": _license_sql(),
     "op4_chat_format": f"""
 with c as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
