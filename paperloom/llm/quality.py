@@ -191,8 +191,8 @@ def fit(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str =
 
     kind = docs.schema["doc"].dataType.simpleString()
     got = docs.select("doc", "y", "text").mapInArrow(run, f"doc {kind}, y int, x array<double>").toPandas().head(2 * rows)
-    got = got.assign(key=got["x"].map(lambda v: v.tobytes())).sort_values(["doc", "key"]).head(rows)
-    x = np.vstack(got["x"].to_list()) if len(got) else np.zeros((0, len(FEATURES)))
+    got = got.assign(key=got["x"].map(lambda v: np.asarray(v).tobytes())).sort_values(["doc", "key"]).head(rows)
+    x = np.vstack([np.asarray(v) for v in got["x"]]) if len(got) else np.zeros((0, len(FEATURES)))
     return fit_features(x, got["y"].to_numpy() > 0)
 
 
