@@ -7,7 +7,8 @@ subsets of every size that an intersection can have.  Two sets with a subset of
 at least c; within a key, whatever links at all links with the smallest set, so a star of links says everything.
 
 Large sets: inverted lists over the necessary prefix of each set in one global order (rare first).  In a list, each set is
-held against its neighbour by size and against the list's first; exact intersections decide.  What these links join is one
+held against its neighbour by size and against the list's first; a bound from histograms of the members' leading bits drops
+most other pairs, and exact intersections decide.  What these links join is one
 component; in lists that still hold several, every member outside the largest component is held against all members of other
 components.  So every linked pair is found, or is already joined, without all pairs of a group of near copies.
 
@@ -35,6 +36,10 @@ from .graph import components
 BLOCK, FREQUENT, HINTS = 4_000_000, 12, 100_000
 #: What holding two large sets against each other costs, in enumerated subsets; sets of more elements are never enumerated.
 CHECK_COST, SMALL_LIMIT = 24, 39
+#: Leading bits of the bins of a set's histogram, and the size from which there are more bins.
+COARSE, FINE, MANY = 6, 9, 2000
+#: Bins of the small histograms that bound the intersections of pairs inside a join.
+SKETCH = 32
 #: Members of one salted part of a list.
 PART = 500
 #: Classes up to which those with candidates are broadcast to find their texts.
@@ -56,6 +61,24 @@ def least_common(size: int, num: int, den: int) -> int:
     return -(-num * size // den)
 
 
+def histogram(one: np.ndarray) -> bytes:
+    """How many members have each leading bits; large sets get more bins."""
+    bits = COARSE if len(one) < MANY else FINE
+    return np.bincount((one >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32).tobytes()
+
+
+def sketch(hist: bytes) -> np.ndarray:
+    """A histogram folded to SKETCH bins."""
+    return np.frombuffer(hist, dtype=np.uint32).reshape(SKETCH, -1).sum(axis=1).astype(np.int32)
+
+
+def most_common(x: bytes, y: bytes) -> int:
+    """No intersection is larger: what two histograms have in common."""
+    p, q = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)
+    n = min(len(p), len(q))
+    return int(np.minimum(p.reshape(n, -1).sum(axis=1), q.reshape(n, -1).sum(axis=1)).sum())
+
+
 def subsets(size: int, num: int, den: int) -> int:
     return sum(math.comb(size, d) for d in range(size - least_common(size, num, den) + 1))
 
@@ -84,22 +107,23 @@ def _surveyed(k: int, separators: np.ndarray):
             m = int(many.sum())
             return out(pa.nulls(m, kind), np.zeros(m), np.zeros(m), found[many].astype(np.int64), n[many])
 
-        def out(doc, s, node, hint, n) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([doc, pa.array(s, pa.int64()), pa.array(node, pa.int64()), pa.array(hint, pa.int64()), pa.array(n, pa.int64())], ["doc", "s", "node", "hint", "n"])
+        def out(doc, s, node, hint, n, hist=None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([doc, pa.array(s, pa.int64()), pa.array(node, pa.int64()), pa.array(hint, pa.int64()), pa.array(n, pa.int64()), pa.array(hist or [None] * len(doc), pa.binary()), pa.array([sketch(h) for h in hist] if hist else [None] * len(doc), pa.list_(pa.int32()))], ["doc", "s", "node", "hint", "n", "hist", "sketch"])
 
         kind = pa.int64()
         for batch in batches:
             kind = batch.column("doc").type
-            s, node = [], []
+            s, node, hist = [], [], []
             for one in textvec.shingle_sets(batch.column("text"), k, separators):
                 s.append(len(one))
+                hist.append(histogram(one))
                 node.append(as_long(class_key(one)))
                 if node[-1] not in seen:
                     seen.add(node[-1])
                     held.append(one)
                     size += len(one)
             zero = np.zeros(len(s), dtype=np.int64)
-            yield out(batch.column("doc"), s, node, zero, zero)
+            yield out(batch.column("doc"), s, node, zero, zero, hist)
             if size >= BLOCK:
                 yield frequent()
                 held, size, seen = [], 0, set()
@@ -148,6 +172,20 @@ def _keys(k: int, separators: np.ndarray, num: int, den: int, limit: int, hint_k
     return run
 
 
+def _possible(num: int, den: int):
+    """Pairs with histograms x, y -> those that can be linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y, p, q in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), batch.column("xs").to_pylist(), batch.column("ys").to_pylist(), strict=True):
+                common = most_common(x, y)
+                keep.append(den * common >= num * (p + q - common))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _linked(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,13 +214,15 @@ def link(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, k: int =
     tune(spark)
     d = only(df, **{doc_id: "doc", text: "text"})
     kind = d.schema["doc"].dataType.simpleString()
-    seen = stored(d.mapInArrow(_surveyed(k, separators), f"doc {kind}, s long, node long, hint long, n long"))
-    docs = seen.where("n = 0").select("doc", "s", "node")
+    seen = stored(d.mapInArrow(_surveyed(k, separators), f"doc {kind}, s long, node long, hint long, n long, hist binary, sketch array<int>"))
+    docs = seen.where("n = 0").select("doc", "s", "node", "hist", "sketch")
     hints = seen.where("n > 0").groupBy("hint").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "hint").limit(HINTS).toPandas().sort_values("hint", key=lambda x: x.astype("int64").to_numpy().astype(np.uint64))
     sizes = {r["s"]: r["n"] for r in docs.where(F.col("s").between(1, SMALL_LIMIT)).groupBy("s").agg(F.countDistinct("node").alias("n")).collect()}
     limit = boundary(sizes, num, den)
     make = _keys(k, separators, num, den, limit, hints["hint"].to_numpy().astype(np.int64).astype(np.uint64), hints["n"].to_numpy())
-    keys = stored(d.select("text").mapInArrow(make, "key long, c long, salt long, node long, s long").distinct())
+    raw = stored(d.select("text").mapInArrow(make, "key long, c long, salt long, node long, s long"))
+    several = raw.groupBy("key", "c").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p <> q")
+    keys = stored(raw.join(several, ["key", "c"], "left_semi").distinct())
 
     # Small sets: stars around the smallest member of each key.
     small = keys.where("c > 0")
@@ -194,16 +234,19 @@ def link(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, k: int =
     lists = keys.where("c = 0").select("key", "salt", "node", "s")
     by_part = Window.partitionBy("key", "salt").orderBy("s", "node")
     placed = lists.select("*", F.lag(F.struct("node", "s")).over(by_part).alias("before"), F.first(F.struct("node", "s")).over(by_part).alias("first"))
-    heads = placed.where(F.col("before").isNull()).select("key", "node", "s")
+    heads = lists.groupBy("key", "salt").agg(F.min(F.struct("s", "node")).alias("h")).select("key", "h.node", "h.s")
     by_key = Window.partitionBy("key").orderBy("s", "node")
     heads = heads.select("node", "s", F.lag(F.struct("node", "s")).over(by_key).alias("before"), F.first(F.struct("node", "s")).over(by_key).alias("first"))
     near = lambda p, q: den * F.least(p, q) >= num * F.greatest(p, q)
-    pair = lambda t, c: t.where(F.col(c).isNotNull() & (F.col(f"{c}.node") != F.col("node")) & near(F.col(f"{c}.s"), F.col("s")) & ((F.col("s") > limit) | (F.col(f"{c}.s") > limit))).select(F.least("node", f"{c}.node").alias("a"), F.greatest("node", f"{c}.node").alias("b"))
-    first = pair(placed, "before").union(pair(placed, "first")).union(pair(heads, "before")).union(pair(heads, "first"))
+    other = placed.select("node", "s", "before", "first").union(heads).select("node", "s", F.explode(F.array("before", "first")).alias("o")).where("o is not null and o.node <> node")
+    first = other.where(near(F.col("o.s"), F.col("s")) & ((F.col("s") > limit) | (F.col("o.s") > limit))).select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b"))
     tried = stored(first.distinct())
-    classes = docs.where("s > 0").groupBy("node").agg(F.min("doc").alias("least"), F.first("s").alias("s"))
+    classes = docs.where("s > 0").groupBy("node").agg(F.min("doc").alias("least"), F.first("s").alias("s"), F.first("hist").alias("hist"), F.first("sketch").alias("sketch"))
 
     def verified(pairs: DataFrame) -> DataFrame:
+        x = classes.select(F.col("node").alias("a"), F.col("hist").alias("x"), F.col("s").alias("xs"))
+        y = classes.select(F.col("node").alias("b"), F.col("hist").alias("y"), F.col("s").alias("ys"))
+        pairs = stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "xs", "ys").mapInArrow(_possible(num, den), "a long, b long"))
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         ids = stored(wanted.join(classes, "node").select("node", F.col("least").alias("doc")))
         side = F.broadcast(ids) if ids.count() <= BROADCAST_CLASSES else ids
@@ -219,16 +262,19 @@ def link(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, k: int =
     long_lists = lists.groupBy("key").agg(F.count("*").alias("n")).where("n > 3").select("key")
     of = lists.join(long_lists, "key").join(roots, "node", "left").select("key", "node", "s", F.coalesce("root", "node").alias("root"))
     several = of.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1").select("key", "main")
-    rest = stored(of.join(several, "key"))
-    minor = rest.where("root <> main").select("key", F.col("node").alias("p"), F.col("s").alias("ps"), F.col("root").alias("pr"))
-    more = minor.join(rest, "key").where((F.col("pr") != F.col("root")) & near(F.col("ps"), F.col("s")) & ((F.col("root") == F.col("main")) | (F.col("p") < F.col("node"))) & ((F.col("s") > limit) | (F.col("ps") > limit)))
+    rest = stored(of.join(several, "key").join(classes.select("node", "sketch"), "node"))
+    minor = rest.where("root <> main").select("key", F.col("node").alias("p"), F.col("s").alias("ps"), F.col("root").alias("pr"), F.col("sketch").alias("psketch"))
+    # Inside the join's condition, so that of a long list only pairs that may be linked come out.
+    common = F.aggregate(F.zip_with("sketch", "psketch", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
+    possible = den * common >= num * (F.col("s") + F.col("ps") - common)
+    more = minor.join(rest, "key").where((F.col("pr") != F.col("root")) & near(F.col("ps"), F.col("s")) & ((F.col("root") == F.col("main")) | (F.col("p") < F.col("node"))) & ((F.col("s") > limit) | (F.col("ps") > limit)) & possible)
     more = more.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = stored(more)
     if not more.isEmpty():
         roots = stored(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(more))))
     whole = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = whole.join(whole.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component")
-    out = docs.join(named, "node", "left")
+    out = docs.drop("hist", "sketch").join(named, "node", "left")
     return out.select(F.col("doc").alias(doc_id), F.col("s").alias("n_shingles"), F.when((F.col("s") > 0) & F.col("component").isNotNull(), F.col("component")).otherwise(F.col("doc")).alias("component_id"))
 
 
