@@ -137,6 +137,7 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, mi
     tune(df.sparkSession)
     docs = only(df, **{doc_id: "doc", text: "text"}).select("doc", F.xxhash64("text").alias("h"), "text")
     runs = stored(repeated_runs(docs.where("text is not null"), min_words)).select(F.col("doc").alias("rd"), F.col("h").alias("rh"), "runs")
+    runs = runs.hint("shuffle_hash")  # at every size: neither a broadcast that grows with the data nor a sort of the texts
     names = [c for c in df.columns if c not in ("n_lines", "n_removed")]
     row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c != text))
     keyed = df.select(row.alias("row"), F.col(f"`{doc_id}`").alias("doc"), F.xxhash64(f"`{text}`").alias("h"), F.col(f"`{text}`").cast("string").alias("text"))
