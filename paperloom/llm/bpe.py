@@ -26,7 +26,7 @@ from .common import only, tune
 BLOCK_BYTES = 24_000_000
 #: Words of more bytes are merged by a heap, in n log n steps; the fold takes n squared.
 LONG_WORD = 256
-NONE = 2**31 - 1
+NONE = 65535
 SLOTS = 1 << 19
 C1, C2 = 1_640_531_527, 805_459_861
 
@@ -68,35 +68,37 @@ def _let(value: Column, body) -> Column:
 
 
 def folded(word: Column, table: Column) -> Column:
-    """Merge the array of ranks ``word``: again and again the adjacent pair of lowest rank, the leftmost of equals."""
-    none = F.lit(NONE)
+    """Merge the array of ranks ``word``: again and again the adjacent pair of lowest rank, the leftmost of equals.
 
-    def probe(a: Column, b: Column) -> Column:
-        def of(code: Column) -> Column:
-            at = lambda c: F.element_at(table, (F.shiftright(code * F.lit(c), 12).bitwiseAND(F.lit(SLOTS - 1)) + 1).cast("int"))
-            hit = lambda e, other: F.when(F.shiftright(e, 16) == code, e.bitwiseAND(F.lit(65535)).cast("int")).otherwise(other)
-            return _let(at(C1), lambda e: hit(e, _let(at(C2), lambda g: hit(g, none))))
+    The state is one array of longs, rank of the pair that begins here << 32 | byte << 16 | rank of the piece, so the least
+    entry is the pair to merge, and a merge replaces up to three entries by up to two.
+    """
+    low = lambda x: x.bitwiseAND(F.lit(65535))
+
+    def probe(code: Column) -> Column:
+        at = lambda c, f: F.element_at(table, (F.shiftright(c * F.lit(f), 12).bitwiseAND(F.lit(SLOTS - 1)) + 1).cast("int"))
+        hit = lambda c, f: F.shiftright(at(c, f), 16) == c
+        return _let(code, lambda c: F.when(hit(c, C1), low(at(c, C1))).when(hit(c, C2), low(at(c, C2))).otherwise(F.lit(NONE)))
 
-        return _let(a.cast("long") * 65536 + b, of)
+    def entry(rank: Column, place: Column, piece: Column) -> Column:
+        return F.shiftleft(rank, 32) + place * 65536 + piece
 
-    def step(acc: Column, _: Column) -> Column:
+    def step(e: Column, _: Column) -> Column:
         def merge(x: Column) -> Column:
-            p, r, n, j, m = acc["p"], acc["r"], F.size(acc["p"]), x["j"], x["m"]
-            left = F.when(j > 1, F.array(probe(F.element_at(p, j - 1), m))).otherwise(F.array().cast("array<int>"))
-            right = F.when(j + 1 < n, F.array(probe(m, F.element_at(p, j + 2)))).otherwise(F.array().cast("array<int>"))
-            return F.struct(
-                F.concat(F.slice(p, 1, j - 1), F.array(m), F.slice(p, j + 2, n)).alias("p"),
-                F.concat(F.slice(r, 1, F.greatest(j - 2, F.lit(0))), left, right, F.slice(r, j + 2, n)).alias("r"),
-            )
-
-        def find(m: Column) -> Column:
-            return F.when(m < none, _let(F.struct(m.alias("m"), F.array_position(acc["r"], m).cast("int").alias("j")), merge)).otherwise(acc)
-
-        return F.when(F.size(acc["r"]) == 0, acc).otherwise(_let(F.array_min(acc["r"]), find))
-
-    first = F.struct(word.alias("p"), F.zip_with(F.slice(word, 1, F.size(word) - 1), F.slice(word, 2, F.size(word)), probe).alias("r"))
-    rounds = F.sequence(F.lit(2), F.size(word))
-    return F.when(F.size(word) < 2, word).otherwise(F.aggregate(rounds, first, step, lambda acc: acc["p"]))
+            new = F.shiftright(x["m"], 32)
+            after, before = F.get(e, x["j"] + 1), F.get(e, x["j"] - 2)
+            merged = entry(F.coalesce(probe(new * 65536 + low(after)), F.lit(NONE)), low(F.shiftright(x["m"], 16)), new)
+            left = entry(probe(low(before) * 65536 + new), low(F.shiftright(before, 16)), low(before))
+            middle = F.when(x["j"] > 1, F.array(left, merged)).otherwise(F.array(merged))
+            return F.concat(F.slice(e, 1, F.greatest(x["j"] - 2, F.lit(0))), middle, F.slice(e, x["j"] + 2, F.size(e)))
+
+        found = lambda m: F.when(F.shiftright(m, 32) == NONE, e).otherwise(_let(F.struct(m.alias("m"), F.array_position(e, m).cast("int").alias("j")), merge))
+        return _let(F.array_min(e), found)
+
+    n = F.size(word)
+    first = F.zip_with(word, F.slice(word, 2, n), lambda a, b: F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")))
+    state = F.transform(first, lambda x, i: entry(F.coalesce(probe(x["a"] * 65536 + x["b"]), F.lit(NONE)), i.cast("long"), x["a"]))
+    return F.when(n < 2, word).otherwise(F.transform(F.aggregate(F.sequence(F.lit(2), n), state, step), lambda x: low(x).cast("int")))
 
 
 def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
