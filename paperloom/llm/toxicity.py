@@ -104,8 +104,8 @@ def _per_text(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.unique(keys[a:b]), np.concatenate([_repeated(s[a:b]) for s in stems.values()])
 
 
-def associated(sets: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys that toxic texts hold more often than chance allows, and their log-odds."""
+def associated(sets: list[np.ndarray], toxic: np.ndarray, chance: float = CHANCE) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that toxic texts hold more often than ``chance`` allows, and their log-odds."""
     if not len(sets) or not toxic.any() or toxic.all():
         return np.empty(0, np.uint64), np.empty(0)
     t_keys, t = np.unique(np.concatenate([s for s, y in zip(sets, toxic, strict=True) if y]), return_counts=True)
@@ -116,7 +116,7 @@ def associated(sets: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, n
     share = t / m
     with np.errstate(divide="ignore", invalid="ignore"):
         surprise = m * (share * np.log(share / base) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - base)), 0))
-    keep = (share > base) & (surprise >= -math.log(CHANCE))
+    keep = (share > base) & (surprise >= -math.log(chance))
     odds = np.log((t + 0.5) / (toxic.sum() - t + 0.5) * ((~toxic).sum() - rest + 0.5) / (rest + 0.5))
     return t_keys[keep], odds[keep]
 
@@ -191,14 +191,17 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 30)
 
 
 def fit_texts(texts: pa.Array, toxic: np.ndarray) -> Model:
-    """The lexicon is learned on one half and the weighting on the other, then the lexicon on all."""
+    """The weighting is learned on each half with the other half's lexicon, then the lexicon on all.
+
+    Half the texts show half the evidence, on the scale of its logarithm.
+    """
     toxic = np.asarray(toxic, dtype=bool)
     pairs = list(_per_text(texts))
     half = np.arange(len(toxic)) % 2 == 0
 
-    def lexicon(rows: np.ndarray) -> Model:
-        w = associated([pairs[i][0] for i in rows], toxic[rows])
-        s = associated([pairs[i][1] for i in rows], toxic[rows])
+    def lexicon(rows: np.ndarray, chance: float = CHANCE) -> Model:
+        w = associated([pairs[i][0] for i in rows], toxic[rows], chance)
+        s = associated([pairs[i][1] for i in rows], toxic[rows], chance)
         return Model(*w, *s, np.zeros(7))
 
     every = np.arange(len(toxic))
@@ -209,7 +212,7 @@ def fit_texts(texts: pa.Array, toxic: np.ndarray) -> Model:
     x = np.zeros((len(toxic), 6))
     for own in (half, ~half):
         if own.any() and not own.all():
-            x[~own] = lexicon(every[own]).features(texts.take(pa.array(every[~own])))
+            x[~own] = lexicon(every[own], math.sqrt(CHANCE)).features(texts.take(pa.array(every[~own])))
     model.beta = logistic(x, toxic.astype(float))
     return model
 
