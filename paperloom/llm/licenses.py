@@ -80,6 +80,15 @@ def _follow(seq: Column, ids: list[str], gap: int) -> Column:
     return F.transform(F.filter(seq, lambda e: (e["id"] == ids[0]) & ends(e, 1)), lambda e: e["at"])
 
 
+def _outside(starts: Column, longer: Column, gap: int) -> Column:
+    """The starts that no longer rule, begun at one of ``longer``, may have used."""
+    return F.filter(starts, lambda a: ~F.exists(longer, lambda b: (a > b) & (a <= b + gap)))
+
+
+def _marked(starts: Column, no: int) -> Column:
+    return F.transform(starts, lambda a: F.struct(a.cast("int").alias("at"), F.lit(no).alias("rule")))
+
+
 def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, gap: int = GAP) -> DataFrame:
     """(doc_id, sentence_ids, licenses, n_matches, permissive) for every row.
 
@@ -98,8 +107,8 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, gap: int
             starts = F.array_except(starts, taken)
         inside = [k for k, (_, _, other) in enumerate(RULES[:no]) if ids[0] in other[1:]]
         if inside:
-            starts = F.filter(starts, lambda a, inside=inside: ~F.exists(F.flatten(F.array(*(_follow(F.col("seq"), RULES[k][2], gap) for k in inside))), lambda b: (a > b) & (a <= b + gap)))
-        used = F.concat(used, F.transform(starts, lambda a, no=no: F.struct(a.cast("int").alias("at"), F.lit(no).alias("rule"))))
+            starts = _outside(starts, F.flatten(F.array(*(_follow(F.col("seq"), RULES[k][2], gap) for k in inside))), gap)
+        used = F.concat(used, _marked(starts, no))
     d = d.withColumn("used", F.when(few, used).otherwise(F.array().cast("array<struct<at:int,rule:int>>")))
     names = F.array(*(F.lit(name) for name, _, _ in RULES))
     allows = F.array(*(F.lit(ok) for _, ok, _ in RULES))

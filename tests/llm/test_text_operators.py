@@ -118,7 +118,7 @@ def test_top_k_against_brute_force(spark):
 def test_licence_rules(spark):
     texts = [
         "x\nLicensed under the Apache License, Version 2.0.\nYou may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-        "Released under the MIT License. All rights reserved.", "Licensed under the Apache License, Version 2.0.", None, "", "licensed under the apache license", "All rights reserved" + " filler. word" * 30,
+        "Released under the MIT License. All rights reserved.", "Licensed under the Apache License, Version 2.0.", None, "", "licensed under the apache license", "All rights reserved." + " filler. word" * 30,
     ]
     rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("licenses", F.lit(1))).collect()
     got = {r.doc_id: (r.licenses, r.n_matches, r.permissive) for r in rows}
