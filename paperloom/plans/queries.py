@@ -481,9 +481,9 @@ GRAMS = r"list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' |
 TOKENS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 OVERLAPS = f"""{IDEA_SENTENCES}, sg as (select idea_id, sentence_index, len(g) as n, unnest(g) as b from (select idea_id, sentence_index, {GRAMS} as g from (select *, {TOKENS.format('sentence')} as w from snt))
 ), pg as (select paper_id, unnest({GRAMS}) as b from (select doc_id as paper_id, {TOKENS.format('text')} as w from documents)
-), overlaps as (select idea_id, sentence_index, paper_id, round(count(*) / n::double, 6) as overlap from sg join pg using (b) group by idea_id, sentence_index, paper_id, n
-), cand as (select * from (select *, row_number() over (partition by idea_id order by mean desc, paper_id) as paper_pos from (select idea_id, paper_id, round(sum(overlap) / (select count(*) from snt where snt.idea_id = o.idea_id), 6) as mean from overlaps o group by idea_id, paper_id)) where paper_pos <= 5
-), layer1 as (select snt.idea_id, cand.paper_id, paper_pos, snt.sentence_index, sentence, coalesce(overlap, 0.0::double) as overlap from snt join cand using (idea_id) left join overlaps o on o.idea_id = snt.idea_id and o.sentence_index = snt.sentence_index and o.paper_id = cand.paper_id
+), ovl as (select idea_id, sentence_index, paper_id, round(count(*) / n::double, 6) as overlap from sg join pg using (b) group by idea_id, sentence_index, paper_id, n
+), cand as (select * from (select *, row_number() over (partition by idea_id order by mean desc, paper_id) as paper_pos from (select idea_id, paper_id, round(sum(overlap) / (select count(*) from snt where snt.idea_id = o.idea_id), 6) as mean from ovl o group by idea_id, paper_id)) where paper_pos <= 5
+), layer1 as (select snt.idea_id, cand.paper_id, paper_pos, snt.sentence_index, sentence, coalesce(overlap, 0.0::double) as overlap from snt join cand using (idea_id) left join ovl o on o.idea_id = snt.idea_id and o.sentence_index = snt.sentence_index and o.paper_id = cand.paper_id
 ), best as (select idea_id, sentence_index, max(overlap) as o, string_agg(paper_id::varchar, ',' order by overlap desc, paper_pos) as linked from layer1 where overlap > 0 group by idea_id, sentence_index
 ), ann as (select snt.*, coalesce(o, 0.0::double) as overlap_score, coalesce(linked, '') as linked, case when coalesce(o, 0.0::double) >= 0.7::double then 'low' when coalesce(o, 0.0::double) >= 0.4::double then 'medium' else 'high' end as label from snt left join best using (idea_id, sentence_index)
 ), per as (select idea_id, round(avg(overlap_score), 6) as o, count(*) filter (label = 'low') as red, count(*) filter (label = 'medium') as yellow, count(*) filter (label = 'high') as green from ann group by idea_id
@@ -494,7 +494,7 @@ def _assess(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return A.assess(_ideas(spark, sf_dir), _papers(spark, sf_dir))
 
 
-@query(f"with {OVERLAPS} select idea_id, sentence_index::int as sentence_index, paper_id, overlap from overlaps where overlap >= 0.2")
+@query(f"with {OVERLAPS} select idea_id, sentence_index::int as sentence_index, paper_id, overlap from ovl where overlap >= 0.2")
 def sentence_overlap(spark, sf_dir):
     return _assess(spark, sf_dir)["overlaps"].where("overlap >= 0.2D")
 
@@ -542,7 +542,7 @@ def score_bands(spark, sf_dir):
     return a.select("idea_id", "score", band.alias("band"), F.round((1 - F.col("overlap")) * 100, 2).alias("shown"))
 
 
-@query(f"with {OVERLAPS}, c15 as (select * from (select *, row_number() over (partition by idea_id order by mean desc, paper_id) as pos from (select idea_id, paper_id, round(sum(overlap) / (select count(*) from snt where snt.idea_id = o.idea_id), 6) as mean from overlaps o group by idea_id, paper_id)) where pos <= 15), b as (select idea_id, paper_id, max(overlap) as top, count(*) as n from overlaps join c15 using (idea_id, paper_id) group by idea_id, paper_id) select idea_id, paper_id, rank::int as rank from (select *, row_number() over (partition by idea_id order by top desc, n desc, paper_id) as rank from b) where rank <= 5")
+@query(f"with {OVERLAPS}, c15 as (select * from (select *, row_number() over (partition by idea_id order by mean desc, paper_id) as pos from (select idea_id, paper_id, round(sum(overlap) / (select count(*) from snt where snt.idea_id = o.idea_id), 6) as mean from ovl o group by idea_id, paper_id)) where pos <= 15), b as (select idea_id, paper_id, max(overlap) as top, count(*) as n from ovl join c15 using (idea_id, paper_id) group by idea_id, paper_id) select idea_id, paper_id, rank::int as rank from (select *, row_number() over (partition by idea_id order by top desc, n desc, paper_id) as rank from b) where rank <= 5")
 def rerank_select(spark, sf_dir):
     from pyspark.sql import Window
 
