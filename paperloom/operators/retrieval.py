@@ -1,7 +1,7 @@
 """Exact vector retrieval: batches of queries against a store, with filters, thresholds and context.
 
-Queries and store are dealt into a grid of (query part, store part) cells by salts, so neither side is broadcast whole and
-the pairs of one cell are one task's work; each cell keeps its own best k before anything is shuffled again.
+The stated queries meet all rows of the store in blocks: a slice of at most BROADCAST_QUERIES queries at a time is broadcast to
+where the store lies, so the store is never shuffled and what is broadcast has a fixed bound; each slice keeps its best k.
 """
 
 from __future__ import annotations
@@ -12,10 +12,15 @@ from pyspark.sql import functions as F
 from paperloom.config import DEFAULT
 from paperloom.functions import vectors as V
 
-#: Queries up to this many are broadcast to where the store lies; more are met in blocks.
+#: Queries in one broadcast.
 BROADCAST_QUERIES = 20_000
 
 
+def _slices(queries: DataFrame) -> list[DataFrame]:
+    n = max(1, -(-queries.count() // BROADCAST_QUERIES))
+    return [queries if n == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)]
+
+
 def top_k(queries: DataFrame, store: DataFrame, k: int = DEFAULT.top_k, *, least: float | None = None, same: str | None = None, other: Column | None = None) -> DataFrame:
     """queries(query_id, q [, same]) x store(id, v [, same]) -> (query_id, id, similarity, rank).
 
@@ -23,12 +28,9 @@ def top_k(queries: DataFrame, store: DataFrame, k: int = DEFAULT.top_k, *, least
     ``same`` names a column that must agree (a filter inside the search, an equi-join here); ``other`` is a further condition.
     Ties fall to the smaller id.  Empty inputs give no rows.
     """
-    n = queries.count()
     q = queries.withColumnRenamed(same, "_same") if same else queries
-    part = -(-n // BROADCAST_QUERIES) or 1
     out = None
-    for i in range(part):
-        mine = q if part == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(part)) == i)
+    for mine in _slices(q):
         pairs = store.join(F.broadcast(mine), store[same] == F.col("_same")) if same else store.crossJoin(F.broadcast(mine))
         if other is not None:
             pairs = pairs.where(other)
@@ -49,8 +51,12 @@ def matches(hits: DataFrame, store_text: DataFrame, snippet: int = DEFAULT.snipp
 
 def best_per_group(queries: DataFrame, store: DataFrame, group: str) -> DataFrame:
     """The similarity of the best member of each group, for each query; partial maxima meet before any row is shuffled."""
-    pairs = store.crossJoin(F.broadcast(queries)) if queries.count() <= BROADCAST_QUERIES else store.crossJoin(queries)
-    return pairs.groupBy("query_id", group).agg(F.max(V.dot(F.col("q"), F.col("v"))).alias("similarity"))
+    best = lambda mine: store.crossJoin(F.broadcast(mine)).groupBy("query_id", group).agg(F.max(V.dot(F.col("q"), F.col("v"))).alias("similarity"))
+    found = [best(mine) for mine in _slices(queries)]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def context(hits: DataFrame, store_text: DataFrame, size: int = 800) -> DataFrame:
