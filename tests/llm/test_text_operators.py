@@ -125,6 +125,100 @@ def test_licence_rules(spark):
     assert got == {0: (["Apache-2.0"], 1, True), 1: (["MIT", "Proprietary"], 2, False), 2: (["Apache-2.0"], 1, True), 3: ([], 0, None), 4: ([], 0, None), 5: ([], 0, None), 6: (["Proprietary"], 1, False)}
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+MIT = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY."""
+GPL3 = """Foobar is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+GPL2 = """This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version."""
+GPL2_ONLY = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License version 2 as
+published by the Free Software Foundation."""
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = BSD2 + """
+3. Neither the name of Example Inc. nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+CC_SA = """This work is licensed under a Creative Commons
+Attribution-ShareAlike 4.0 International License."""
+CC0 = """To the extent possible under law, the author(s) have dedicated all copyright
+and related and neighboring rights to this software to the public domain
+worldwide. This software is distributed without any warranty."""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""
+
+
+@pytest.mark.parametrize("wrap", ["as it is", "comment", "star comment", "one line", "narrow", "crlf", "amid text"])
+def test_licences_in_their_own_words(spark, wrap):
+    texts = {
+        "Apache-2.0": APACHE, "MIT": MIT, "GPL-3.0-or-later": GPL3, "GPL-2.0-or-later": GPL2, "GPL-2.0-only": GPL2_ONLY, "BSD-2-Clause": BSD2,
+        "BSD-3-Clause": BSD3, "MPL-2.0": MPL, "CC-BY-SA-4.0": CC_SA, "CC0-1.0": CC0, "": LGPL,
+    }
+    change = {
+        "as it is": lambda t: t, "comment": lambda t: "\n".join(f"# {x}".rstrip() for x in t.split("\n")),
+        "star comment": lambda t: "/*\n" + "\n".join(f" * {x}".rstrip() for x in t.split("\n")) + "\n */\nint x;", "one line": lambda t: " ".join(t.split()) if t != MIT else re.sub(r"(?<!\n)\n(?!\n)", " ", t),
+        "narrow": lambda t: "\n\n".join(re.sub(r"(\S+\s+\S+\s+\S+)\s+", r"\1\n", p) for p in t.split("\n\n")), "crlf": lambda t: t.replace("\n", "\r\n"),
+        "amid text": lambda t: f"import this\n\n{t}\n\nFurther text stands here\nin two lines",
+    }[wrap]
+    df = spark.createDataFrame([(name, change(t)) for name, t in texts.items()], "doc_id string, text string")
+    got = {r.doc_id: (r.licenses, r.n_matches) for r in licenses.scan(df).collect()}
+    assert got == {name: ([name] if name else [], int(bool(name))) for name in texts}
+
+
+def test_licence_tags_and_what_is_no_notice(spark):
+    tags = {
+        "MIT": "MIT", "Apache-2.0": "Apache-2.0", "GPL-3.0-only": "GPL-3.0-only", "GPL-2.0": "GPL-2.0-only", "GPL-3.0-or-later": "GPL-3.0-or-later", "GPL-2.0+": "GPL-2.0-or-later",
+        "BSD-2-Clause": "BSD-2-Clause", "BSD-3-Clause": "BSD-3-Clause", "CC-BY-NC-4.0": "CC-BY-NC-4.0", "CC0-1.0": "CC0-1.0", "MPL-2.0": "MPL-2.0", "Unknown": "",
+    }
+    rows = [(want, f"#!/bin/sh\n# SPDX-License-Identifier: {tag}\n\necho x") for tag, want in tags.items()]
+    rows += [("", "this is not\nreleased under the MIT license we know"), ("", "You may not use this file except in compliance with the License.")]
+    assert [(r.doc_id, r.licenses) for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()] == [(w, [w] if w else []) for w, _ in rows]
+
+
 def test_words_by_array_operations():
     rng = random.Random(8)
     texts = ["".join(rng.choice("aB é\t\n.") for _ in range(rng.randint(0, 50))) for _ in range(200)] + ["", None, "x" * 3000]
