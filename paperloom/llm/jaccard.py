@@ -259,7 +259,8 @@ def link(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, k: int =
     found = links.union(verified(tried))
     roots = stored(components(found))
     # Lists that still hold several components: all that lie outside the largest, against the members of other components.
-    long_lists = lists.groupBy("key").agg(F.count("*").alias("n")).where("n > 3").select("key")
+    # In one part of up to three members, and between two members, the first round has tried all pairs.
+    long_lists = lists.groupBy("key").agg(F.count("*").alias("n"), F.min("salt").alias("low"), F.max("salt").alias("high")).where("n > 3 or n = 3 and low <> high").select("key")
     of = lists.join(long_lists, "key").join(roots, "node", "left").select("key", "node", "s", F.coalesce("root", "node").alias("root"))
     several = of.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1").select("key", "main")
     rest = stored(of.join(several, "key").join(classes.select("node", "sketch"), "node"))

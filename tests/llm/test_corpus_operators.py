@@ -58,6 +58,22 @@ def test_jaccard_components_against_brute_force(spark, k, num):
     assert got == {d: (len(s), c) for d, s, c in zip(ids, sets, _components(ids, sets, num, 100), strict=True)}
 
 
+def test_jaccard_of_lists_with_three_members_in_two_parts(spark, monkeypatch):
+    """Two sets link by frequent words only, whose salted lists hold a third, smaller set besides and nothing more."""
+    monkeypatch.setattr(jaccard, "PART", 2)
+    monkeypatch.setattr(jaccard, "SMALL_LIMIT", 0)
+    texts = []
+    for g in range(30):
+        words, own = [f"g{g}w{i}" for i in range(9)], iter(range(10_000))
+        more = lambda n: [f"g{g}x{next(own)}" for _ in range(n)]  # noqa: B023, E731
+        texts += [words + more(1), words + more(1), words[:7], words[7:] + more(30)] + [words + more(30) for _ in range(10)]
+    texts = [" ".join(w) for w in texts]
+    sets, ids = _sets(texts, 1), list(range(len(texts)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.component_id for r in jaccard.link(df, k=1, num=80).collect()}
+    assert got == dict(zip(ids, _components(ids, sets, 80, 100), strict=True))
+
+
 def test_jaccard_of_an_empty_table(spark):
     assert jaccard.link(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
