@@ -31,22 +31,29 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return clean.where(left).withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` and a key never null: texts under one id differ in it, and null ids come after all others."""
+    return docs.select(*COLUMNS, F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.coalesce(F.sha2("text", 256), F.lit("")).alias("sha")).alias("key"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest id) of each component of texts whose five-word shingles agree to 0.8 or more stays."""
-    found = stored(jaccard.link(docs, k=5, num=80, den=100))
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    again = found.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").count().where("count > 1")
+    rows = keyed(docs)
+    found = stored(jaccard.link(rows, "key", k=5, num=80, den=100))
+    gone = found.where(F.col("key") != F.col("component_id")).select("key").distinct()
+    kept = rows.join(gone, "key", "left_anti")
+    again = found.where((F.col("n_shingles") > 0) & (F.col("key") == F.col("component_id"))).groupBy("key").count().where("count > 1")
     if again.isEmpty():
-        return kept
-    return kept.join(again, "doc_id", "left_anti").select(*COLUMNS).unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS))
+        return kept.select(*COLUMNS)
+    return kept.join(again, "key", "left_anti").select(*COLUMNS).unionByName(kept.join(again, "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of ten benchmark words occurs."""
-    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    hit = found.where("n_hit > 0").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(hit, "doc_id", "left_anti").select(*COLUMNS)
+    rows = keyed(docs)
+    found = decontam.contaminated(rows, table(spark, sf_dir, "benchmark"), doc_id="key")
+    hit = found.where("n_hit > 0").select("key").distinct()
+    return rows.join(hit, "key", "left_anti").select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -177,3 +177,21 @@ def test_pipeline_takes_out_what_is_planted(spark, tmp_path):
     kept = {r.doc_id for r in out}
     assert all(r.round_trip for r in out)
     assert kept == {i for i, _ in clean} | {203, 204, 205, 206}
+
+
+def test_pipeline_stages_drop_rows_not_ids(spark, tmp_path):
+    import corpus_pipeline as C
+
+    rng = random.Random(5)
+    prose = lambda n: " ".join("".join(rng.choice("etaoinsr") for _ in range(rng.randint(3, 9))) for _ in range(n))
+    clean, other, item, lone, twice, late = prose(60), prose(60), prose(20), prose(60), prose(60), prose(60)
+    bad = f"{prose(5)} {item} {prose(5)}"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    df = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    order = lambda rows: sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    read = lambda out: order((r.doc_id, r.text) for r in out.collect())
+    mixed = [(None, bad), (None, clean), (None, None), (7, bad), (7, other), (8, bad), (9, "")]
+    assert read(C.drop_contaminated(spark, df(mixed), str(tmp_path))) == order([(None, clean), (None, None), (7, other), (9, "")])
+    mixed = [(1, clean), (None, clean), (None, lone), (None, lone), (7, other), (7, clean), (8, twice), (8, twice), (8, late), (9, None), (9, None), (None, None)]
+    want = [(1, clean), (None, lone), (7, other), (8, twice), (8, late), (9, None), (9, None), (None, None)]
+    assert read(C.drop_near_duplicates(spark, df(mixed), str(tmp_path))) == order(want)
