@@ -195,3 +195,13 @@ def test_pipeline_stages_drop_rows_not_ids(spark, tmp_path):
     mixed = [(1, clean), (None, clean), (None, lone), (None, lone), (7, other), (7, clean), (8, twice), (8, twice), (8, late), (9, None), (9, None), (None, None)]
     want = [(1, clean), (None, lone), (7, other), (8, twice), (8, late), (9, None), (9, None), (None, None)]
     assert read(C.drop_near_duplicates(spark, df(mixed), str(tmp_path))) == order(want)
+
+
+def test_round_trip_compares_bytes(spark, monkeypatch):
+    import corpus_pipeline as C
+
+    docs = spark.createDataFrame([(1, "abc é"), (2, None), (None, "")], "doc_id long, text string")
+    assert all(r.round_trip for r in C.tokenize(spark, docs, "").collect())
+    decode = C.bpe.decode
+    monkeypatch.setattr(C.bpe, "decode", lambda *a: decode(*a).withColumn("decoded", F.when(F.col("doc_id") == 1, F.encode(F.lit("xxxxxx"), "utf-8")).otherwise(F.col("decoded"))))
+    assert {r.doc_id: r.round_trip for r in C.tokenize(spark, docs, "").collect()} == {1: False, 2: True, None: True}
