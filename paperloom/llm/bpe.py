@@ -1,31 +1,36 @@
 """Byte-level BPE encoding and decoding.
 
-Every text is cut by the tokenizer's split pattern in the JVM.  A block of texts (a bounded number of bytes of one
-partition) becomes one row: the texts as indices into the block's *distinct* words, and each word as an array of byte
-ranks.  Spark higher-order functions then fold the ranked merges over those arrays; the rank map is a literal, a two-choice
-hash table over adjacent pairs.  Nothing is shuffled, so one hot text or word costs as little as any other, and a lost
-executor loses only the blocks it worked on.
+Every text is cut by the tokenizer's split pattern in the JVM, and a block of texts (a bounded number of bytes of one partition)
+becomes indices into the block's *distinct* words.  Words come as arrays of byte ranks, and Spark higher-order functions fold
+the ranked merges over those arrays; the rank map is a literal, a two-choice hash table over adjacent pairs.  Long words are
+folded in overlapping parts by the same fold.  Words that several blocks hold are counted over the whole corpus and folded once;
+the most common of them, up to a fixed number, are broadcast with their ids, and each block folds only what is left.  The texts
+themselves are never shuffled, so one hot text or word costs as little as any other, and a lost executor loses only the blocks it
+worked on.  Decoding concatenates the pieces of the ids, byte for byte, in the JVM.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, tune
+from .common import discard, only, stored, tune
 
-#: Bytes of words after which a block is closed.
-BLOCK_BYTES = 24_000_000
-#: Words of more bytes are merged by a heap, in n log n steps; the fold takes n squared.
-LONG_WORD = 256
+#: Bytes of words (with their offsets) after which a block is closed.
+BLOCK_BYTES = 32 << 20
+#: Words in one row for the fold; the rank map is read once for each row.
+ROW_WORDS = 20_000
+#: Words folded for the whole corpus at once and broadcast with their ids, at most; all others are folded where they occur.
+COMMON = 1_000_000
+#: Bytes of a word that are folded at once; longer words are folded in parts that overlap by half.
+PART = 512
 NONE = 65535
 SLOTS = 1 << 19
 C1, C2 = 1_640_531_527, 805_459_861
@@ -101,118 +106,217 @@ def folded(word: Column, table: Column) -> Column:
     return F.when(n < 2, word).otherwise(F.transform(F.aggregate(F.sequence(F.lit(2), n), state, step), lambda x: low(x).cast("int")))
 
 
-def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same merges for one long word, in n log n steps."""
-    n = len(word)
-    end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    alive = [True] * n
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
-    heapq.heapify(heap)
-    while heap:
-        _, i, stop = heapq.heappop(heap)
-        j = after[i]
-        if not alive[i] or j >= n or end[j] != stop or not alive[j]:
-            continue
-        alive[j], end[i], after[i] = False, stop, after[j]
-        if after[i] < n:
-            before[after[i]] = i
-        for a in (before[i], i):
-            if a >= 0 and after[a] < n:
-                stop = end[after[a]]
-                if (r := ranks.get(word[a:stop])) is not None:
-                    heapq.heappush(heap, (r, a, stop))
-    return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
-
-
-def _blocks(ranks_path: str, n_keys: int):
-    """Texts as lists of words -> blocks: indices into the distinct words, and those as arrays of ranks."""
-
-    def block(tables: list[pa.Table]) -> pa.RecordBatch:
-        whole = pa.concat_tables(tables).combine_chunks()
-        ranks = load_ranks(ranks_path)
-        single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        lists = whole.column("words").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        counts = np.diff(lists.offsets.to_numpy()).astype(np.int32)
-        coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.cast(pa.binary())
-        starts = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1]
-        raw = np.frombuffer(words.buffers()[2], dtype=np.uint8)[starts[0] : starts[-1]] if len(words) else np.empty(0, np.uint8)
-        flat, lens = single[raw], np.diff(starts)
-        given: dict[int, list[int]] = {}
-        for i, w in enumerate(words.to_pylist()):
-            if (r := ranks.get(w)) is not None:
-                given[i] = [r]
-            elif len(w) > LONG_WORD:
-                given[i] = heap_merge(w, ranks)
-        if given:
-            own = np.fromiter(given, dtype=np.int64, count=len(given))
-            keep = np.ones(len(words), dtype=bool)
-            keep[own] = False
-            parts_len = lens.astype(np.int64).copy()
-            parts_len[own] = [len(x) for x in given.values()]
-            at = np.concatenate([[0], np.cumsum(parts_len)])
-            out = np.empty(at[-1], dtype=np.int32)
-            kept_lens = lens[keep]
-            source = np.repeat(keep, lens)
-            target = np.repeat(at[:-1][keep] - np.concatenate([[0], np.cumsum(kept_lens)[:-1]]), kept_lens) + np.arange(kept_lens.sum()) if keep.any() else np.empty(0, np.int64)
-            out[target.astype(np.int64)] = flat[source]
-            new = np.repeat(at[own] - np.concatenate([[0], np.cumsum(parts_len[own])[:-1]]), parts_len[own]) + np.arange(parts_len[own].sum())
-            out[new.astype(np.int64)] = np.concatenate([np.array(x, dtype=np.int32) for x in given.values()])
-            flat, offsets = out, at.astype(np.int32)
-        else:
-            offsets = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
-        distinct = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-        one = np.array([0, whole.num_rows], dtype=np.int32)
-        keys = pa.StructArray.from_arrays([whole.column(f"k{i}").combine_chunks() for i in range(n_keys)], [f"k{i}" for i in range(n_keys)])
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.ListArray.from_arrays(pa.array(one), keys),
-                pa.array([counts.tobytes()], pa.binary()),
-                pa.array([coded.indices.to_numpy().astype(np.int32).tobytes()], pa.binary()),
-                pa.ListArray.from_arrays(pa.array(np.array([0, len(distinct)], dtype=np.int32)), distinct),
-                pa.array([""]),
-            ],
-            ["keys", "counts", "indices", "words", "none"],
-        )
+def encoded(word: Column, table: Column, lens: Column, part: int = PART) -> Column:
+    """``folded``, but words of more than ``part`` bytes in parts: a part begins where a token about the middle of the last began.
+
+    Tokens are right as a whole if each two neighbours are what the fold makes of their bytes.  Within a part they are; where a
+    part follows, its first token has to be the one that the last part has there, which is checked.  Were it another, the word is
+    folded as a whole.
+    """
+    n, half = F.size(word), part // 2
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"), F.lit(-1).alias("next"), F.lit(True).alias("ok"))
+    none = F.struct(F.lit(0).alias("upto"), F.lit(0).alias("k"), F.lit(0).alias("used"))
+
+    def counted(a: Column, x: Column) -> Column:
+        upto = a["upto"] + F.element_at(lens, x + 1)
+        fits = upto <= half
+        return F.struct(upto.alias("upto"), F.when(fits, a["k"] + 1).otherwise(a["k"]).alias("k"), F.when(fits, upto).otherwise(a["used"]).alias("used"))
+
+    def step(s: Column, _: Column) -> Column:
+        def more(ids: Column) -> Column:
+            ok = s["ok"] & ((s["next"] < 0) | (s["next"] == ids[0]))
+            last = F.struct(n.alias("at"), F.concat(s["out"], ids).alias("out"), F.lit(-1).alias("next"), ok.alias("ok"))
+            part_of = lambda u: F.struct((s["at"] + u["used"]).alias("at"), F.concat(s["out"], F.slice(ids, 1, u["k"])).alias("out"), F.get(ids, u["k"]).alias("next"), ok.alias("ok"))
+            return F.when(s["at"] + part >= n, last).otherwise(_let(F.aggregate(ids, none, counted), part_of))
+
+        return F.when(s["at"] >= n, s).otherwise(_let(folded(F.slice(word, s["at"] + 1, part), table), more))
+
+    # Each part but the last moves on by a quarter of its bytes at least.
+    parts = _let(F.aggregate(F.sequence(F.lit(0), F.ceil(n / (part // 4)).cast("int")), zero, step), lambda s: F.when(s["ok"], s["out"]).otherwise(folded(word, table)))
+    return F.when(n <= part, folded(word, table)).otherwise(parts)
+
+
+def _folds(words: str, ranks_path: str) -> Column:
+    """array<array<int>> column ``words``, with the byte ranks of words, to the ids of each; needs a column ``none``."""
+    ranks = load_ranks(ranks_path)
+    lens = [0] * (max(ranks.values()) + 1)
+    for w, r in ranks.items():
+        lens[r] = len(w)
+    part = max(PART, 4 * max(lens))
+    # The literals stay strings: the optimizer compares and hashes literals again and again, which takes long for large
+    # arrays.  ``none``, an empty column, keeps them from being folded; they are cut once for each row of many words.
+    array = lambda values, kind: F.split(F.concat(F.lit(",".join(map(str, values))), F.col("none")), ",").cast(kind)
+    table, sizes = array(two_choice_table(pair_ranks(ranks)), "array<bigint>"), array(lens, "array<int>")
+    each = _let(F.struct(table.alias("t"), sizes.alias("s")), lambda m: F.transform(words, lambda w: encoded(w, m["t"], m["s"], part)))
+    return F.when(F.size(words) > 0, each).otherwise(F.array().cast("array<array<int>>"))
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together to blocks."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= BLOCK_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+@lru_cache(maxsize=4)
+def _pieces(ranks_path: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All pieces with their ranks, and the ranks of the single bytes."""
+    ranks = load_ranks(ranks_path)
+    return pa.array(list(ranks), pa.binary()), np.fromiter(ranks.values(), np.int32, len(ranks)), np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+
+
+def _byte_ranks(words: pa.Array, single: np.ndarray) -> pa.ListArray:
+    """Binary words as arrays of the ranks of their bytes."""
+    starts = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1]
+    raw = np.frombuffer(words.buffers()[2], dtype=np.uint8)[starts[0] : starts[-1]] if len(words) and starts[-1] > starts[0] else np.empty(0, np.uint8)
+    return pa.ListArray.from_arrays(pa.array(starts - starts[0]), pa.array(single[raw]))
+
+
+def _row(values: pa.Array) -> pa.ListArray:
+    """One row with all ``values``."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _distinct(ranks_path: str):
+    """Texts as lists of words -> the distinct words of each block that are no pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        pieces, _, _ = _pieces(ranks_path)
+        for block in _grouped(batches):
+            words = _one(block.column("words")).flatten().unique().cast(pa.binary())
+            words = words.filter(pc.is_null(pc.index_in(words, value_set=pieces)))
+            for a in range(0, len(words), 100_000):
+                yield pa.RecordBatch.from_arrays([words.slice(a, 100_000)], ["word"])
+
+    return run
+
+
+def _packed(ranks_path: str):
+    """Words -> rows of many words and of their byte ranks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, _, single = _pieces(ranks_path)
+        held, n = [], 0
+
+        def row() -> pa.RecordBatch:
+            words = pa.concat_arrays(held)
+            return pa.RecordBatch.from_arrays([_row(words), _row(_byte_ranks(words, single)), pa.array([""])], ["raw", "words", "none"])
+
         for batch in batches:
-            held.append(pa.Table.from_batches([batch]))
-            size += batch.nbytes
-            if size >= BLOCK_BYTES * 2:
-                yield block(held)
-                held, size = [], 0
+            held.append(batch.column("word"))
+            n += batch.num_rows
+            if n >= ROW_WORDS:
+                yield row()
+                held, n = [], 0
         if held:
-            yield block(held)
+            yield row()
+
+    return run
+
+
+def common_words(words: DataFrame, ranks_path: str, most: int = COMMON) -> tuple[pa.Array, pa.ListArray]:
+    """Words that more blocks of ``words`` (array<string>) than one hold, the most frequent first, and their ids; at most ``most``.
+
+    They are only there to save work: a word that is not among them is folded where it occurs.
+    """
+    often = stored(words.mapInArrow(_distinct(ranks_path), "word binary").groupBy("word").agg(F.count("*").alias("n")).where("n > 1"))
+    level = F.floor(8 * F.log2("n")).cast("int")
+    total, least = 0, None
+    for r in sorted(often.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        if total + r["count"] > most:
+            break
+        total, least = total + r["count"], r["level"]
+    if least is None:
+        discard(often)
+        return pa.array([], pa.binary()), pa.array([], pa.list_(pa.int32()))
+    rows = often.where(level >= least).select("word").repartition(-(-total // (ROW_WORDS // 4)), "word").mapInArrow(_packed(ranks_path), "raw array<binary>, words array<array<int>>, none string")
+    got = rows.select("raw", _folds("words", ranks_path).alias("ids")).toArrow().combine_chunks()
+    discard(often)
+    return _one(got.column("raw")).flatten().cast(pa.binary()), _one(got.column("ids")).flatten().cast(pa.list_(pa.int32()))
+
+
+def _blocks(ranks_path: str, n_keys: int, known):
+    """Texts as lists of words -> rows of words still to be folded, then a row for the block they belong to."""
+    names = ["words", "keys", "counts", "indices", "lens", "given", "none"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, piece_ranks, single = _pieces(ranks_path)
+        common = pa.ipc.open_stream(known.value).read_all().combine_chunks()
+        common_words, common_ids = _one(common.column("word")), _one(common.column("ids"))
+        common_lens, common_flat = np.diff(common_ids.offsets.to_numpy()), common_ids.values.to_numpy()
+        common_at = common_ids.offsets.to_numpy()
+        for block in _grouped(batches):
+            lists = _one(block.column("words"))
+            counts = np.diff(lists.offsets.to_numpy()).astype(np.int32)
+            coded = lists.flatten().dictionary_encode()
+            words = coded.dictionary.cast(pa.binary())
+            piece = pc.index_in(words, value_set=pieces).fill_null(-1).to_numpy()
+            own = pc.index_in(words, value_set=common_words).fill_null(-1).to_numpy() if len(common_words) else np.full(len(words), -1)
+            own = np.where(piece >= 0, -1, own)
+            lens = np.where(piece >= 0, 1, np.where(own >= 0, common_lens[own] if len(common_words) else 0, 0)).astype(np.int32)
+            at = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])
+            given = np.empty(at[-1], dtype=np.int32)
+            given[at[:-1][piece >= 0]] = piece_ranks[piece[piece >= 0]]
+            mine = own[own >= 0]
+            n = common_lens[mine] if len(mine) else np.empty(0, np.int64)
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            given[np.repeat(at[:-1][own >= 0], n) + inside] = common_flat[np.repeat(common_at[mine], n) + inside] if len(mine) else 0
+            left = words.filter(pa.array(lens == 0))
+            keys = pa.StructArray.from_arrays([_one(block.column(f"k{i}")) for i in range(n_keys)], [f"k{i}" for i in range(n_keys)])
+            for a in range(0, len(left), ROW_WORDS):
+                part = _row(_byte_ranks(left.slice(a, ROW_WORDS), single))
+                yield pa.RecordBatch.from_arrays([part, pa.nulls(1, pa.list_(keys.type)), *(pa.nulls(1, pa.binary()) for _ in range(4)), pa.array([""])], names)
+            none = pa.array([[]], pa.list_(pa.list_(pa.int32())))
+            binary = [pa.array([x.tobytes()], pa.binary()) for x in (counts, coded.indices.to_numpy().astype(np.int32), lens, given)]
+            yield pa.RecordBatch.from_arrays([none, _row(keys), *binary, pa.array([""])], names)
 
     return run
 
 
 def _assembled(n_keys: int):
+    """Rows of folded words, each group followed by its block's row -> one row for each text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folded_lens, folded_ids = [], []
         for batch in batches:
             for i in range(batch.num_rows):
-                keys = batch.column("keys").slice(i, 1).flatten()
-                counts = np.frombuffer(batch.column("counts")[i].as_buffer(), dtype=np.int32)
-                index = np.frombuffer(batch.column("indices")[i].as_buffer(), dtype=np.int32)
                 words = batch.column("words").slice(i, 1).flatten()
-                values = words.flatten().to_numpy()
-                offsets = words.offsets.to_numpy()
-                offsets = (offsets - offsets[0]).astype(np.int64)
-                starts, lens = offsets[:-1], np.diff(offsets)
-                step = max(1, int(len(counts) * 4_000_000 // max(1, len(index))))
+                folded_lens.append(np.diff(words.offsets.to_numpy()))
+                folded_ids.append(words.flatten().to_numpy())
+                if not batch.column("keys")[i].is_valid:
+                    continue
+                keys = batch.column("keys").slice(i, 1).flatten()
+                counts, index, lens, given = (np.frombuffer(batch.column(c)[i].as_buffer(), dtype=np.int32) for c in ("counts", "indices", "lens", "given"))
+                # Words stand by their first place; those already known and those folded fill the gaps of each other.
+                new = lens == 0
+                lens = lens.astype(np.int64)
+                lens[new] = np.concatenate(folded_lens)
+                at = np.concatenate([[0], np.cumsum(lens)])
+                values = np.empty(at[-1], dtype=np.int32)
+                fresh = np.repeat(new, lens)
+                values[fresh], values[~fresh] = np.concatenate(folded_ids), given
+                folded_lens, folded_ids = [], []
+                step = max(1, int(len(counts) * 2_000_000 // max(1, len(index))))
                 ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
                 for a in range(0, len(counts), step):
                     b = min(len(counts), a + step)
                     own = index[ends[a] : ends[b]]
                     n = lens[own]
                     upto = np.concatenate([[0], np.cumsum(n)])
-                    ids = values[np.repeat(starts[own] - upto[:-1], n) + np.arange(upto[-1])] if len(own) else values[:0]
+                    ids = values[np.repeat(at[own] - upto[:-1], n) + np.arange(upto[-1])] if len(own) else values[:0]
                     cut = upto[ends[a : b + 1] - ends[a]].astype(np.int32)
                     part = keys.slice(a, b - a)
-                    yield pa.RecordBatch.from_arrays([*(part.field(k) for k in range(n_keys)), pa.ListArray.from_arrays(pa.array(cut), pa.array(ids.astype(np.int32)))], [*(f"k{k}" for k in range(n_keys)), "ids"])
+                    yield pa.RecordBatch.from_arrays([*(part.field(k) for k in range(n_keys)), pa.ListArray.from_arrays(pa.array(cut), pa.array(ids))], [*(f"k{k}" for k in range(n_keys)), "ids"])
 
     return run
 
@@ -221,62 +325,49 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", key
     """One row per row of ``df``: its ``keys`` and ``ids``, the array of token ids of its whole text.
 
     ``pattern`` splits the text; every match is encoded separately, without special tokens.  Null and empty texts give an
-    empty array, repeated rows one result each, an empty table no rows.  Only ``keys`` and ``text`` are read, so further
-    columns, whatever their names, do no harm.  ``ranks_path`` is a file on every machine (part of the installed library).
+    empty array, repeated rows one result each, an empty table no rows; keys may be null.  Only ``keys`` and ``text`` are read, so
+    further columns, whatever their names, do no harm.  Words may be of any length.  ``ranks_path`` is a file on every machine
+    (part of the installed library).
     """
     spark = df.sparkSession
     tune(spark)
     names = {f"k{i}": k for i, k in enumerate(keys)}
     words = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
-    source = only(df, **({text: "text"} | {old: k for k, old in names.items()})).select(*names, words.alias("words"))
+    source = only(df, **{text: "text"} | {old: k for k, old in names.items()}).select(*names, words.alias("words"))
+    common = pa.table(common_words(source.select("words"), ranks_path), ["word", "ids"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, common.schema) as writer:
+        writer.write_table(common)
+    known = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
     kinds = ", ".join(f"{k}: {source.schema[k].dataType.simpleString()}" for k in names)
-    blocks = source.mapInArrow(_blocks(ranks_path, len(keys)), f"keys array<struct<{kinds}>>, counts binary, indices binary, words array<array<int>>, none string")
-    # The literal stays one string: the optimizer compares and hashes literals again and again, which takes long for large
-    # arrays.  ``none``, an empty column, keeps it from being folded; it is cut once for each block.
-    literal = F.lit(",".join(map(str, two_choice_table(pair_ranks(load_ranks(ranks_path))))))
-    table = F.split(F.concat(literal, F.col("none")), ",").cast("array<bigint>")
-    merged = blocks.select("keys", "counts", "indices", _let(table, lambda t: F.transform("words", lambda w: folded(w, t))).alias("words"))
+    blocks = source.mapInArrow(_blocks(ranks_path, len(keys), known), f"words array<array<int>>, keys array<struct<{kinds}>>, counts binary, indices binary, lens binary, given binary, none string")
+    merged = blocks.select("keys", "counts", "indices", "lens", "given", _folds("words", ranks_path).alias("words"))
     out = merged.mapInArrow(_assembled(len(keys)), ", ".join(f"{k} {source.schema[k].dataType.simpleString()}" for k in names) + ", ids array<int>")
     return out.select(*(F.col(k).alias(old) for k, old in names.items()), "ids")
 
 
-def pieces(ranks_path: str) -> np.ndarray:
+@lru_cache(maxsize=4)
+def _piece_text(ranks_path: str) -> str:
+    """The pieces by rank, a character for each byte, parted by a character that is no byte."""
     ranks = load_ranks(ranks_path)
-    out = np.empty(max(ranks.values()) + 1, dtype=object)
+    by_rank = [""] * (max(ranks.values()) + 1)
     for w, r in ranks.items():
-        out[r] = w
-    return out
+        by_rank[r] = w.decode("latin-1")
+    return "\u0100".join(by_rank)
 
 
-def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
-    values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
-    return (values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True))
+def decoded(ids: Column, ranks_path: str) -> Column:
+    """The concatenated binary pieces of an array of ids.  A null array gives null, an empty one no bytes."""
+    pieces = F.split(F.lit(_piece_text(ranks_path)), "\u0100")
+    return F.encode(F.array_join(F.transform(ids, lambda x: F.element_at(pieces, x + 1)), ""), "ISO-8859-1")
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """``df`` with ``out``: the concatenated binary pieces of ``ids``.  A null array gives null, an empty one no bytes."""
-    tune(df.sparkSession)
-
-    @F.pandas_udf("binary")
-    def joined(column):
-        own = pieces(ranks_path)
-        return column.map(lambda x: None if x is None else b"".join(own[np.asarray(x, dtype=np.int64)]))
-
-    return df.withColumn(out, joined(F.col(ids)))
+    """``df`` with ``out``, the bytes of ``ids`` (replaced if it was there)."""
+    return df.withColumn(out, decoded(F.col(f"`{ids}`"), ranks_path))
 
 
 def digests(encoded: DataFrame, ranks_path: str, key: str = "doc_id") -> DataFrame:
-    """``key``, ``n_tokens``, and the SHA-256 of the decimal ids and of the decoded bytes, one pass over the ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pieces(ranks_path)
-        decimal = np.array([str(i).encode() for i in range(len(own))], dtype=object)
-        for batch in batches:
-            n, ids_sha, text_sha = [], [], []
-            for x in _lists(batch.column("ids")):
-                n.append(len(x))
-                ids_sha.append(hashlib.sha256(b" ".join(decimal[x])).hexdigest())
-                text_sha.append(hashlib.sha256(b"".join(own[x])).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return encoded.select(key, "ids").mapInArrow(run, f"{key} {encoded.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    """``key``, ``n_tokens``, and the SHA-256 of the decimal ids and of the decoded bytes."""
+    decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return encoded.select(key, F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal.cast("binary"), 256).alias("ids_sha256"), F.sha2(decoded(F.col("ids"), ranks_path), 256).alias("decoded_sha256"))

@@ -8,14 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch.  Texts can be long; a batch is held in memory as a whole.
-BATCH_ROWS = 2000
+#: Rows and bytes in one Arrow batch.  Texts can be long; a batch is held in memory as a whole.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+#: A name is hot when it has more than one in so many of all rows; there cannot be more hot names than this.
+HOT_SHARE = 1000
 
 
 def tune(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for long texts."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,24 +26,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: ``spark.checkpoint.dir``, or a local one when it is unset (tests)."""
+    """This application's folder below ``spark.checkpoint.dir``, which every executor sees.
+
+    Only where the setting is unset and the master is local, so that there is one machine, a folder there is taken; on a cluster
+    that is an error.  What is left of the folder when the application has ended can be deleted.
+    """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = f"file:///tmp/checkpoints/{sc.applicationId}"
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file:///tmp/checkpoints"
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(found)
-    return found
+    return os.path.join(found, f"paperloom-{sc.applicationId}")
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and lost executors cost nothing."""
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"paperloom-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), uuid.uuid4().hex)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``stored`` wrote for ``frames``, which nothing lazy may depend on any more."""
+    for df in frames:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            jvm = df.sparkSession.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The columns an operator reads (old=new name) and no others, whatever they are called."""
     return df.select(*(F.col(f"`{old}`").alias(new) for old, new in columns.items()))
+
+
+def joined_by(rows: DataFrame, one: DataFrame, names: list[str], count: str) -> DataFrame:
+    """``rows`` joined with ``one`` (stored; a row for each of ``names``, and ``count``, how many rows have them) on ``names``.
+
+    A hot name's rows do not meet in one task: the rows of ``one`` whose names hold more than a HOT_SHARE-th of all rows, at
+    most HOT_SHARE by their definition, are broadcast to where the rows lie; only the others are shuffled by name.
+    """
+    total = one.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    hot = F.col(count) > max(1, total // HOT_SHARE)
+    few, many = F.broadcast(one.where(hot)), one.where(~hot)
+    keys = few.select(*names)
+    return rows.join(few, names).unionByName(rows.join(F.broadcast(keys), names, "left_anti").join(many, names))
