@@ -1,17 +1,18 @@
 """Byte-level BPE encoding and decoding.
 
 Every text is cut by the tokenizer's split pattern in the JVM, and a block of texts (a bounded number of bytes of one partition)
-becomes indices into the block's *distinct* words.  Words come as arrays of byte ranks, and Spark higher-order functions fold
+is written to the shared folder as indices into the block's *distinct* words.  Words come as arrays of byte ranks, and Spark higher-order functions fold
 the ranked merges over those arrays; the rank map is a literal, a two-choice hash table over adjacent pairs.  Long words are
 folded in overlapping parts by the same fold.  Words that several blocks hold are counted over the whole corpus and folded once;
 the most common of them, up to a fixed number, are broadcast with their ids, and each block folds only what is left.  The texts
 themselves are never shuffled, so one hot text or word costs as little as any other, and a lost executor loses only the blocks it
-worked on.  Decoding concatenates the pieces of the ids, byte for byte, in the JVM.
+worked on.  Decoding concatenates the binary pieces of the ids.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,8 +26,8 @@ from .common import discard, only, stored, tune
 
 #: Bytes of words (with their offsets) after which a block is closed.
 BLOCK_BYTES = 32 << 20
-#: Words in one row for the fold; the rank map is read once for each row.
-ROW_WORDS = 20_000
+#: Words in one row for the fold.
+ROW_WORDS = 10_000
 #: Words folded for the whole corpus at once and broadcast with their ids, at most; all others are folded where they occur.
 COMMON = 1_000_000
 #: Bytes of a word that are folded at once; longer words are folded in parts that overlap by half.
@@ -136,19 +137,20 @@ def encoded(word: Column, table: Column, lens: Column, part: int = PART) -> Colu
     return F.when(n <= part, folded(word, table)).otherwise(parts)
 
 
-def _folds(words: str, ranks_path: str) -> Column:
-    """array<array<int>> column ``words``, with the byte ranks of words, to the ids of each; needs a column ``none``."""
+def with_ids(df: DataFrame, ranks_path: str, words: str = "words") -> DataFrame:
+    """``df`` with its column ``words``, array<array<int>> with the byte ranks of words, turned to the ids of each word.
+
+    The rank map and the lengths of the pieces are literals, cut once for a query: as scalar subqueries the arrays reach the
+    tasks ready to be read.  As literals in the fold's own expression the optimizer would compare and hash them all the time.
+    """
     ranks = load_ranks(ranks_path)
     lens = [0] * (max(ranks.values()) + 1)
     for w, r in ranks.items():
         lens[r] = len(w)
-    part = max(PART, 4 * max(lens))
-    # The literals stay strings: the optimizer compares and hashes literals again and again, which takes long for large
-    # arrays.  ``none``, an empty column, keeps them from being folded; they are cut once for each row of many words.
-    array = lambda values, kind: F.split(F.concat(F.lit(",".join(map(str, values))), F.col("none")), ",").cast(kind)
-    table, sizes = array(two_choice_table(pair_ranks(ranks)), "array<bigint>"), array(lens, "array<int>")
-    each = _let(F.struct(table.alias("t"), sizes.alias("s")), lambda m: F.transform(words, lambda w: encoded(w, m["t"], m["s"], part)))
-    return F.when(F.size(words) > 0, each).otherwise(F.array().cast("array<array<int>>"))
+    once = lambda values, kind: df.sparkSession.range(1).select(F.split(F.lit(",".join(map(str, values))), ",").cast(kind)).scalar()
+    each = F.transform(words, lambda w: encoded(w, F.col("_ranks"), F.col("_lens"), max(PART, 4 * max(lens))))
+    read = df.withColumns({"_ranks": once(two_choice_table(pair_ranks(ranks)), "array<bigint>"), "_lens": once(lens, "array<int>")})
+    return read.withColumn(words, each).drop("_ranks", "_lens")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -187,16 +189,52 @@ def _row(values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """The bytes of an array, compressed, after their number."""
+    raw = x.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(x: pa.Scalar, kind) -> np.ndarray:
+    data = x.as_buffer()
+    return np.frombuffer(pa.decompress(data.slice(8), int.from_bytes(data.slice(0, 8).to_pybytes(), "little"), codec="zstd"), dtype=kind)
+
+
+def _words(batch: pa.RecordBatch, i: int) -> pa.Array:
+    """The distinct words of the i-th block."""
+    lens, body = _unpack(batch.column("sizes")[i], np.int32), _unpack(batch.column("words")[i], np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.py_buffer(body)])
+
+
+def _cut(n_keys: int):
+    """Texts as lists of words -> blocks: keys, words a text, the place of each word among the distinct ones, and those."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _grouped(batches):
+            lists = _one(block.column("words"))
+            counts = np.diff(lists.offsets.to_numpy()).astype(np.int32)
+            coded = lists.flatten().dictionary_encode()
+            words = coded.dictionary.cast(pa.binary())
+            starts = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
+            body = np.frombuffer(words.buffers()[2], dtype=np.uint8)[starts[0] : starts[-1]] if starts[-1] > starts[0] else np.empty(0, np.uint8)
+            keys = pa.StructArray.from_arrays([_one(block.column(f"k{i}")) for i in range(n_keys)], [f"k{i}" for i in range(n_keys)])
+            binary = [pa.array([_pack(x)], pa.binary()) for x in (counts, coded.indices.to_numpy().astype(np.int32), np.diff(starts), body)]
+            yield pa.RecordBatch.from_arrays([_row(keys), *binary], ["keys", "counts", "indices", "sizes", "words"])
+
+    return run
+
+
 def _distinct(ranks_path: str):
-    """Texts as lists of words -> the distinct words of each block that are no pieces."""
+    """Blocks -> their distinct words that are no pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, _, _ = _pieces(ranks_path)
-        for block in _grouped(batches):
-            words = _one(block.column("words")).flatten().unique().cast(pa.binary())
-            words = words.filter(pc.is_null(pc.index_in(words, value_set=pieces)))
-            for a in range(0, len(words), 100_000):
-                yield pa.RecordBatch.from_arrays([words.slice(a, 100_000)], ["word"])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words = _words(batch, i)
+                words = words.filter(pc.is_null(pc.index_in(words, value_set=pieces)))
+                for a in range(0, len(words), 100_000):
+                    yield pa.RecordBatch.from_arrays([words.slice(a, 100_000)], ["word"])
 
     return run
 
@@ -206,30 +244,19 @@ def _packed(ranks_path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, _, single = _pieces(ranks_path)
-        held, n = [], 0
-
-        def row() -> pa.RecordBatch:
-            words = pa.concat_arrays(held)
-            return pa.RecordBatch.from_arrays([_row(words), _row(_byte_ranks(words, single)), pa.array([""])], ["raw", "words", "none"])
-
         for batch in batches:
-            held.append(batch.column("word"))
-            n += batch.num_rows
-            if n >= ROW_WORDS:
-                yield row()
-                held, n = [], 0
-        if held:
-            yield row()
+            words = batch.column("word")
+            yield pa.RecordBatch.from_arrays([_row(words), _row(_byte_ranks(words, single))], ["raw", "words"])
 
     return run
 
 
-def common_words(words: DataFrame, ranks_path: str, most: int = COMMON) -> tuple[pa.Array, pa.ListArray]:
-    """Words that more blocks of ``words`` (array<string>) than one hold, the most frequent first, and their ids; at most ``most``.
+def common_words(blocks: DataFrame, ranks_path: str, most: int = COMMON) -> tuple[pa.Array, pa.ListArray]:
+    """Words that more than one of ``blocks`` hold, the most frequent first, and their ids; at most ``most``.
 
     They are only there to save work: a word that is not among them is folded where it occurs.
     """
-    often = stored(words.mapInArrow(_distinct(ranks_path), "word binary").groupBy("word").agg(F.count("*").alias("n")).where("n > 1"))
+    often = stored(blocks.select("sizes", "words").mapInArrow(_distinct(ranks_path), "word binary").groupBy("word").agg(F.count("*").alias("n")).where("n > 1"))
     level = F.floor(8 * F.log2("n")).cast("int")
     total, least = 0, None
     for r in sorted(often.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
@@ -239,52 +266,50 @@ def common_words(words: DataFrame, ranks_path: str, most: int = COMMON) -> tuple
     if least is None:
         discard(often)
         return pa.array([], pa.binary()), pa.array([], pa.list_(pa.int32()))
-    rows = often.where(level >= least).select("word").repartition(-(-total // (ROW_WORDS // 4)), "word").mapInArrow(_packed(ranks_path), "raw array<binary>, words array<array<int>>, none string")
-    got = rows.select("raw", _folds("words", ranks_path).alias("ids")).toArrow().combine_chunks()
+    rows = often.where(level >= least).select("word").repartition(-(-total // ROW_WORDS), "word").mapInArrow(_packed(ranks_path), "raw array<binary>, words array<array<int>>")
+    got = with_ids(rows, ranks_path).toArrow().combine_chunks()
     discard(often)
-    return _one(got.column("raw")).flatten().cast(pa.binary()), _one(got.column("ids")).flatten().cast(pa.list_(pa.int32()))
+    return _one(got.column("raw")).flatten().cast(pa.binary()), _one(got.column("words")).flatten().cast(pa.list_(pa.int32()))
 
 
-def _blocks(ranks_path: str, n_keys: int, known):
-    """Texts as lists of words -> rows of words still to be folded, then a row for the block they belong to."""
-    names = ["words", "keys", "counts", "indices", "lens", "given", "none"]
+def _todo(ranks_path: str, known):
+    """Blocks -> rows of words still to be folded, then the block's row with the ids of those that are known."""
+    names = ["words", "keys", "counts", "indices", "lens", "given"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, piece_ranks, single = _pieces(ranks_path)
         common = pa.ipc.open_stream(known.value).read_all().combine_chunks()
         common_words, common_ids = _one(common.column("word")), _one(common.column("ids"))
-        common_lens, common_flat = np.diff(common_ids.offsets.to_numpy()), common_ids.values.to_numpy()
-        common_at = common_ids.offsets.to_numpy()
-        for block in _grouped(batches):
-            lists = _one(block.column("words"))
-            counts = np.diff(lists.offsets.to_numpy()).astype(np.int32)
-            coded = lists.flatten().dictionary_encode()
-            words = coded.dictionary.cast(pa.binary())
-            piece = pc.index_in(words, value_set=pieces).fill_null(-1).to_numpy()
-            own = pc.index_in(words, value_set=common_words).fill_null(-1).to_numpy() if len(common_words) else np.full(len(words), -1)
-            own = np.where(piece >= 0, -1, own)
-            lens = np.where(piece >= 0, 1, np.where(own >= 0, common_lens[own] if len(common_words) else 0, 0)).astype(np.int32)
-            at = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])
-            given = np.empty(at[-1], dtype=np.int32)
-            given[at[:-1][piece >= 0]] = piece_ranks[piece[piece >= 0]]
-            mine = own[own >= 0]
-            n = common_lens[mine] if len(mine) else np.empty(0, np.int64)
-            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            given[np.repeat(at[:-1][own >= 0], n) + inside] = common_flat[np.repeat(common_at[mine], n) + inside] if len(mine) else 0
-            left = words.filter(pa.array(lens == 0))
-            keys = pa.StructArray.from_arrays([_one(block.column(f"k{i}")) for i in range(n_keys)], [f"k{i}" for i in range(n_keys)])
-            for a in range(0, len(left), ROW_WORDS):
-                part = _row(_byte_ranks(left.slice(a, ROW_WORDS), single))
-                yield pa.RecordBatch.from_arrays([part, pa.nulls(1, pa.list_(keys.type)), *(pa.nulls(1, pa.binary()) for _ in range(4)), pa.array([""])], names)
-            none = pa.array([[]], pa.list_(pa.list_(pa.int32())))
-            binary = [pa.array([x.tobytes()], pa.binary()) for x in (counts, coded.indices.to_numpy().astype(np.int32), lens, given)]
-            yield pa.RecordBatch.from_arrays([none, _row(keys), *binary, pa.array([""])], names)
+        common_at, common_flat = common_ids.offsets.to_numpy(), common_ids.values.to_numpy()
+        common_lens = np.diff(common_at) if len(common_words) else np.zeros(1, np.int32)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words = _words(batch, i)
+                piece = pc.index_in(words, value_set=pieces).fill_null(-1).to_numpy()
+                own = pc.index_in(words, value_set=common_words).fill_null(-1).to_numpy() if len(common_words) else np.full(len(words), -1)
+                own = np.where(piece >= 0, -1, own)
+                lens = np.where(piece >= 0, 1, np.where(own >= 0, common_lens[own], 0)).astype(np.int32)
+                at = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])
+                given = np.empty(at[-1], dtype=np.int32)
+                given[at[:-1][piece >= 0]] = piece_ranks[piece[piece >= 0]]
+                mine = own[own >= 0]
+                if len(mine):
+                    n = common_lens[mine]
+                    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    given[np.repeat(at[:-1][own >= 0], n) + inside] = common_flat[np.repeat(common_at[mine], n) + inside]
+                left = words.filter(pa.array(lens == 0))
+                keys = batch.column("keys")
+                for a in range(0, len(left), ROW_WORDS):
+                    part = _row(_byte_ranks(left.slice(a, ROW_WORDS), single))
+                    yield pa.RecordBatch.from_arrays([part, pa.nulls(1, keys.type), *(pa.nulls(1, pa.binary()) for _ in range(4))], names)
+                none = pa.array([[]], pa.list_(pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays([none, keys.slice(i, 1), batch.column("counts").slice(i, 1), batch.column("indices").slice(i, 1), *(pa.array([_pack(x)], pa.binary()) for x in (lens, given))], names)
 
     return run
 
 
-def _assembled(n_keys: int):
-    """Rows of folded words, each group followed by its block's row -> one row for each text."""
+def _assembled(n_keys: int, rows, names: list[str]):
+    """Rows of folded words, each group followed by its block's row -> what ``rows`` makes of each slice of texts' ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folded_lens, folded_ids = [], []
@@ -296,7 +321,7 @@ def _assembled(n_keys: int):
                 if not batch.column("keys")[i].is_valid:
                     continue
                 keys = batch.column("keys").slice(i, 1).flatten()
-                counts, index, lens, given = (np.frombuffer(batch.column(c)[i].as_buffer(), dtype=np.int32) for c in ("counts", "indices", "lens", "given"))
+                counts, index, lens, given = (_unpack(batch.column(c)[i], np.int32) for c in ("counts", "indices", "lens", "given"))
                 # Words stand by their first place; those already known and those folded fill the gaps of each other.
                 new = lens == 0
                 lens = lens.astype(np.int64)
@@ -306,7 +331,7 @@ def _assembled(n_keys: int):
                 fresh = np.repeat(new, lens)
                 values[fresh], values[~fresh] = np.concatenate(folded_ids), given
                 folded_lens, folded_ids = [], []
-                step = max(1, int(len(counts) * 2_000_000 // max(1, len(index))))
+                step = max(1, int(len(counts) * 500_000 // max(1, len(index))))
                 ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
                 for a in range(0, len(counts), step):
                     b = min(len(counts), a + step)
@@ -316,58 +341,73 @@ def _assembled(n_keys: int):
                     ids = values[np.repeat(at[own] - upto[:-1], n) + np.arange(upto[-1])] if len(own) else values[:0]
                     cut = upto[ends[a : b + 1] - ends[a]].astype(np.int32)
                     part = keys.slice(a, b - a)
-                    yield pa.RecordBatch.from_arrays([*(part.field(k) for k in range(n_keys)), pa.ListArray.from_arrays(pa.array(cut), pa.array(ids))], [*(f"k{k}" for k in range(n_keys)), "ids"])
+                    yield pa.RecordBatch.from_arrays([*(part.field(k) for k in range(n_keys)), *rows(ids, cut)], [*(f"k{k}" for k in range(n_keys)), *names])
 
     return run
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per row of ``df``: its ``keys`` and ``ids``, the array of token ids of its whole text.
-
-    ``pattern`` splits the text; every match is encoded separately, without special tokens.  Null and empty texts give an
-    empty array, repeated rows one result each, an empty table no rows; keys may be null.  Only ``keys`` and ``text`` are read, so
-    further columns, whatever their names, do no harm.  Words may be of any length.  ``ranks_path`` is a file on every machine
-    (part of the installed library).
-    """
+def _encoded(df: DataFrame, ranks_path: str, pattern: str, text: str, keys: tuple[str, ...], rows, kinds: dict[str, str]) -> DataFrame:
     spark = df.sparkSession
     tune(spark)
     names = {f"k{i}": k for i, k in enumerate(keys)}
     words = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
     source = only(df, **{text: "text"} | {old: k for k, old in names.items()}).select(*names, words.alias("words"))
-    common = pa.table(common_words(source.select("words"), ranks_path), ["word", "ids"])
+    of_keys = ", ".join(f"{k}: {source.schema[k].dataType.simpleString()}" for k in names)
+    blocks = stored(source.mapInArrow(_cut(len(keys)), f"keys array<struct<{of_keys}>>, counts binary, indices binary, sizes binary, words binary"))
+    common = pa.table(common_words(blocks, ranks_path), ["word", "ids"])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, common.schema) as writer:
         writer.write_table(common)
     known = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
-    kinds = ", ".join(f"{k}: {source.schema[k].dataType.simpleString()}" for k in names)
-    blocks = source.mapInArrow(_blocks(ranks_path, len(keys), known), f"words array<array<int>>, keys array<struct<{kinds}>>, counts binary, indices binary, lens binary, given binary, none string")
-    merged = blocks.select("keys", "counts", "indices", "lens", "given", _folds("words", ranks_path).alias("words"))
-    out = merged.mapInArrow(_assembled(len(keys)), ", ".join(f"{k} {source.schema[k].dataType.simpleString()}" for k in names) + ", ids array<int>")
-    return out.select(*(F.col(k).alias(old) for k, old in names.items()), "ids")
+    todo = blocks.mapInArrow(_todo(ranks_path, known), f"words array<array<int>>, keys array<struct<{of_keys}>>, counts binary, indices binary, lens binary, given binary")
+    out = ", ".join([*(f"{k} {source.schema[k].dataType.simpleString()}" for k in names), *(f"{c} {kind}" for c, kind in kinds.items())])
+    merged = with_ids(todo, ranks_path).mapInArrow(_assembled(len(keys), rows, list(kinds)), out)
+    return merged.select(*(F.col(k).alias(old) for k, old in names.items()), *kinds)
+
+
+def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per row of ``df``: its ``keys`` and ``ids``, the array of token ids of its whole text.
+
+    ``pattern`` splits the text; every match is encoded separately, without special tokens.  Null and empty texts give an
+    empty array, repeated rows one result each, an empty table no rows; keys may be null.  Only ``keys`` and ``text`` are read, so
+    further columns, whatever their names, do no harm.  Words may be of any length.  ``ranks_path`` is a file on every machine
+    (part of the installed library).
+    """
+    return _encoded(df, ranks_path, pattern, text, keys, lambda ids, cut: [pa.ListArray.from_arrays(pa.array(cut), pa.array(ids))], {"ids": "array<int>"})
 
 
 @lru_cache(maxsize=4)
-def _piece_text(ranks_path: str) -> str:
-    """The pieces by rank, a character for each byte, parted by a character that is no byte."""
+def pieces(ranks_path: str) -> np.ndarray:
+    """The binary piece of each id."""
     ranks = load_ranks(ranks_path)
-    by_rank = [""] * (max(ranks.values()) + 1)
+    out = np.full(max(ranks.values()) + 1, b"", dtype=object)
     for w, r in ranks.items():
-        by_rank[r] = w.decode("latin-1")
-    return "\u0100".join(by_rank)
+        out[r] = w
+    return out
+
 
+def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``df`` with ``out`` (replaced if it was there): the concatenated binary pieces of ``ids``.  A null array gives null, an
+    empty one no bytes; an id that is none fails."""
+    tune(df.sparkSession)
 
-def decoded(ids: Column, ranks_path: str) -> Column:
-    """The concatenated binary pieces of an array of ids.  A null array gives null, an empty one no bytes."""
-    pieces = F.split(F.lit(_piece_text(ranks_path)), "\u0100")
-    return F.encode(F.array_join(F.transform(ids, lambda x: F.element_at(pieces, x + 1)), ""), "ISO-8859-1")
+    @F.pandas_udf("binary")
+    def joined(column):
+        own = pieces(ranks_path)
+        return column.map(lambda x: None if x is None else b"".join(own[np.asarray(x, dtype=np.int64)]))
 
+    return df.withColumn(out, joined(F.col(f"`{ids}`")))
 
-def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """``df`` with ``out``, the bytes of ``ids`` (replaced if it was there)."""
-    return df.withColumn(out, decoded(F.col(f"`{ids}`"), ranks_path))
 
+def digests(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``key``, ``n_tokens``, and the SHA-256 of the decimal ids and of the bytes that they decode to; rows as for ``encode``."""
+
+    def rows(ids: np.ndarray, cut: np.ndarray) -> list[pa.Array]:
+        own = pieces(ranks_path)
+        decimal = np.array([str(i).encode() for i in range(len(own))], dtype=object)
+        each = [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        told = [hashlib.sha256(b" ".join(decimal[x])).hexdigest() for x in each]
+        back = [hashlib.sha256(b"".join(own[x])).hexdigest() for x in each]
+        return [pa.array(np.diff(cut).astype(np.int64)), pa.array(told, pa.string()), pa.array(back, pa.string())]
 
-def digests(encoded: DataFrame, ranks_path: str, key: str = "doc_id") -> DataFrame:
-    """``key``, ``n_tokens``, and the SHA-256 of the decimal ids and of the decoded bytes."""
-    decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return encoded.select(key, F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal.cast("binary"), 256).alias("ids_sha256"), F.sha2(decoded(F.col("ids"), ranks_path), 256).alias("decoded_sha256"))
+    return _encoded(df, ranks_path, pattern, text, (key,), rows, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"})
