@@ -140,16 +140,17 @@ def encoded(word: Column, table: Column, lens: Column, part: int = PART) -> Colu
 def with_ids(df: DataFrame, ranks_path: str, words: str = "words") -> DataFrame:
     """``df`` with its column ``words``, array<array<int>> with the byte ranks of words, turned to the ids of each word.
 
-    The rank map and the lengths of the pieces are literals, cut once for a query: as scalar subqueries the arrays reach the
-    tasks ready to be read.  As literals in the fold's own expression the optimizer would compare and hash them all the time.
+    The rank map and the lengths of the pieces are literal arrays in a relation of one row, read once for a query as scalar
+    subqueries, so that the tasks get them ready to be read.  As literals in the fold's own expression the optimizer would
+    compare, hash and print them all the time.
     """
     ranks = load_ranks(ranks_path)
-    lens = [0] * (max(ranks.values()) + 1)
+    lens = np.zeros(max(ranks.values()) + 1, dtype=np.int32)
     for w, r in ranks.items():
         lens[r] = len(w)
-    once = lambda values, kind: df.sparkSession.range(1).select(F.split(F.lit(",".join(map(str, values))), ",").cast(kind)).scalar()
-    each = F.transform(words, lambda w: encoded(w, F.col("_ranks"), F.col("_lens"), max(PART, 4 * max(lens))))
-    read = df.withColumns({"_ranks": once(two_choice_table(pair_ranks(ranks)), "array<bigint>"), "_lens": once(lens, "array<int>")})
+    once = lambda x: df.sparkSession.createDataFrame(pa.table({"x": pa.array([x], pa.list_(pa.from_numpy_dtype(x.dtype)))})).scalar()
+    each = F.transform(words, lambda w: encoded(w, F.col("_ranks"), F.col("_lens"), max(PART, 4 * int(lens.max()))))
+    read = df.withColumns({"_ranks": once(np.array(two_choice_table(pair_ranks(ranks)))), "_lens": once(lens)})
     return read.withColumn(words, each).drop("_ranks", "_lens")
 
 
