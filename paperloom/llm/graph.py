@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating stars.
 
-Every round sends each node's larger neighbours to its smallest one, then the same for the smaller ones; smallest neighbours
-come from partial aggregates and one join, so a node with many edges makes no large group.  Rounds end when the edges repeat.
+Every round sends each node's larger neighbours to its smallest one, then the same for the smaller ones.  Smallest neighbours
+come from partial aggregates and are joined back; those of hubs, nodes with more than a fixed share of all edges, are broadcast
+to where the edges lie, so a hub's edges never meet in one task.  Rounds end when the edges repeat.
 """
 
 from __future__ import annotations
@@ -9,29 +10,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, joined_by, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    joined = near.join(low, "a")
+    low = stored(near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n")))
+    joined = joined_by(near, low, ["a"], "n")
     if large:
         out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    out = stored(out.where("a <> b").distinct())
+    discard(low)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b: long); root is the component's smallest node."""
+    """(node, root) for every node of ``edges`` (a, b: long), stored; root is the component's smallest node."""
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     mark = None
     while True:
-        now = stored(_star(_star(now, True), False))
+        large = _star(now, True)
+        small = _star(large, False)
+        discard(now, large)
+        now = small
         new = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.shiftright(F.xxhash64("b", "a"), 20))).first()
         if new == mark:
             break
         mark = new
-    return now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out = stored(now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
+    discard(now)
+    return out

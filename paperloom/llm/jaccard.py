@@ -6,11 +6,13 @@ Small sets: |A and B| leaves out at most s - ceil(num * s / den) elements of a s
 subsets of every size that an intersection can have.  Two sets with a subset of c elements in common have an intersection of
 at least c; within a key, whatever links at all links with the smallest set, so a star of links says everything.
 
-Large sets: inverted lists over the necessary prefix of each set in one global order (rare first).  In a list, each set is
-held against its neighbour by size and against the list's first; a bound from histograms of the members' leading bits drops
-most other pairs, and exact intersections decide.  What these links join is one
-component; in lists that still hold several, every member outside the largest component is held against all members of other
-components.  So every linked pair is found, or is already joined, without all pairs of a group of near copies.
+Large sets: inverted lists over the necessary prefix of each set in one global order (rare first).  Lists of up to three members
+give all their pairs.  In longer ones each set is held against its neighbour by size and against the list's first; of these
+partners a set keeps the few that most of its lists name, so a group of near copies gives a bounded number of pairs for each member,
+a star around few of them.  A bound from histograms of the members' leading bits drops most other pairs, and exact intersections
+decide.  What these links join is one component; in lists that still hold several, every member outside the largest component is
+held against all members of other components.  So every linked pair is found, or is already joined, without all pairs of a group
+of near copies.
 
 The boundary between small and large is the one of least cost, from the histogram of set sizes.  Order: shingles that occur in
 many texts of some block of the corpus come last, by their count; only their order is a hint, so the bound on their number drops
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import only, stored, tune
+from .common import discard, only, stored, tune
 from .graph import components
 
 #: Shingles in a block in which frequent ones are looked for, the count there that makes one frequent, and how many are kept.
@@ -40,10 +42,9 @@ CHECK_COST, SMALL_LIMIT = 24, 39
 COARSE, FINE, MANY = 6, 9, 2000
 #: Bins of the small histograms that bound the intersections of pairs inside a join.
 SKETCH = 32
-#: Members of one salted part of a list.
-PART = 500
-#: Classes up to which those with candidates are broadcast to find their texts.
-BROADCAST_CLASSES = 500_000
+#: Members of one salted part of a list, and partners that a set keeps from its long lists in the first round; what they leave out
+#: the second round looks at.
+PART, PARTNERS = 500, 2
 
 
 def class_key(s: np.ndarray) -> np.uint64:
@@ -134,7 +135,8 @@ def _surveyed(k: int, separators: np.ndarray):
 
 
 def _keys(k: int, separators: np.ndarray, num: int, den: int, limit: int, hint_keys: np.ndarray, hint_counts: np.ndarray):
-    """Documents -> (key, c, salt, node, s).  c: the subset's size, or 0 for a member of an inverted list."""
+    """Documents -> (key, c, salt, node, s).  c: the subset's size, or 0 for a member of an inverted list; salt: 0, or from 1 on the
+    part of a frequent shingle's list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -161,7 +163,8 @@ def _keys(k: int, separators: np.ndarray, num: int, den: int, limit: int, hint_k
                     count = np.where(hint_keys[at] == one, hint_counts[at], 0) if len(hint_keys) else np.zeros(s, np.int64)
                     first = np.lexsort((one, count))[: s - least + 1]
                     parts = count[first] // PART + 1
-                    rows.append((one[first], np.zeros(len(first), np.int64), (node % parts.astype(np.uint64)).astype(np.int64), node, s))
+                    salt = np.where(parts > 1, 1 + (node % parts.astype(np.uint64)).astype(np.int64), 0)
+                    rows.append((one[first], np.zeros(len(first), np.int64), salt, node, s))
             if rows:
                 n = [len(r[0]) for r in rows]
                 columns = [np.concatenate([r[0] for r in rows]).astype(np.int64), np.concatenate([r[1] for r in rows]).astype(np.int64), np.concatenate([r[2] for r in rows]), np.repeat(np.array([r[3] for r in rows], dtype=np.uint64), n).astype(np.int64), np.repeat([r[4] for r in rows], n)]
@@ -223,6 +226,7 @@ def link(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, k: int =
     raw = stored(d.select("text").mapInArrow(make, "key long, c long, salt long, node long, s long"))
     several = raw.groupBy("key", "c").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p <> q")
     keys = stored(raw.join(several, ["key", "c"], "left_semi").distinct())
+    discard(raw)
 
     # Small sets: stars around the smallest member of each key.
     small = keys.where("c > 0")
@@ -230,49 +234,57 @@ def link(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, k: int =
     fits = den * F.col("c") >= num * (F.col("s") + F.col("s0") - F.col("c"))
     links = small.join(star, ["key", "c"]).where((F.col("node") != F.col("a")) & fits).select("a", F.col("node").alias("b"))
 
-    # Large sets: neighbours and first members of each part of a list, then the parts' first members among themselves.
+    # Large sets: neighbours and first members of each part of a list, then the parts' first members and the list's.
     lists = keys.where("c = 0").select("key", "salt", "node", "s")
-    by_part = Window.partitionBy("key", "salt").orderBy("s", "node")
-    placed = lists.select("*", F.lag(F.struct("node", "s")).over(by_part).alias("before"), F.first(F.struct("node", "s")).over(by_part).alias("first"))
-    heads = lists.groupBy("key", "salt").agg(F.min(F.struct("s", "node")).alias("h")).select("key", "h.node", "h.s")
-    by_key = Window.partitionBy("key").orderBy("s", "node")
-    heads = heads.select("node", "s", F.lag(F.struct("node", "s")).over(by_key).alias("before"), F.first(F.struct("node", "s")).over(by_key).alias("first"))
+    part = Window.partitionBy("key", "salt")
+    by_size = part.orderBy("s", "node")
+    who = F.struct("node", "s")
+    placed = lists.select("*", F.lag(who).over(by_size).alias("before"), F.first(who).over(by_size).alias("first"), F.count("*").over(part).alias("n"))
+    placed = placed.select("node", "s", "before", "first", ((F.col("salt") == 0) & (F.col("n") <= 3)).alias("all"))
+    heads = lists.where("salt > 0").groupBy("key", "salt").agg(F.min(F.struct("s", "node")).alias("h"))
+    heads = heads.join(heads.groupBy("key").agg(F.min("h").alias("f")), "key").select("h.node", "h.s", F.lit(None).alias("before"), F.struct("f.node", "f.s").alias("first"), F.lit(False).alias("all"))
     near = lambda p, q: den * F.least(p, q) >= num * F.greatest(p, q)
-    other = placed.select("node", "s", "before", "first").union(heads).select("node", "s", F.explode(F.array("before", "first")).alias("o")).where("o is not null and o.node <> node")
-    first = other.where(near(F.col("o.s"), F.col("s")) & ((F.col("s") > limit) | (F.col("o.s") > limit))).select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b"))
+    other = placed.union(heads).select("node", "s", "all", F.explode(F.array("before", "first")).alias("o")).where("o is not null and o.node <> node")
+    other = other.where(near(F.col("o.s"), F.col("s")) & ((F.col("s") > limit) | (F.col("o.s") > limit)))
+    named = other.groupBy("node", F.col("o.node").alias("o")).agg(F.max("all").alias("all"), F.count("*").alias("n"))
+    best = F.row_number().over(Window.partitionBy("node", "all").orderBy(F.desc("n"), "o"))
+    first = named.withColumn("r", best).where(F.col("all") | (F.col("r") <= PARTNERS)).select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b"))
     tried = stored(first.distinct())
-    classes = docs.where("s > 0").groupBy("node").agg(F.min("doc").alias("least"), F.first("s").alias("s"), F.first("hist").alias("hist"), F.first("sketch").alias("sketch"))
+    classes = stored(docs.where("s > 0").groupBy("node").agg(F.min("doc").alias("least"), F.first("s").alias("s"), F.first("hist").alias("hist"), F.first("sketch").alias("sketch")))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        x = classes.select(F.col("node").alias("a"), F.col("hist").alias("x"), F.col("s").alias("xs"))
-        y = classes.select(F.col("node").alias("b"), F.col("hist").alias("y"), F.col("s").alias("ys"))
-        pairs = stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "xs", "ys").mapInArrow(_possible(num, den), "a long, b long"))
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        ids = stored(wanted.join(classes, "node").select("node", F.col("least").alias("doc")))
-        side = F.broadcast(ids) if ids.count() <= BROADCAST_CLASSES else ids
+        ends = lambda p: p.select(F.col("a").alias("node")).union(p.select(F.col("b").alias("node"))).distinct()
+        known = stored(classes.join(ends(pairs), "node", "left_semi").select("node", "s", "hist"))
+        x = known.select(F.col("node").alias("a"), F.col("hist").alias("x"), F.col("s").alias("xs"))
+        y = known.select(F.col("node").alias("b"), F.col("hist").alias("y"), F.col("s").alias("ys"))
+        likely = stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "xs", "ys").mapInArrow(_possible(num, den), "a long, b long"))
+        ids = classes.join(ends(likely), "node", "left_semi").select("node", F.col("least").alias("doc"))
         # An id can stand for several texts, so a set also has to have the key it is wanted for.
-        have = d.join(side, "doc").select("node", "text").mapInArrow(_sets_of(k, separators), "node long, members binary").dropDuplicates(["node"])
-        have = stored(have)
-        both = pairs.join(have.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(have.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
-        return stored(both.select("a", "b", "x", "y").mapInArrow(_linked(num, den), "a long, b long"))
+        have = stored(d.join(ids, "doc").select("node", "text").mapInArrow(_sets_of(k, separators), "node long, members binary").dropDuplicates(["node"]))
+        both = likely.join(have.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(have.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
+        out = stored(both.select("a", "b", "x", "y").mapInArrow(_linked(num, den), "a long, b long"))
+        discard(known, likely, have)
+        return out
 
     found = links.union(verified(tried))
-    roots = stored(components(found))
+    roots = components(found)
     # Lists that still hold several components: all that lie outside the largest, against the members of other components.
-    # In one part of up to three members, and between two members, the first round has tried all pairs.
-    long_lists = lists.groupBy("key").agg(F.count("*").alias("n"), F.min("salt").alias("low"), F.max("salt").alias("high")).where("n > 3 or n = 3 and low <> high").select("key")
-    of = lists.join(long_lists, "key").join(roots, "node", "left").select("key", "node", "s", F.coalesce("root", "node").alias("root"))
-    several = of.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1").select("key", "main")
-    rest = stored(of.join(several, "key").join(classes.select("node", "sketch"), "node"))
-    minor = rest.where("root <> main").select("key", F.col("node").alias("p"), F.col("s").alias("ps"), F.col("root").alias("pr"), F.col("sketch").alias("psketch"))
+    # In an unsalted list of up to three members the first round has tried all pairs.
+    salts = F.explode(F.sequence(F.least("high", F.lit(1)), "high")).alias("salt")
+    long_lists = lists.groupBy("key").agg(F.count("*").alias("n"), F.max("salt").alias("high")).where("n > 3 or high > 0 and n > 1").select("key", salts, "high")
+    of = lists.join(long_lists, ["key", "salt"]).join(roots, "node", "left").select("key", "salt", "high", "node", "s", F.coalesce("root", "node").alias("root"))
+    several = of.groupBy("key", "high", "root").agg(F.count("*").alias("n")).groupBy("key", "high").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1").select("key", salts, "main")
+    rest = stored(of.join(several, ["key", "salt"]).join(classes.select("node", "sketch"), "node"))
+    # A member outside the largest component meets each part of its list where that part lies.
+    minor = rest.where("root <> main").select("key", F.explode(F.sequence(F.least("high", F.lit(1)), "high")).alias("salt"), F.col("node").alias("p"), F.col("s").alias("ps"), F.col("root").alias("pr"), F.col("sketch").alias("psketch"))
     # Inside the join's condition, so that of a long list only pairs that may be linked come out.
     common = F.aggregate(F.zip_with("sketch", "psketch", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
     possible = den * common >= num * (F.col("s") + F.col("ps") - common)
-    more = minor.join(rest, "key").where((F.col("pr") != F.col("root")) & near(F.col("ps"), F.col("s")) & ((F.col("root") == F.col("main")) | (F.col("p") < F.col("node"))) & ((F.col("s") > limit) | (F.col("ps") > limit)) & possible)
-    more = more.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = stored(more)
+    more = minor.join(rest, ["key", "salt"]).where((F.col("pr") != F.col("root")) & near(F.col("ps"), F.col("s")) & ((F.col("root") == F.col("main")) | (F.col("p") < F.col("node"))) & ((F.col("s") > limit) | (F.col("ps") > limit)) & possible)
+    more = stored(more.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        roots = stored(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(more))))
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(more)))
+    discard(keys, tried, rest, more)
     whole = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = whole.join(whole.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component")
     out = docs.drop("hist", "sketch").join(named, "node", "left")
