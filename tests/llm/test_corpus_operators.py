@@ -61,6 +61,7 @@ def test_jaccard_components_against_brute_force(spark, k, num):
 def test_jaccard_of_lists_with_three_members_in_two_parts(spark, monkeypatch):
     """Two sets link by frequent words only, whose salted lists hold a third, smaller set besides and nothing more."""
     monkeypatch.setattr(jaccard, "PART", 2)
+    monkeypatch.setattr(jaccard, "PARTNERS", 1)
     monkeypatch.setattr(jaccard, "SMALL_LIMIT", 0)
     texts = []
     for g in range(30):
