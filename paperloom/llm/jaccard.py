@@ -10,7 +10,8 @@ Large sets: inverted lists over the necessary prefix of each set in one global o
 give all their pairs.  In longer ones each set is held against its neighbour by size and against the list's first; of these
 partners a set keeps the few that most of its lists name, so a group of near copies gives a bounded number of pairs for each member,
 a star around few of them.  A bound from histograms of the members' leading bits drops most other pairs, and exact intersections
-decide.  What these links join is one component; in lists that still hold several, every member outside the largest component is
+decide.  What these links join is one component.  In lists that still hold several, members are held against others in further
+rounds, in another order each, as long as these find links; in the last round every member outside a list's largest component is
 held against all members of other components.  So every linked pair is found, or is already joined, without all pairs of a group
 of near copies.
 
@@ -42,9 +43,11 @@ CHECK_COST, SMALL_LIMIT = 24, 39
 COARSE, FINE, MANY = 6, 9, 2000
 #: Bins of the small histograms that bound the intersections of pairs inside a join.
 SKETCH = 32
-#: Members of one salted part of a list, and partners that a set keeps from its long lists in the first round; what they leave out
-#: the second round looks at.
-PART, PARTNERS = 500, 2
+#: Members of one salted part of a list.
+PART = 500
+#: Partners that a set keeps from its long lists in a round, rounds at most, and one in how many pairs must link for a further
+#: one.  What they leave out the last round looks at, which tries everything.
+PARTNERS, TURNS, FRUITFUL = 3, 8, 4
 
 
 def class_key(s: np.ndarray) -> np.uint64:
@@ -266,31 +269,69 @@ def link(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, k: int =
         discard(known, likely, have)
         return out
 
-    found = links.union(verified(tried))
-    roots = components(found)
-    # Lists that still hold several components: all that lie outside the largest, against the members of other components.
-    # In an unsalted list of up to three members the first round has tried all pairs.
-    salts = F.explode(F.sequence(F.least("high", F.lit(1)), "high")).alias("salt")
-    long_lists = lists.groupBy("key").agg(F.count("*").alias("n"), F.max("salt").alias("high")).where("n > 3 or high > 0 and n > 1").select("key", salts, "high")
-    of = lists.join(long_lists, ["key", "salt"]).join(roots, "node", "left").select("key", "salt", "high", "node", "s", F.coalesce("root", "node").alias("root"))
-    several = of.groupBy("key", "high", "root").agg(F.count("*").alias("n")).groupBy("key", "high").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1").select("key", salts, "main")
-    rest = stored(of.join(several, ["key", "salt"]).join(classes.select("node", "sketch"), "node"))
-    # A member outside the largest component meets each part of its list where that part lies.
-    minor = rest.where("root <> main").select("key", F.explode(F.sequence(F.least("high", F.lit(1)), "high")).alias("salt"), F.col("node").alias("p"), F.col("s").alias("ps"), F.col("root").alias("pr"), F.col("sketch").alias("psketch"))
-    # Inside the join's condition, so that of a long list only pairs that may be linked come out.
-    common = F.aggregate(F.zip_with("sketch", "psketch", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
-    possible = den * common >= num * (F.col("s") + F.col("ps") - common)
-    more = minor.join(rest, ["key", "salt"]).where((F.col("pr") != F.col("root")) & near(F.col("ps"), F.col("s")) & ((F.col("root") == F.col("main")) | (F.col("p") < F.col("node"))) & ((F.col("s") > limit) | (F.col("ps") > limit)) & possible)
-    more = stored(more.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(more)))
-    discard(keys, tried, rest, more)
+    roots = components(links.union(verified(tried)))
+    asked, turn = [tried], 0
+    while True:
+        rest = stored(_unsettled(lists, roots, classes))
+        common = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.least(p, q)), F.lit(0), lambda t, v: t + v)
+        may = lambda xs, x, ys, y: near(xs, ys) & ((xs > limit) | (ys > limit)) & (den * common(x, y) >= num * (xs + ys - common(x, y)))
+        pairs = _neighbours(rest, turn, may) if turn >= 0 else _others(rest, may)
+        for old in asked:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        pairs = stored(pairs)
+        n = pairs.count()
+        new = verified(pairs) if n else pairs
+        discard(rest)
+        if n:
+            joined = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new))
+            few = new.count() * FRUITFUL < n
+            discard(roots, new)
+            roots = joined
+        asked.append(pairs)
+        if turn < 0:
+            break
+        turn = -1 if not n or few or turn + 1 == TURNS else turn + 1
+    discard(keys, *asked)
     whole = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = whole.join(whole.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component")
     out = docs.drop("hist", "sketch").join(named, "node", "left")
     return out.select(F.col("doc").alias(doc_id), F.col("s").alias("n_shingles"), F.when((F.col("s") > 0) & F.col("component").isNotNull(), F.col("component")).otherwise(F.col("doc")).alias("component_id"))
 
 
+def _unsettled(lists: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
+    """The members of lists that hold several components, with their components and the list's largest (main).
+
+    Of an unsalted list of up to three members all pairs have been tried.  ``salts`` are the parts of the list.
+    """
+    salts = F.sequence(F.least("high", F.lit(1)), "high").alias("salts")
+    long_lists = lists.groupBy("key").agg(F.count("*").alias("n"), F.max("salt").alias("high")).where("n > 3 or high > 0 and n > 1").select("key", salts)
+    of = lists.join(long_lists.select("*", F.explode("salts").alias("salt")), ["key", "salt"]).join(roots, "node", "left").select("key", "salt", "salts", "node", "s", F.coalesce("root", "node").alias("root"))
+    several = of.groupBy("key", "salts", "root").agg(F.count("*").alias("n")).groupBy("key", "salts").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1")
+    return of.join(several.select("key", F.explode("salts").alias("salt"), "main"), ["key", "salt"]).join(classes.select("node", "sketch"), "node")
+
+
+def _neighbours(rest: DataFrame, turn: int, may) -> DataFrame:
+    """(a, b): members and the one before them in a list, if in another component; for each member the PARTNERS that most of its
+    lists name.  Every turn deals a list's members to parts anew, and puts them in another order."""
+    deal = F.xxhash64(F.lit(turn), "node")
+    order = Window.partitionBy("key", F.pmod(deal, F.size("salts"))).orderBy(F.xxhash64(deal), "node")
+    met = rest.withColumn("o", F.lag(F.struct("node", "s", "root", "sketch")).over(order)).where("o is not null and o.root <> root")
+    named = met.where(may(F.col("s"), F.col("sketch"), F.col("o.s"), F.col("o.sketch"))).groupBy("node", F.col("o.node").alias("o")).agg(F.count("*").alias("n"))
+    best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "o"))
+    return named.withColumn("r", best).where(F.col("r") <= PARTNERS).select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct()
+
+
+def _others(rest: DataFrame, may) -> DataFrame:
+    """(a, b): every member outside its list's largest component and every member of another component in the list.
+
+    Such a member meets each part of its list where that part lies.  What cannot be linked is left out inside the join.
+    """
+    minor = rest.where("root <> main").select("key", F.explode("salts").alias("salt"), F.col("node").alias("p"), F.col("s").alias("ps"), F.col("root").alias("pr"), F.col("sketch").alias("psketch"))
+    other = (F.col("pr") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("p") < F.col("node")))
+    both = minor.join(rest, ["key", "salt"]).where(other & may(F.col("s"), F.col("sketch"), F.col("ps"), F.col("psketch")))
+    return both.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
+
+
 def _sets_of(k: int, separators: np.ndarray):
     """(node, text) -> (node, members), for texts whose set has the key ``node``."""
 
