@@ -26,73 +26,165 @@ PATH_DIM, WORD_DIM, OWN_DIM, HIDDEN = 96, 16, 6, 20
 TRAIN_PAGES, EPOCHS, BATCH = 500, 10, 20
 #: Padded blocks in one batch of pages.
 CELLS = 60_000
+#: Blocks that are read as one sequence, and how many of their neighbours are read with them.  Only pages of more blocks are cut.
+WINDOW, MARGIN = 4096, 512
+#: Elements of a path that are looked at, the innermost ones.
+DEPTH = 64
 
 #: Elements that do not break a line, that hold no text, and that have no end tag.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 SILENT = frozenset("script style noscript template iframe svg math object head textarea select option button canvas audio video map".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An open element of these is closed by a new one of its group.
-CLOSERS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+CLOSERS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "button": {"button"}}
 NO_P_INSIDE = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|iframe|template)\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*>|([^<]+|<)""", re.S | re.I)
+#: What may stand in a head; elements that hold phrases only; elements whose content is no markup.
+IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
+PHRASING = frozenset("audio button canvas map option select video".split())
+RAW = frozenset("script style textarea title noscript iframe template xmp".split())
+
+# Possessive throughout: no character is read twice by one of them.  A quoted value ends before a space, a slash or the tag's end;
+# where it does not, the quotes are unbalanced and mean nothing.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:"[^"]*+"(?=[\s/>])|'[^']*+'(?=[\s/>]))|[^>])*+)>""")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _PART = re.compile(r"[a-z]+")
+_ENDS = re.compile(r"</([a-zA-Z][^\s/>]*)")
+_MARK = re.compile(r"<(?=[a-zA-Z/!?])")
+
+
+def tags(page: str) -> Iterator[tuple[str, bool, str] | str]:
+    """Text, and (name, whether it is an end, attributes) of tags, in page order and in linear time.
+
+    Comments, declarations and what is inside RAW elements are left out.  An unfinished comment or declaration reaches to the
+    end of the page; a raw element without an end tag reaches to the next tag.  Once a tag has no end because of its quotes, quotes
+    mean nothing in the rest of the page; a tag without any end is text.
+    """
+    last: dict[str, int] = {m[1].lower(): m.start() for m in _ENDS.finditer(page)}
+    at, n, tag = 0, len(page), _TAG
+    while at < n:
+        mark = page.find("<", at)
+        if mark < 0:
+            yield page[at:]
+            return
+        if mark > at:
+            yield page[at:mark]
+        at = mark
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = end + 3 if end >= 0 else n
+            continue
+        if page.startswith(("<!", "<?"), at):
+            end = page.find(">", at)
+            at = end + 1 if end >= 0 else n
+            continue
+        if not _MARK.match(page, at):
+            yield "<"
+            at += 1
+            continue
+        m = tag.match(page, at)
+        if m is None and tag is _TAG and page.find(">", at) >= 0 and page[at + 1 : at + 2] != "/":
+            tag = _PLAIN_TAG
+            m = tag.match(page, at)
+        if m is None:
+            if page.find(">", at) < 0:
+                yield page[at:]
+                return
+            yield "<"  # an end without a name
+            at += 1
+            continue
+        at, name = m.end(), m[2].lower()
+        if name in RAW and not m[1]:
+            if last.get(name, -1) >= at:
+                stop = re.compile(f"</{re.escape(name)}(?=[\\s/>])", re.I).search(page, at)
+                at = stop.start() if stop else at
+            else:
+                stop = _MARK.search(page, at)
+                at = stop.start() if stop else n
+            continue
+        yield name, bool(m[1]), m[3]
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
-    """(path, text, share of its characters inside links) of every leaf block, in page order."""
+    """(path, text, share of its characters inside links) of every leaf block, in page order.
+
+    A head without an end tag ends where something stands that no head has; elements that hold phrases only (buttons, lists of
+    options) end where a block begins; silent elements that are never ended are not silent.
+    """
     out: list[tuple[tuple[str, ...], str, float]] = []
+    ends_left: dict[str, int] = {}
+    for m in _ENDS.finditer(page):
+        ends_left[m[1].lower()] = ends_left.get(m[1].lower(), 0) + 1
     stack: list[tuple[str, tuple[str, ...]]] = []
+    opened: dict[str, int] = {}
     parts: list[str] = []
+    path: tuple[str, ...] | None = None
     links, silent, linked = 0, 0, 0
 
     def close() -> None:
-        nonlocal linked
+        nonlocal linked, path
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((tuple(w for _, ws in stack for w in ws), text, min(1.0, linked / max(1, len(text)))))
+                if path is None:
+                    path = tuple(w for _, ws in stack[-DEPTH:] for w in ws)
+                out.append((path, text, min(1.0, linked / max(1, len(text)))))
             parts.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
-        text = m[5]
-        if text is not None:
+    def pop() -> str:
+        nonlocal silent, path
+        name, _ = stack.pop()
+        opened[name] -= 1
+        silent -= name in SILENT
+        path = None
+        return name
+
+    for token in tags(page):
+        if isinstance(token, str):
+            if silent and stack[-1][0] == "head" and token.strip():
+                pop()  # text ends a head, too
             if not silent:
-                parts.append(text)
+                parts.append(token)
                 if links:
-                    linked += len(text)
-            continue
-        name = m[3]
-        if name is None:
+                    linked += len(token)
             continue
-        name = name.lower()
+        name, ending, attributes = token
+        if ending:
+            ends_left[name] = ends_left.get(name, 1) - 1
         if name in INLINE:
             if name == "br" and not silent:
                 parts.append(" ")
             elif name == "a":
-                links = max(0, links - 1) if m[2] else links + 1
+                links = max(0, links - 1) if ending else links + 1
             continue
         close()
-        if m[2]:
-            if any(n == name for n, _ in stack):
-                while stack:
-                    n, _ = stack.pop()
-                    silent -= n in SILENT
-                    if n == name:
-                        break
+        if ending:
+            if opened.get(name):
+                while pop() != name:
+                    pass
                 links = 0
             continue
-        if name in NO_P_INSIDE and stack and stack[-1][0] == "p":
-            stack.pop()
+        if opened.get("head") and name not in IN_HEAD:
+            while pop() != "head":
+                pass
+        if name in NO_P_INSIDE:
+            if stack and stack[-1][0] == "p":
+                pop()
+            while name != "div" and stack and stack[-1][0] in PHRASING:
+                pop()
         while stack and stack[-1][0] in CLOSERS.get(name, ()):
-            stack.pop()
-        if name in VOID or m[4].endswith("/") and name not in NO_P_INSIDE:
+            pop()
+        if name in VOID or attributes.endswith("/") and name not in NO_P_INSIDE:
+            continue
+        if name in SILENT and name != "head" and ends_left.get(name, 0) <= 0:
             continue
-        words = [name, *(w for _, v in _ATTR.findall(m[4]) for w in _PART.findall(v.lower()))] if m[4] else [name]
+        words = [name, *(w for _, v in _ATTR.findall(attributes[:4096]) for w in _PART.findall(v.lower()))] if attributes else [name]
         stack.append((name, tuple(words)))
+        opened[name] = opened.get(name, 0) + 1
         silent += name in SILENT
+        path = None
     close()
     return out
 
@@ -117,8 +209,11 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     return v
 
 
-def vectors(pages: list[list[tuple]]) -> list[np.ndarray]:
-    """A row for each block of each page: hashed path, hashed words, and plain measures of the block."""
+def vectors(pages: list[list[tuple]], places: list[np.ndarray] | None = None) -> list[np.ndarray]:
+    """A row for each block of each page: hashed path, hashed words, and plain measures of the block.
+
+    ``places``: where the blocks stand in their page, from 0 to 1, if ``pages`` are parts of pages.
+    """
     flat = [b for page in pages for b in page]
     if not flat:
         return [np.zeros((0, PATH_DIM + 1 + WORD_DIM + OWN_DIM), dtype=np.float32) for _ in pages]
@@ -132,7 +227,7 @@ def vectors(pages: list[list[tuple]]) -> list[np.ndarray]:
     words /= np.sqrt(np.maximum(counts, 1))[:, None]
     paths = np.stack([_path_vector(b[0]) for b in flat])
     n = np.cumsum([len(p) for p in pages])
-    place = np.concatenate([np.arange(len(p)) / max(1, len(p) - 1) for p in pages])
+    place = np.concatenate(places or [np.arange(len(p)) / max(1, len(p) - 1) for p in pages])
     own = np.column_stack([np.log1p(counts) / 4, [b[2] for b in flat], place, [b[1][-1] in ".!?…»”\"" for b in flat], [len(b[1]) / 500 if len(b[1]) < 1000 else 2 for b in flat], [any(c.isdigit() for c in b[1]) for b in flat]]).astype(np.float32)
     whole = np.hstack([paths, words, own]).astype(np.float32)
     return np.split(whole, n[:-1])
@@ -349,26 +444,37 @@ def trained(seed: int = 11, pages: int = TRAIN_PAGES, epochs: int = EPOCHS) -> L
     return net
 
 
-def main_texts(pages: list[str | None], net: Labeller) -> list[str]:
-    found = [blocks(p) if p else [] for p in pages]
-    rows = vectors(found)
-    out = [""] * len(pages)
-    order = [k for k in np.argsort([len(r) for r in rows], kind="stable") if len(rows[k])]
+def labels(found: list[list[tuple]], net: Labeller) -> list[np.ndarray]:
+    """Whether each block of each page belongs to the article.  Pages of more than WINDOW blocks are read in windows."""
+    parts = []
+    for k, page in enumerate(found):
+        for a in range(0, len(page), WINDOW):
+            lo, hi = (0, len(page)) if len(page) <= WINDOW else (max(0, a - MARGIN), min(len(page), a + WINDOW + MARGIN))
+            parts.append((k, lo, hi, a, min(len(page), a + WINDOW)))
+    out = [np.zeros(len(page), dtype=bool) for page in found]
+    order = sorted(range(len(parts)), key=lambda i: parts[i][2] - parts[i][1])
     while order:
-        n = max(1, min(len(order), CELLS // max(1, len(rows[order[-1]]))))
-        own, order = order[-n:], order[:-n]
-        x, mask = padded([rows[k] for k in own])
+        n = max(1, min(len(order), CELLS // (parts[order[-1]][2] - parts[order[-1]][1])))
+        own, order = [parts[i] for i in order[-n:]], order[:-n]
+        rows = vectors([found[k][lo:hi] for k, lo, hi, _, _ in own], [np.arange(lo, hi) / max(1, len(found[k]) - 1) for k, lo, hi, _, _ in own])
+        x, mask = padded(rows)
         margin = net.run(x, mask)[0][..., 0]
-        for k, m in zip(own, margin, strict=True):
-            out[k] = "\n\n".join(text for (_, text, _), score in zip(found[k], m, strict=False) if score > 0)
+        for (k, lo, _, a, b), m in zip(own, margin, strict=True):
+            out[k][a:b] = m[a - lo : b - lo] > 0
     return out
 
 
+def main_texts(pages: list[str | None], net: Labeller) -> list[str]:
+    found = [blocks(p) if p else [] for p in pages]
+    return ["\n\n".join(text for (_, text, _), keep in zip(page, own, strict=True) if keep) for page, own in zip(found, labels(found, net), strict=True)]
+
+
 def extract(df: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", net: Labeller | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) for every row: the blocks of the article, in page order, joined by blank lines.
 
     Character references are decoded and white space inside a block becomes one space.  Null and empty pages, and pages
     without an article, give an empty text.  Repeated rows give one row each, an empty table none; ids and urls may be null.
+    Pages of any length are read whole, in linear time.  Further columns are not read, whatever their names.
     """
     tune(df.sparkSession)
     net = net or trained()

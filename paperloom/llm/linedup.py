@@ -8,8 +8,8 @@ table; the places of one name are a longest-common-prefix interval of the suffix
 A run is a repeat when it has at least ``min_words`` words and begins at an earlier place too.  Every maximal repeated run is the
 union of its shortest repeats that begin, or end, at each of its lines; these are what is looked up.  Later copies are deleted.
 
-Counts and first places come from partial aggregates joined back, so a line that a third of all documents share makes no large
-group.  Places are ordered by document id (null first), text key and line number.
+Counts and first places come from partial aggregates and are joined back; those of hot names, which hold more than a fixed share
+of all rows, are broadcast to where the rows lie, so a line that a third of all documents share never meets in one task.  Places are ordered by document id (null first), text key and line number.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import only, stored, tune
+from .common import discard, joined_by, only, stored, tune
 
 MIN_WORDS = 50
 
@@ -87,9 +87,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared(t: DataFrame, *names: str) -> DataFrame:
-    """The rows whose names occur more than once, with the first place of the name."""
-    g = t.groupBy(*names).agg(F.count("*").alias("c"), F.min(F.struct("doc", "h", "at")).alias("first")).where("c > 1").drop("c")
-    return t.join(g, list(names))
+    """The rows whose names occur more than once, with the first place of the name; stored."""
+    t = stored(t)
+    g = stored(t.groupBy(*names).agg(F.count("*").alias("c"), F.min(F.struct("doc", "h", "at")).alias("first")).where("c > 1"))
+    out = stored(joined_by(t, g, list(names), "c").drop("c"))
+    discard(t, g)
+    return out
 
 
 def _meets(p: DataFrame, q: DataFrame, by) -> DataFrame:
@@ -103,7 +106,7 @@ def repeated_runs(docs: DataFrame, min_words: int) -> DataFrame:
     kind = docs.schema["doc"].dataType.simpleString()
     lines = docs.mapInArrow(_line_rows(min_words), f"doc {kind}, h long, at long, name long, ahead long, back long")
     lines = lines.dropDuplicates(["doc", "h", "at"])  # a repeated row is the same document
-    now = stored(_shared(lines, "name").select("doc", "h", "at", "name", "ahead", "back"))
+    now = _shared(lines, "name").drop("first")
     windows = now.where("ahead > 0").select("doc", "h", "at", F.col("ahead").alias("n")).union(now.where("back > 0").select("doc", "h", (F.col("at") - F.col("back") + 1).alias("at"), F.col("back").alias("n"))).distinct()
     windows = stored(windows)
     most = windows.agg(F.max("n")).first()[0] or 0
@@ -118,7 +121,7 @@ def repeated_runs(docs: DataFrame, min_words: int) -> DataFrame:
         if depth > most:
             break
         longer = _meets(now, now, F.lit(depth // 2)).select("doc", "h", "at", F.xxhash64("name", "then").alias("name"))
-        now = stored(_shared(longer, "name").select("doc", "h", "at", "name"))
+        now = _shared(longer, "name").drop("first")
         if now.isEmpty():
             break
     if found is None:

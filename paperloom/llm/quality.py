@@ -175,9 +175,11 @@ def fit_features(x: np.ndarray, y: np.ndarray) -> Model:
 
 
 def fit(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = FIT_ROWS) -> Model:
-    """Fit on the feature rows of at most ``rows`` labelled texts, those of the lowest key hash.
+    """Fit on the feature rows of at most ``rows`` labelled ids, those of the lowest key hash.
 
-    Null ids and labels teach nothing; null texts count as empty.  Only features and labels reach the driver.
+    Null ids and labels teach nothing; null texts count as empty.  An id labelled twice has the larger label; of texts that share
+    an id the one of the lowest hash counts, and repeated rows count once.  Without labels, or of one label only, the score is the
+    same for all texts.  Only features and labels reach the driver; further columns are not read.
     """
     tune(df.sparkSession)
     known = only(labels, **{doc_id: "doc", label: "y"}).where("doc is not null and y is not null").groupBy("doc").agg(F.max("y").cast("int").alias("y"))
@@ -187,17 +189,22 @@ def fit(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = features(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("y"), pa.array(list(x), pa.list_(pa.float64()))], ["doc", "y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("y"), b.column("h"), pa.array(list(x), pa.list_(pa.float64()))], ["doc", "y", "h", "x"])
 
     kind = docs.schema["doc"].dataType.simpleString()
-    got = docs.select("doc", "y", "text").mapInArrow(run, f"doc {kind}, y int, x array<double>").toPandas().head(2 * rows)
-    got = got.assign(key=got["x"].map(lambda v: np.asarray(v).tobytes())).sort_values(["doc", "key"]).head(rows)
+    every = docs.select("doc", "y", F.xxhash64("text").alias("h"), "text").mapInArrow(run, f"doc {kind}, y int, h long, x array<double>")
+    # One row for each id, picked where the rows lie, so that no more than ``rows`` of them reach the driver.
+    got = every.groupBy("doc", "y").agg(F.min(F.struct("h", "x")).alias("t")).select("doc", "y", "t.x").toPandas().sort_values("doc")
     x = np.vstack([np.asarray(v) for v in got["x"]]) if len(got) else np.zeros((0, len(FEATURES)))
     return fit_features(x, got["y"].to_numpy() > 0)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """``df`` with ``out``, 0 to 1, by additions of bins.  Null and empty texts are scored as texts without words."""
+    """``df`` with ``out``, 0 to 1, by additions of bins.  Null and empty texts are scored as texts without words.
+
+    Every row is scored by its whole text alone: repeated rows alike, an empty table gives no rows.  A column that is already
+    called ``out`` is replaced; others may have any name.
+    """
     tune(df.sparkSession)
 
     @F.pandas_udf("double")

@@ -35,6 +35,8 @@ def _cell(k: int):
         empty = pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0, np.int64)})
         if rows.empty or queries.empty:
             return empty
+        if rows["vid"].duplicated().any():  # of vectors under one id the smallest counts
+            rows = rows.assign(t=rows["w"].map(tuple)).sort_values(["vid", "t"], kind="stable")
         rows = rows.sort_values("vid", kind="stable").drop_duplicates("vid").reset_index(drop=True)
         ids, n = rows["vid"].to_numpy(), len(rows)
         lens = rows["w"].map(len).to_numpy()
@@ -68,8 +70,8 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", *, k
     """For each row whose id is divisible by ``every``: the ``k`` other rows of highest integer inner product.
 
     Ties fall to the smaller id; fewer candidates give fewer rows.  Rows with a null id, a null vector or a component that
-    is null, not finite or beyond 64-bit integers after scaling take no part.  Rows that repeat an id are one vector (which
-    of them is not defined if they differ).  Missing dimensions weigh 0.  Sums wrap at 64 bits.  An empty table, or one
+    is null, not finite or beyond 64-bit integers after scaling take no part.  Rows that repeat an id are one vector,
+    the first in the order of their components if they differ.  Missing dimensions weigh 0.  Sums wrap at 64 bits.  An empty table, or one
     without queries, gives no rows.
     """
     v = quantised(df, id_col, vector, scale)
@@ -80,7 +82,7 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", *, k
     block = F.pmod(F.xxhash64("vid"), F.lit(blocks)).cast("int")
     chunk = F.pmod(F.xxhash64(F.lit(7), "vid"), F.lit(chunks)).cast("int")
     rows = v.select(block.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("c"), "vid", "w")
-    queries = v.where(is_query).dropDuplicates(["vid"]).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), chunk.alias("c"), "vid", "w")
+    queries = v.where(is_query).groupBy("vid").agg(F.min("w").alias("w")).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), chunk.alias("c"), "vid", "w")
     cells = rows.groupBy("b", "c").cogroup(queries.groupBy("b", "c")).applyInPandas(_cell(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return cells.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

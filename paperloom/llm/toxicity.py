@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import only, stored, tune
+from .common import discard, only, stored, tune
 
 #: Labelled texts that the grammar is fitted on, those of the lowest key hash; each is read whole.
 FIT_ROWS = 8000
@@ -299,19 +299,21 @@ def fit(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str =
     Texts stay on the executors: what reaches the driver are counts of associated words, tallies, and a short row of features for
     each text.  The weighting is learned on each half of the ids with the other half's lexicon, then the lexicon on all; half the
     texts show half the evidence, on the scale of its logarithm.  Null ids, texts and labels teach nothing; an id labelled twice
-    has the larger label, texts that share an id all count, repeated rows count once.  Without labels, or of one label only, the
-    score is the same for all texts.  Further columns are not read.
+    has the larger label; of texts that share an id the one of the lowest hash counts, once.  Without labels, or of one label only,
+    the score is the same for all texts.  Further columns are not read.
     """
     tune(df.sparkSession)
     known = only(labels, **{doc_id: "doc", label: "y"}).where("doc is not null and y is not null").groupBy("doc").agg((F.max("y") > 0).cast("long").alias("y"))
     known = known.orderBy(F.xxhash64("doc"), "doc").limit(rows)
     docs = only(df, **{doc_id: "doc", text: "text"}).where(F.col("text").isNotNull())
     half = F.pmod(F.xxhash64(F.lit(3), "doc"), F.lit(2)).cast("long").alias("half")
-    sample = stored(docs.join(F.broadcast(known), "doc").select("y", half, "text", F.xxhash64("doc", "text").alias("row")).dropDuplicates(["row"]).drop("row"))
+    one = docs.join(F.broadcast(known), "doc").groupBy("doc", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    sample = stored(one.select("y", half, "t.text"))
     totals = np.zeros(4, dtype=np.int64)
     for r in sample.groupBy("half", "y").count().collect():
         totals[2 * r["half"] + r["y"]] = r["count"]
     if not totals[1::2].any() or not totals[::2].any():
+        discard(sample)
         return Model(beta=np.array([6.0 if totals.any() and totals[1::2].any() else -6.0] + [0.0] * FEATURES))
     counted = sample.mapInArrow(_counted, "key long, stem boolean, n0 long, n1 long, n2 long, n3 long").groupBy("key", "stem").agg(*(F.sum(f"n{j}").alias(f"n{j}") for j in range(4)))
     # Only what may be associated on all or on half the texts comes to the driver: more than two toxic texts in which it is over-represented.
@@ -329,6 +331,7 @@ def fit(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str =
         tally[r["pos"]] = r["n"]
     model.gains = half_of[0].gains = half_of[1].gains = learned_gains(tally.reshape(len(TIMERS), 8, 2))
     rows_ = sample.mapInArrow(_crossed(half_of, _featured, ["y", "x"]), "y long, x array<double>").toPandas()
+    discard(sample)
     order = sorted(range(len(rows_)), key=lambda i: (rows_["y"][i], tuple(rows_["x"][i])))
     x = np.vstack([np.asarray(rows_["x"][i]) for i in order])
     model.beta = logistic(x, rows_["y"].to_numpy()[order].astype(float))
