@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes in one Arrow batch.  Texts can be long; a batch is held in memory as a whole.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 #: A name is hot when it has more than one in so many of all rows; there cannot be more hot names than this.
 HOT_SHARE = 1000
 

@@ -36,7 +36,7 @@ from .common import discard, only, stored, tune
 from .graph import components
 
 #: Shingles in a block in which frequent ones are looked for, the count there that makes one frequent, and how many are kept.
-BLOCK, FREQUENT, HINTS = 4_000_000, 12, 100_000
+BLOCK, FREQUENT, HINTS = 2_000_000, 8, 100_000
 #: What holding two large sets against each other costs, in enumerated subsets; sets of more elements are never enumerated.
 CHECK_COST, SMALL_LIMIT = 24, 39
 #: Leading bits of the bins of a set's histogram, and the size from which there are more bins.
