@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -21,27 +23,37 @@ class Embedder(Protocol):
 
 
 class HashingEmbedder:
-    """Signed feature hashing of words, unit length; passages and queries have different prefixes."""
+    """The vectors of ``functions.vectors.hashed``, so that batches, streams and queries can be searched by one another."""
 
     def __init__(self, dim: int = 64) -> None:
         self.dim, self.name = dim, f"hashing-{dim}"
 
-    def _embed(self, prefix: str, texts: list[str]) -> np.ndarray:
-        import zlib
-
-        out = np.zeros((len(texts), self.dim), dtype=np.float32)
+    def passages(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.dim))
         for row, text in zip(out, texts, strict=True):
-            for w in (prefix + text).lower().split():
-                h = zlib.crc32(w.encode())
-                row[h % self.dim] += 1 if h >> 16 & 1 else -1
+            for w in re.findall(r"[^\W_]+", text.lower()):
+                h = hashlib.md5(w.encode()).hexdigest()
+                row[int(h[:4], 16) % self.dim] += 1 if h[4] < "8" else -1
             row /= np.linalg.norm(row) or 1
-        return out
+        return out.astype(np.float32)
+
+    queries = passages
+
+
+class ServiceEmbedder:
+    """An embedding service: texts go out in lists of at most ``size``, with a pause after each call."""
+
+    def __init__(self, name: str, call: Callable[[list[str]], list[list[float]]], size: int = 2048, pause: float = 0.05, sleep: Callable[[float], None] = time.sleep) -> None:
+        self.name, self.call, self.size, self.pause, self.sleep = name, call, size, pause, sleep
 
     def passages(self, texts: list[str]) -> np.ndarray:
-        return self._embed("passage: ", texts)
+        out: list[list[float]] = []
+        for a in range(0, len(texts), self.size):
+            out += self.call(texts[a : a + self.size])
+            self.sleep(self.pause)
+        return np.array(out, dtype=np.float32)
 
-    def queries(self, texts: list[str]) -> np.ndarray:
-        return self._embed("query: ", texts)
+    queries = passages
 
 
 def embed(column: Column, make: Callable[[], Embedder], as_query: bool = False) -> Column:
@@ -79,6 +91,20 @@ def with_retries(call: Callable[[str], str], prompt: str, tries: int = 3, sleep:
     return None
 
 
+class Chat:
+    """A conversation with a text model: every call gets what was said before.  A message that is never answered is not kept."""
+
+    def __init__(self, call: Callable[[str], str], sleep: Callable[[float], None] = time.sleep) -> None:
+        self.call, self.sleep, self.history = call, sleep, []
+
+    def say(self, message: str, tries: int = 3) -> str | None:
+        said = "\n".join(f"{role}: {text}" for role, text in [*self.history, ("user", message)])
+        answer = with_retries(self.call, said, tries, self.sleep)
+        if answer is not None:
+            self.history += [("user", message), ("model", answer)]
+        return answer
+
+
 def generate(df: DataFrame, prompt: str, make: Callable[[], Callable[[str], str]], out: str = "answer") -> DataFrame:
     """``df`` with the answers of a text model; one client in each task, null where all tries failed."""
 

@@ -15,16 +15,29 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalised(a: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    n = norm(a)
-    return F.transform(a, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))
+    scaled = lambda x: F.transform(x["v"], lambda y: y.cast("double") / F.when(x["n"] == 0, 1.0).otherwise(x["n"]))
+    return _let(a, lambda v: _let(F.struct(v.alias("v"), norm(v).alias("n")), scaled))
+
+
+def hashed_counts(text: Column, dim: int = 64) -> Column:
+    """array<int>: signed feature hashing of words (letters and digits, lower case).
+
+    A word's MD5 digest says where it counts (the first four hex digits, modulo ``dim``) and its sign (the fifth).
+    """
+    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+    digest = F.transform(words, lambda w: F.md5(w.cast("binary")))
+    spots = F.transform(digest, lambda h: F.struct((F.conv(F.substring(h, 1, 4), 16, 10).cast("int") % dim).alias("k"), F.when(F.substring(h, 5, 1) < "8", 1).otherwise(-1).alias("s")))
+    count = lambda acc, x: F.concat(F.slice(acc, 1, x["k"]), F.array(F.get(acc, x["k"]) + x["s"]), F.slice(acc, x["k"] + 2, dim))
+    return F.aggregate(spots, F.array_repeat(F.lit(0), dim), count)
 
 
 def hashed(text: Column, dim: int = 64) -> Column:
-    """A deterministic stand-in for an embedding model: signed feature hashing of words, unit length."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    zero = F.array_repeat(F.lit(0.0), dim)
-    spots = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dim)).cast("int").alias("k"), F.when(F.pmod(F.hash(w), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
-    counts = F.aggregate(spots, zero, lambda acc, x: F.transform(acc, lambda v, i: F.when(i == x["k"], v + x["s"]).otherwise(v)))
-    return normalised(counts)
+    """A deterministic stand-in for an embedding model: ``hashed_counts`` at unit length."""
+    return normalised(hashed_counts(text, dim))

@@ -10,6 +10,10 @@ from paperloom.functions import scores as S
 from paperloom.functions import text as T
 
 
+#: Bigrams of sentences in one broadcast.
+BROADCAST_BIGRAMS = 200_000
+
+
 def idea_sentences(ideas: DataFrame) -> DataFrame:
     """ideas(idea_id, text) -> (idea_id, sentence_index, sentence)."""
     return ideas.select("idea_id", F.posexplode_outer(T.idea_sentences(F.col("text"))).alias("sentence_index", "sentence")).where("sentence is not null")
@@ -25,12 +29,19 @@ def bigrams(text: Column) -> Column:
 def lexical_overlaps(sentences: DataFrame, papers: DataFrame) -> DataFrame:
     """(idea_id, sentence_index, paper_id, overlap): the share of a sentence's bigrams that the paper holds; 0 has no row.
 
-    An equi-join on bigrams: those of the papers that no sentence holds fall away at the join, and the pairs that remain are
-    counted by partial aggregates.  The stand-in for a language model's judgement.
+    The sentences are a stated set of questions to all papers: their bigrams are broadcast, at most BROADCAST_BIGRAMS at a time, to
+    where the papers lie, so no bigram's papers meet in one task, and what is shuffled are partial counts.  The stand-in for a
+    language model's judgement.
     """
     s = sentences.select("idea_id", "sentence_index", bigrams(F.col("sentence")).alias("g")).select("idea_id", "sentence_index", F.size("g").alias("n"), F.explode_outer("g").alias("b")).where("b is not null")
     p = papers.select("paper_id", F.explode_outer(bigrams(F.col("text"))).alias("b")).where("b is not null")
-    shared = s.join(p, "b").groupBy("idea_id", "sentence_index", "paper_id", "n").agg(F.count("*").alias("c"))
+    slices, shared = max(1, -(-s.count() // BROADCAST_BIGRAMS)), None
+    for i in range(slices):
+        mine = s if slices == 1 else s.where(F.pmod(F.xxhash64("b"), F.lit(slices)) == i)
+        part = p.join(F.broadcast(mine), "b").groupBy("idea_id", "sentence_index", "paper_id", "n").agg(F.count("*").alias("c"))
+        shared = part if shared is None else shared.unionByName(part)
+    if slices > 1:
+        shared = shared.groupBy("idea_id", "sentence_index", "paper_id", "n").agg(F.sum("c").alias("c"))
     return shared.select("idea_id", "sentence_index", "paper_id", F.round(F.col("c") / F.col("n"), 6).alias("overlap"))
 
 
@@ -117,7 +128,7 @@ def report(ideas: DataFrame, assessed: DataFrame, annotated: DataFrame) -> DataF
     """(idea_id, report): score, summary and a line for each sentence, as Markdown."""
     line = F.format_string("- [%s] %s (%d%% overlap)", "label", "sentence", F.floor(F.col("overlap_score") * 100 + 0.5).cast("int"))
     lines = annotated.groupBy("idea_id").agg(F.sort_array(F.collect_list(F.struct("sentence_index", line.alias("l")))).alias("p"))
-    told = S.summary(F.col("score"), [F.lit(0.0)] * 4, F.col("red"), F.col("yellow"), F.col("green"))
+    told = F.when(F.col("papers_analyzed") == 0, S.NO_PAPERS).otherwise(S.summary(F.col("score"), [F.lit(0.0)] * 4, F.col("red"), F.col("yellow"), F.col("green")))
     j = ideas.select("idea_id").join(assessed, "idea_id").join(lines, "idea_id", "left")
     body = F.coalesce(F.array_join(F.transform("p", lambda x: x["l"]), "\n"), F.lit(""))
     return j.select("idea_id", F.concat(F.lit("# Originality: "), F.col("score").cast("string"), F.lit("/100\n\n"), told, F.lit("\n\n"), body).alias("report"))

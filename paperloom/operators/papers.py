@@ -10,8 +10,11 @@ from paperloom.config import DEFAULT
 
 def first_hits(hits: DataFrame) -> DataFrame:
     """hits(idea_id, keyword, kw_pos, rank, arxiv_id, ...) -> the first of each paper, by keyword, then rank; blank ids go."""
-    first = F.row_number().over(Window.partitionBy("idea_id", "arxiv_id").orderBy("kw_pos", "rank"))
-    return hits.where(F.col("arxiv_id").isNotNull() & (F.col("arxiv_id") != "")).withColumn("n", first).where("n = 1").drop("n").withColumnRenamed("keyword", "search_keyword")
+    rest = [c for c in hits.columns if c not in ("idea_id", "arxiv_id", "kw_pos", "rank")]
+    known = hits.where(F.col("arxiv_id").isNotNull() & (F.col("arxiv_id") != ""))
+    # A minimum meets in partial aggregates, so a paper that a third of all hits name is no large group.
+    first = known.groupBy("idea_id", "arxiv_id").agg(F.min(F.struct("kw_pos", "rank", *rest)).alias("h"))
+    return first.select("idea_id", "arxiv_id", "h.*").withColumnRenamed("keyword", "search_keyword")
 
 
 def selected(papers: DataFrame, limit: int = DEFAULT.max_papers) -> DataFrame:

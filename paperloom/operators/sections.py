@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.config import DEFAULT, Settings
@@ -32,12 +32,10 @@ def sections(papers: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """
     h = papers.select("paper_id", "markdown", headings(F.col("markdown")).alias("h"))
     ends = F.concat(F.transform(F.slice("h", 2, F.greatest(F.size("h"), F.lit(1))), lambda x: x["line"]), F.array(n_lines(F.coalesce("markdown", F.lit("")))))
-    paired = h.select("paper_id", "markdown", F.explode_outer(F.arrays_zip(F.col("h").alias("h"), F.when(F.size("h") > 0, ends).otherwise(F.array().cast("array<int>")).alias("end"))).alias("x")).where("x is not null")
-    cut = paired.select("paper_id", F.col("x.h.line").alias("line"), F.col("x.h.level").alias("level"), T.clean_heading(F.col("x.h.body")).alias("text"), F.col("x.h.raw").alias("raw_text"), lines_between(F.col("markdown"), F.col("x.h.line") + 1, F.col("x.end")).alias("section_text"))
-    kept = cut.where(~T.is_skipped(F.col("text")))
-    # Numbers run over the kept sections of one paper, so they need the paper's rows in order.
-    number = F.row_number().over(Window.partitionBy("paper_id").orderBy("line")) - 1
-    return kept.select("paper_id", number.alias("heading_index"), "level", "text", "raw_text", "section_text", (F.length("section_text") >= cfg.min_section).alias("is_valid"), T.section_quality(F.col("section_text"), cfg).alias("quality_score"))
+    told = F.transform(F.arrays_zip(F.col("h").alias("h"), F.when(F.size("h") > 0, ends).otherwise(F.array().cast("array<int>")).alias("end")), lambda x: F.struct(x["h"]["line"].alias("line"), x["h"]["level"].alias("level"), T.clean_heading(x["h"]["body"]).alias("text"), x["h"]["raw"].alias("raw"), x["end"].alias("end")))
+    kept = h.select("paper_id", "markdown", told.alias("h")).select("paper_id", "markdown", F.posexplode_outer(F.filter("h", lambda x: ~T.is_skipped(x["text"]))).alias("heading_index", "x")).where("x is not null")
+    cut = kept.select("paper_id", "heading_index", "x.level", "x.text", F.col("x.raw").alias("raw_text"), lines_between(F.col("markdown"), F.col("x.line") + 1, F.col("x.end")).alias("section_text"))
+    return cut.select("paper_id", "heading_index", "level", "text", "raw_text", "section_text", (F.length("section_text") >= cfg.min_section).alias("is_valid"), T.section_quality(F.col("section_text"), cfg).alias("quality_score"))
 
 
 def between(markdown: Column, start: str, end: str | None) -> Column:

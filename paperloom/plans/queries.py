@@ -291,15 +291,15 @@ def html_sections_query(spark, sf_dir):
     return html_sections.sections(_t(spark, sf_dir, "pages"))
 
 
-@query("select page_id, len(p)::int as n, md5(left(array_to_string(p[1:50], chr(10) || chr(10)), 10000)) as digest from (select page_id, list_filter(list_transform(regexp_extract_all(html, '<p>([^<]*)', 1), lambda x: trim(x)), lambda x: length(x) > 20) as p from pages) where len(p) > 2")
+@query("select page_id, len(p)::int as n, md5(left(array_to_string(p[1:50], chr(10) || chr(10)), 10000)) as digest from (select page_id, list_filter(list_transform(regexp_extract_all(html, '<p>([^<]*)', 1), lambda x: trim(x)), lambda x: length(x) > 20) as p from pages)")
 def html_cap(spark, sf_dir):
     p = _t(spark, sf_dir, "pages").select("page_id", F.filter(F.transform(F.regexp_extract_all("html", F.lit("<p>([^<]*)"), F.lit(1)), lambda x: F.trim(x)), lambda x: F.length(x) > 20).alias("p"))
-    return p.where(F.size("p") > 2).select("page_id", F.size("p").alias("n"), _md5(F.substring(F.array_join(F.slice("p", 1, html_sections.MOST_PARAGRAPHS), "\n\n"), 1, html_sections.MOST_CHARS)).alias("digest"))
+    return p.select("page_id", F.size("p").alias("n"), _md5(F.substring(F.array_join(F.slice("p", 1, html_sections.MOST_PARAGRAPHS), "\n\n"), 1, html_sections.MOST_CHARS)).alias("digest"))
 
 
-@query("select doc_id, left(regexp_replace(regexp_replace(left(text, 80), '[^A-Za-z0-9_\\s-]', '', 'g'), '[\\s-]+', '_', 'g'), 50) as slug from documents")
+@query("select doc_id, left(regexp_replace(regexp_replace(text, '[^A-Za-z0-9_\\s-]', '', 'g'), '[\\s-]+', '_', 'g'), 50) as slug from documents")
 def filename_slug(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", T.slug(F.substring("text", 1, 80)).alias("slug"))
+    return _t(spark, sf_dir, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
 @query("select doc_id, md5(case when length(trim(source)) > 0 then trim(source) || chr(10) || chr(10) || regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') else text end) as digest from documents where length(trim(text)) > 0")
@@ -315,21 +315,18 @@ def idea_guard(spark, sf_dir):
 
 # --- search hits, papers, keywords ---------------------------------------------------------------------------------------
 
-HITS = "hits as (select 0 as idea_id, k.keyword, k.kw_pos, row_number() over (partition by k.kw_pos order by doc_id) as rank, coalesce(source, '') as arxiv_id, doc_id from documents d join (values ('the', 1), ('of', 2), ('de', 3)) k(keyword, kw_pos) on contains(lower(d.text), ' ' || k.keyword || ' '))"
+HITS = "hits as (select 0 as idea_id, k.keyword, k.kw_pos, doc_id as rank, coalesce(source, '') as arxiv_id, doc_id from documents d join (values ('the', 1), ('of', 2), ('de', 3)) k(keyword, kw_pos) on contains(lower(d.text), ' ' || k.keyword || ' '))"
 FIRST = f"{HITS}, firsts as (select * from (select *, row_number() over (partition by idea_id, arxiv_id order by kw_pos, rank) as n from hits where arxiv_id <> '') where n = 1)"
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a keyword, ranked by id within it; their source plays the paper's id."""
-    from pyspark.sql import Window
-
     d = _t(spark, sf_dir, "documents").select("doc_id", "source", F.lower("text").alias("text"))
     each = d.select("doc_id", "source", F.explode(F.array(*(F.when(F.contains("text", F.lit(f" {w} ")), F.struct(F.lit(w).alias("keyword"), F.lit(i).alias("kw_pos"))) for i, w in enumerate(("the", "of", "de"), 1)))).alias("k")).where("k is not null")
-    rank = F.row_number().over(Window.partitionBy("kw_pos").orderBy("doc_id"))
-    return each.select(F.lit(0).alias("idea_id"), "k.keyword", F.col("k.kw_pos").alias("kw_pos"), F.coalesce("source", F.lit("")).alias("arxiv_id"), "doc_id").withColumn("rank", rank)
+    return each.select(F.lit(0).alias("idea_id"), "k.keyword", F.col("k.kw_pos").alias("kw_pos"), F.coalesce("source", F.lit("")).alias("arxiv_id"), "doc_id", F.col("doc_id").alias("rank"))
 
 
-@query(f"with {FIRST} select idea_id, keyword as search_keyword, kw_pos, rank::int as rank, arxiv_id, doc_id from firsts")
+@query(f"with {FIRST} select idea_id, keyword as search_keyword, kw_pos, rank, arxiv_id, doc_id from firsts")
 def dedupe_first(spark, sf_dir):
     return P.first_hits(_hits(spark, sf_dir)).select("idea_id", "search_keyword", "kw_pos", "rank", "arxiv_id", "doc_id")
 
@@ -469,10 +466,17 @@ def cache_split(spark, sf_dir):
     return one(hits, True).unionByName(one(misses, False))
 
 
-@query()
+HASHED = r"""
+words as (select doc_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')) as w from documents
+), spots as (select doc_id, ('0x' || left(md5(w), 4))::int % 64 as k, sum(case when substr(md5(w), 5, 1) < '8' then 1 else -1 end) as v from words group by all
+), counts as (select d.doc_id, k.k, coalesce(v, 0) as v from (select doc_id from documents) d cross join (select unnest(range(64)) as k) k left join spots s on s.doc_id = d.doc_id and s.k = k.k)"""
+
+
+@query(f"with {HASHED} select doc_id, 64 as dim, md5(string_agg(v::bigint::varchar, ',' order by k)) as digest, round(case when sum(v * v) > 0 then 1.0::double else 0.0::double end, 6) as norm from counts group by doc_id")
 def hash_embed(spark, sf_dir):
-    e = _t(spark, sf_dir, "documents").select("doc_id", V.hashed(F.col("text")).alias("v"))
-    return e.select("doc_id", F.size("v").alias("dim"), F.round(V.norm(F.col("v")), 6).alias("norm"))
+    e = _t(spark, sf_dir, "documents").select("doc_id", V.hashed_counts(F.col("text")).alias("c"))
+    v = e.select("doc_id", "c", V.normalised(F.col("c")).alias("v"))
+    return v.select("doc_id", F.size("v").alias("dim"), _md5(F.array_join(F.col("c").cast("array<string>"), ",")).alias("digest"), F.round(V.norm(F.col("v")), 6).alias("norm"))
 
 
 # --- originality ---------------------------------------------------------------------------------------------------------
@@ -494,9 +498,9 @@ def _assess(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return A.assess(_ideas(spark, sf_dir), _papers(spark, sf_dir))
 
 
-@query(f"with {OVERLAPS} select idea_id, sentence_index::int as sentence_index, paper_id, overlap from ovl where overlap >= 0.2")
+@query(f"with {OVERLAPS} select idea_id, sentence_index::int as sentence_index, paper_id, overlap from ovl")
 def sentence_overlap(spark, sf_dir):
-    return _assess(spark, sf_dir)["overlaps"].where("overlap >= 0.2D")
+    return _assess(spark, sf_dir)["overlaps"]
 
 
 @query(f"with {OVERLAPS} select idea_id, paper_id, paper_pos::int as paper_pos, sentence_index::int as sentence_index, overlap from layer1")

@@ -20,8 +20,11 @@ def write_papers(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def read_dumps(spark: SparkSession, path: str) -> DataFrame:
-    """Whole text files: path, text.  Unreadable files fail the read."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    """Whole text files: path, text.  A file that is no UTF-8 has a line that says so for its text."""
+    files = spark.read.format("binaryFile").load(path)
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    failed = F.concat(F.lit("[Error reading file: "), F.element_at(F.split("path", "/"), -1), F.lit("]"))
+    return files.select("path", F.coalesce(text, failed).alias("text"))
 
 
 def joined_dumps(dumps: DataFrame) -> Column:
@@ -41,26 +44,64 @@ def write_text(df: DataFrame, column: str, path: str, mode: str = "overwrite") -
     df.select(F.col(column).alias("value")).write.mode(mode).text(path)
 
 
-def write_results(df: DataFrame, folder: str, topic: str, mode: str = "overwrite") -> str:
-    """JSON under a file name made from the topic."""
+def result_document(papers: DataFrame, topic: str, at: Column) -> DataFrame:
+    """One row: topic, time, number of papers and the papers, as they are written to one JSON document a topic."""
+    rows = papers.agg(F.sort_array(F.collect_list(F.struct(*papers.columns))).alias("papers"))
+    return rows.select(F.lit(topic).alias("topic"), F.date_format(at, "yyyyMMdd_HHmmss").alias("timestamp"), F.size("papers").alias("total"), "papers")
+
+
+def write_results(df: DataFrame, folder: str, topic: str, at: Column | None = None, mode: str = "overwrite") -> str:
+    """The topic's results as one JSON document, in a folder named after the topic."""
     import re
 
     path = f"{folder}/{re.sub(r'[^A-Za-z0-9_-]+', '_', topic)[:50]}"
-    df.write.mode(mode).json(path)
+    result_document(df, topic, at if at is not None else F.current_timestamp()).write.mode(mode).json(path)
     return path
 
 
-def append_index(df: DataFrame, path: str, dim: int, vector: str = "embedding") -> None:
-    """Append vectors after a check of their dimension; rows whose id is there already are left out."""
-    spark = df.sparkSession
-    checked = df.withColumn(vector, F.when(F.size(vector) == dim, F.col(vector)).otherwise(F.raise_error(F.lit(f"a vector does not have {dim} dimensions")).cast(df.schema[vector].dataType)))
-    try:
-        known = spark.read.parquet(path).select("id")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        known = None
-    (checked if known is None else checked.join(known, "id", "left_anti")).write.mode("append").parquet(path)
+def upsert(df: DataFrame, path: str, version: int) -> None:
+    """Append the rows of ``df`` as a version; ``current`` shows, of the rows with one key, those of the highest version.
+
+    The store is not read, so an upsert costs what its own rows cost, and one that runs again changes nothing.
+    """
+    df.withColumn("version", F.lit(version).cast("long")).write.mode("append").parquet(path)
+
+
+def current(spark: SparkSession, path: str, key: str = "id") -> DataFrame:
+    """The latest row of each key, without its version; of several rows of one version the least."""
+    store = spark.read.parquet(path)
+    rest = [c for c in store.columns if c not in (key, "version")]
+    least = F.struct((-F.col("version")).alias("v"), *rest)
+    return store.groupBy(key).agg(F.min(least).alias("r")).select(key, *(f"r.{c}" for c in rest))
+
+
+def checked_vectors(df: DataFrame, dim: int, vector: str = "embedding") -> DataFrame:
+    """``df``; a vector that does not have ``dim`` dimensions fails."""
+    wrong = F.raise_error(F.lit(f"a vector does not have {dim} dimensions")).cast(df.schema[vector].dataType)
+    return df.withColumn(vector, F.when(F.size(vector) == dim, F.col(vector)).otherwise(wrong))
+
+
+def append_index(df: DataFrame, path: str, dim: int, version: int = 0, vector: str = "embedding") -> None:
+    """Vectors, with what belongs to them, into a store that ``current`` reads; their dimension is checked."""
+    upsert(checked_vectors(df, dim, vector), path, version)
+
+
+def index_rows(chunks: DataFrame, papers: DataFrame, embedding: Column) -> DataFrame:
+    """Valid chunks with their vector and metadata, as they are kept in a vector store.
+
+    chunks(chunk_id, paper_id, heading, heading_index, chunk_index, text, is_valid), papers(paper_id, arxiv_id, title, categories,
+    abstract): abstracts are cut to 500 characters, a missing heading is empty.
+    """
+    kept = chunks.where("is_valid").withColumn("embedding", embedding).join(papers, "paper_id")
+    return kept.select(
+        F.col("chunk_id").alias("id"), "text", "embedding", "paper_id", "arxiv_id", F.col("title").alias("paper_title"), F.coalesce("heading", F.lit("")).alias("heading"), "heading_index", "chunk_index",
+        F.array_join("categories", ",").alias("categories"), F.substring(F.coalesce("abstract", F.lit("")), 1, 500).alias("abstract"),
+    )
+
+
+def put_cache(df: DataFrame, path: str, model: str, mode: str, version: int) -> None:
+    """df(text, embedding) into the embedding cache (key, model, embedding); a later version of a text replaces an earlier one."""
+    upsert(df.select(cache_key(model, mode, F.col("text")).alias("key"), F.lit(model).alias("model"), "embedding"), path, version)
 
 
 def truncate_index(df: DataFrame, path: str) -> None:

@@ -44,6 +44,13 @@ def fetch(address: str, *, tries: int = 3, wait: float = 5.0, opener: Callable =
     return None
 
 
+def address(topic: str, options: dict) -> str:
+    """The address that a topic is asked for under the options of a read."""
+    got = lambda name, other=None: options.get(name) or options.get(name.lower()) or other
+    expression = query([topic], operator=got("operator", "AND"), category=got("category"), field=got("field", "all"), date_from=got("dateFrom"), date_to=got("dateTo"))
+    return url(expression, start=int(got("start", 0)), max_results=int(got("maxResults", 10)), sort_by=got("sortBy", "relevance"), sort_order=got("sortOrder", "descending"))
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.options = options
@@ -56,13 +63,16 @@ class _Reader(DataSourceReader):
         for n, topic in enumerate(topics):
             if n:
                 time.sleep(float(self.options.get("pause", PAUSE)))
-            body = fetch(url(query([topic]), max_results=int(self.options.get("maxResults", 10))), tries=int(self.options.get("tries", 3)))
+            body = fetch(address(topic, self.options), tries=int(self.options.get("tries", 3)))
             if body is not None:
                 yield topic, body
 
 
 class PaperSearch(DataSource):
-    """spark.dataSource.register(PaperSearch); spark.read.format("papersearch").option("topics", ...).load() -> (topic, xml)."""
+    """spark.dataSource.register(PaperSearch); spark.read.format("papersearch").option("topics", ...).load() -> (topic, xml).
+
+    Options: topics (one a line), field, category, operator, dateFrom, dateTo, start, maxResults, sortBy, sortOrder, pause, tries.
+    """
 
     @classmethod
     def name(cls) -> str:

@@ -11,9 +11,13 @@ from paperloom.sources.files import append_index
 
 
 def index_stream(papers: DataFrame, store: str, checkpoint: str, dim: int = 64) -> StreamingQuery:
-    """papers(id, text), streaming -> ``store``.  A batch that runs again adds nothing: ids that are there are left out."""
+    """papers(id, text), streaming -> ``store``, to be read by ``sources.files.current``.
 
-    def add(batch: DataFrame, _: int) -> None:
-        append_index(batch.dropDuplicates(["id"]).select("id", V.hashed(F.col("text"), dim).alias("embedding")), store, dim)
+    Every batch is a version of the store: a paper that comes again replaces its vector, a batch that runs again changes nothing,
+    and no batch reads what is there already.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        append_index(batch.select("id", V.hashed(F.col("text"), dim).alias("embedding")), store, dim, number)
 
     return papers.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
