@@ -33,6 +33,7 @@ def main_criterion(values: list[Column]) -> Column:
 
 
 def summary(score: Column, values: list[Column], red: Column, yellow: Column, green: Column) -> Column:
+    # The wording of a summary.
     level = F.when(score >= 70, "high").when(score >= 40, "moderate").otherwise("low")
     top = main_criterion(values)
     note = F.when(top["value"] > 0.5, F.concat(F.lit(" Main overlap detected in "), top["name"], F.lit("."))).otherwise("")
@@ -55,6 +56,7 @@ def token_cost(tokens: Column, input_share: float, cfg: Settings = DEFAULT) -> C
 
 def warning(exists: Column, confidence: Column, example: Column, assessment: Column, advice: Column) -> Column:
     """``example``: struct<name, similarity> or null."""
+    # The wording of a warning.
     percent = F.concat(F.round(example["similarity"] * 100).cast("int").cast("string"), F.lit("%"))
     long = F.concat(F.lit("⚠️ **Warning: This idea may already exist!**\n\nYour idea closely resembles **"), F.coalesce(example["name"], F.lit("existing products")), F.lit("** (similarity: "), percent, F.lit(").\n\n*"), assessment, F.lit("*\n\n**Recommendation:** "), advice)
     short = F.concat(F.lit("⚠️ **Note:** Similar concepts may exist.\n\n*"), assessment, F.lit("*"))

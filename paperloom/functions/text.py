@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from paperloom.config import DEFAULT, Settings
 
+#: Where sentences and paragraphs end, what a heading line is, and the numberings that are taken off one.
 SENTENCE_BREAK = r"(?U)(?<=[.!?])\s+(?=[A-Z])"
 PARAGRAPH_BREAK = r"(?U)\n\s*\n|\n(?=#+\s)"
 HEADING = r"^(#{1,6})\s*(.*)$"
+NUMBERINGS = (r"^[0-9.]+\s*", r"^[IVX]+\.\s*", r"^[A-Z]\.\s*", r"^\([0-9]+\)\s*", r"^[0-9]+\)\s*")
 #: Words that mark sections to leave out.
 SKIPPED = ("references", "bibliography", "acknowledgments", "acknowledgements", "appendix", "appendices", "supplementary", "supplemental")
 
@@ -51,7 +53,7 @@ def clean(text: Column) -> Column:
 def clean_heading(text: Column) -> Column:
     """A heading without its numbering; long ones are cut at a colon, then at a word."""
     t = text
-    for numbering in (r"^[0-9.]+\s*", r"^[IVX]+\.\s*", r"^[A-Z]\.\s*", r"^\([0-9]+\)\s*", r"^[0-9]+\)\s*"):
+    for numbering in NUMBERINGS:
         t = F.regexp_replace(t, numbering, "")
     t = collapse(t)
     t = F.when((F.length(t) > 100) & F.contains(t, F.lit(":")), F.substring_index(t, ":", 1)).otherwise(t)

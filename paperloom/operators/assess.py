@@ -115,6 +115,7 @@ def reality(raw: DataFrame) -> DataFrame:
     j = F.from_json("json", kind)
     failed = (F.col("j").isNull()) | (F.col("j.already_exists").isNull() & F.col("j.assessment").isNull() & F.col("j.confidence").isNull())
     r = raw.select("id", j.alias("j"))
+    # Fixed values below: what stands in for a missing assessment and advice.
     best = F.coalesce(F.array_max(F.transform("j.existing_examples", lambda e: F.coalesce(e["similarity"], F.lit(0.0)))), F.lit(0.0))
     return r.select(
         "id", F.coalesce("j.already_exists", F.lit(False)).alias("already_exists"), F.coalesce("j.confidence", F.lit(0.0)).alias("confidence"), best.alias("max_similarity"),

@@ -1,4 +1,9 @@
-"""Named sections of HTML papers, by three strategies in turn, with the standard library's parser in Arrow batches."""
+"""Named sections of HTML papers, by three strategies in turn, with the standard library's parser in Arrow batches.
+
+A page becomes one table of its elements in document order.  An element knows its name, its parent, where its own elements end in
+the table, and which stretch of the page's text it spans, so that every question about what lies inside or after it is one about
+intervals.
+"""
 
 from __future__ import annotations
 
@@ -10,126 +15,125 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: What section headings say, and the headings that end a section of plain text.
+#: What section headings say, the headings that end a section of plain text, sizes, and the message.
 PATTERNS = {"introduction": ("introduction", "intro"), "methodology": ("methodology", "method", "approach"), "conclusion": ("conclusion", "conclusions")}
 MAJOR = ("Introduction", "Methodology", "Method", "Approach", "Results", "Discussion", "Conclusion", "References", "Related Work", "Background", "Experiments", "Evaluation", "Implementation")
-MOST_PARAGRAPHS, MOST_CHARS = 50, 10_000
-_LEVEL = {f"h{n}": n for n in range(1, 7)}
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-
-
-class Node:
-    __slots__ = ("name", "parent", "children")
-
-    def __init__(self, name: str, parent: Node | None) -> None:
-        self.name, self.parent, self.children = name, parent, []
+MOST_PARAGRAPHS, MOST_CHARS, LEAST_PARAGRAPH, LEAST_SECTION = 50, 10_000, 20, 50
+NOT_FOUND = "Section not found (searched for: {})"
+LEVELS = ("h1", "h2", "h3", "h4", "h5", "h6")
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_NUMBER = re.compile(r"\d+\.?\s*")
 
-    def walk(self) -> Iterator[Node]:
-        stack = [self]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
 
-    def text(self) -> str:
-        out, stack = [], [self]
-        while stack:
-            node = stack.pop()
-            if isinstance(node, str):
-                out.append(node)
-            else:
-                stack.extend(reversed(node.children))
-        return "".join(out)
+class Page(HTMLParser):
+    """Elements by number: ``name``, ``parent``, ``end`` (the number after the last element inside), ``span`` of ``text``.
 
+    An end tag closes up to its start; one without a start is ignored.
+    """
 
-class _Tree(HTMLParser):
-    """The page as nodes; an end tag closes up to its start, one without a start is ignored."""
-
-    def __init__(self) -> None:
+    def __init__(self, page: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", None)
+        self.name, self.parent, self.end, self.span = [""], [-1], [0], [[0, 0]]
+        self._open, self._parts, self._size = [0], [], 0
+        self.feed(page)
+        self.close()
+        while self._open:
+            self._shut()
+        self.text = "".join(self._parts)
+
+    def _shut(self) -> None:
+        k = self._open.pop()
+        self.end[k], self.span[k][1] = len(self.name), self._size
 
     def handle_starttag(self, tag, attrs) -> None:
-        node = Node(tag, self.at)
-        self.at.children.append(node)
-        if tag not in _VOID:
-            self.at = node
+        k = len(self.name)
+        self.name.append(tag)
+        self.parent.append(self._open[-1])
+        self.end.append(k + 1)
+        self.span.append([self._size, self._size])
+        if tag not in VOID:
+            self._open.append(k)
 
     def handle_endtag(self, tag) -> None:
-        node = self.at
-        while node.parent is not None and node.name != tag:
-            node = node.parent
-        if node.parent is not None:
-            self.at = node.parent
+        if tag in (self.name[k] for k in self._open[1:]):
+            while self.name[self._open[-1]] != tag:
+                self._shut()
+            self._shut()
 
     def handle_data(self, data) -> None:
-        self.at.children.append(data)
+        self._parts.append(data)
+        self._size += len(data)
 
+    def read(self, k: int) -> str:
+        """The text inside an element, white space collapsed."""
+        a, b = self.span[k]
+        return " ".join(self.text[a:b].split())
 
-def parsed(page: str) -> Node:
-    tree = _Tree()
-    tree.feed(page)
-    tree.close()
-    return tree.root
+    def heading_within(self, k: int) -> int | None:
+        """The first heading that is an element or lies inside it."""
+        return next((j for j in range(k, self.end[k]) if self.name[j] in LEVELS), None)
 
+    def says(self, heading: int, patterns: tuple[str, ...]) -> bool:
+        told = _NUMBER.sub("", self.read(heading), count=1) if _NUMBER.match(self.read(heading)) else self.read(heading)
+        return any(p in told.lower() for p in patterns)
 
-def _title(node: Node) -> str:
-    return re.sub(r"^\d+\.?\s*", "", node.text().strip()).lower()
 
+def _joined(paragraphs: Iterator[str]) -> str | None:
+    kept = [p for p in paragraphs if len(p) > LEAST_PARAGRAPH][:MOST_PARAGRAPHS]
+    return "\n\n".join(kept) or None
 
-def _plain(node: Node) -> str:
-    return re.sub(r"\s+", " ", node.text().strip())
 
+def in_section_elements(page: Page, patterns: tuple[str, ...]) -> Iterator[str | None]:
+    """Paragraphs of <section> elements whose first heading says it; captions and notes are no paragraphs."""
+    for k, name in enumerate(page.name):
+        if name == "section" and (h := page.heading_within(k)) is not None and page.says(h, patterns):
+            bodies = (j for j in range(k, page.end[k]) if page.name[j] in ("p", "div") and page.heading_within(j) is None)
+            yield _joined(t for t in map(page.read, bodies) if not t.startswith(("[", "Figure")))
 
-def _by_element(root: Node, patterns: tuple[str, ...]) -> str | None:
-    for section in (n for n in root.walk() if n.name == "section"):
-        heading = next((n for n in section.walk() if n.name in _LEVEL), None)
-        if heading is None or not any(p in _title(heading) for p in patterns):
-            continue
-        parts = [_plain(n) for n in section.walk() if n.name in ("p", "div") and not any(c.name in _LEVEL for c in n.walk())]
-        parts = [t for t in parts if len(t) > 20 and not t.startswith(("[", "Figure"))]
-        if parts:
-            return "\n\n".join(parts[:MOST_PARAGRAPHS])
-    return None
 
+def in_lines(page: Page, patterns: tuple[str, ...]) -> Iterator[str | None]:
+    """Lines of the page's text from one that is the heading, preferably a numbered one, to the next major heading.
 
-def _by_line(root: Node, patterns: tuple[str, ...]) -> str | None:
-    whole = root.text()
-    end = re.compile(r"(?:^|\n)\s*(?:\d+\.?\s*)?(?:" + "|".join(MAJOR) + r")\s*(?:\n|$)", re.I | re.M)
-    for p in patterns:
-        start = next((m for number in (r"\d+\.?\s*", "") if (m := re.search(rf"(?:^|\n)\s*{number}{re.escape(p)}\s*(?:\n|$)", whole, re.I | re.M))), None)
-        if start is None:
+    The number may stand on a line of its own before the title.
+    """
+    lines = [line.strip() for line in page.text.split("\n")]
+    titles: list[tuple[str, bool, int, int]] = []  # title, whether it is numbered, its line, the line where it begins
+    before = None
+    for k, line in enumerate(lines):
+        if not line:
             continue
-        body = whole[start.end() :]
-        stop = end.search(body)
-        body = re.sub(r"[ \t]+", " ", re.sub(r"\n\s*\n\s*\n+", "\n\n", (body[: stop.start()] if stop else body).strip()))
-        if len(body) > 50:
-            return body[:MOST_CHARS]
-    return None
-
-
-def _by_heading(root: Node, patterns: tuple[str, ...]) -> str | None:
-    for tag, level in _LEVEL.items():
-        for heading in (n for n in root.walk() if n.name == tag):
-            if not any(p in _title(heading) for p in patterns):
+        bare = _NUMBER.fullmatch(line)
+        own = _NUMBER.match(line)
+        number = own is not None and not bare
+        titles.append((line[own.end() :].lower() if number else line.lower(), number or before is not None, k, k if number or before is None else before))
+        before = k if bare else None
+    major = {m.lower() for m in MAJOR}
+    for p in patterns:
+        found = sorted((not numbered, at) for title, numbered, at, _ in titles if title == p)
+        if found:
+            start = found[0][1]
+            stop = next((first for title, _, at, first in titles if at > start and title in major), len(lines))
+            body = "\n".join(page.text.split("\n")[start + 1 : stop]).strip()
+            body = re.sub(r"[ \t]+", " ", re.sub(r"\n\s*\n\s*\n+", "\n\n", body))
+            yield body[:MOST_CHARS] if len(body) > LEAST_SECTION else None
+
+
+def after_headings(page: Page, patterns: tuple[str, ...]) -> Iterator[str | None]:
+    """Paragraphs beside a heading that says it, up to the next heading that is no deeper; higher headings are tried first."""
+    for rank, tag in enumerate(LEVELS):
+        for k, name in enumerate(page.name):
+            if name != tag or not page.says(k, patterns):
                 continue
-            parts, after = [], False
-            for sibling in heading.parent.children:
-                if sibling is heading:
-                    after = True
-                elif after and isinstance(sibling, Node):
-                    if _LEVEL.get(sibling.name, 9) <= level:
-                        break
-                    if sibling.name == "p" and len(t := _plain(sibling)) > 20:
-                        parts.append(t)
-            if parts:
-                return "\n\n".join(parts[:MOST_PARAGRAPHS])
-    return None
+            beside, j, last = [], page.end[k], page.end[page.parent[k]]
+            while j < last and page.name[j] not in LEVELS[: rank + 1]:
+                beside.append(j)
+                j = page.end[j]
+            yield _joined(page.read(j) for j in beside if page.name[j] == "p")
 
 
-def section(root: Node, patterns: tuple[str, ...]) -> str:
-    found = _by_element(root, patterns) or _by_line(root, patterns) or _by_heading(root, patterns)
-    return found or f"Section not found (searched for: {', '.join(patterns)})"
+def section(page: Page, patterns: tuple[str, ...]) -> str:
+    tried = (found for strategy in (in_section_elements, in_lines, after_headings) for found in strategy(page, patterns))
+    return next((found for found in tried if found), NOT_FOUND.format(", ".join(patterns)))
 
 
 def sections(pages: DataFrame, key: str = "page_id", page: str = "html") -> DataFrame:
@@ -139,11 +143,11 @@ def sections(pages: DataFrame, key: str = "page_id", page: str = "html") -> Data
         for batch in batches:
             rows = {name: [] for name in ("title", *PATTERNS)}
             for body in batch.column("html").to_pylist():
-                root = parsed(body) if body is not None else None
-                head = next((n for n in root.walk() if n.name in ("h1", "title")), None) if root else None
-                rows["title"].append(_plain(head) if head else None)
+                one = Page(body) if body is not None else None
+                head = next((k for k, n in enumerate(one.name) if n in ("h1", "title")), None) if one else None
+                rows["title"].append(one.read(head) if head is not None else None)
                 for name, patterns in PATTERNS.items():
-                    rows[name].append(section(root, patterns) if root else None)
+                    rows[name].append(section(one, patterns) if one else None)
             yield pa.RecordBatch.from_arrays([batch.column("k"), *(pa.array(v, pa.string()) for v in rows.values())], ["k", *rows])
 
     p = pages.select(F.col(key).alias("k"), F.col(page).alias("html"))

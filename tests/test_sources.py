@@ -19,7 +19,7 @@ def test_appending_twice_adds_nothing_and_checks_dimensions(spark, tmp_path):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id int, embedding array<float>")
     for _ in range(2):
         files.append_index(v, str(tmp_path / "ix"), 2)
-    assert spark.read.parquet(str(tmp_path / "ix")).count() == 2
+    assert files.current(spark, str(tmp_path / "ix")).count() == 2
     with pytest.raises(Exception, match="dimensions"):
         files.append_index(spark.createDataFrame([(3, [1.0])], "id int, embedding array<float>"), str(tmp_path / "ix"), 2)
 
@@ -63,12 +63,12 @@ def test_retries_of_models():
 def test_html_sections_by_each_strategy():
     p = ("introduction", "intro")
     by_element = "<section><h2>1. Introduction</h2><p>This paragraph is long enough to stay.</p><p>[1] a reference that is long</p></section>"
-    assert html_sections.section(html_sections.parsed(by_element), p) == "This paragraph is long enough to stay."
+    assert html_sections.section(html_sections.Page(by_element), p) == "This paragraph is long enough to stay."
     by_line = "<pre>\n1. Introduction\n" + "word " * 20 + "\n\nResults\nother</pre>"
-    assert html_sections.section(html_sections.parsed(by_line), p) == ("word " * 20).strip()
+    assert html_sections.section(html_sections.Page(by_line), p) == ("word " * 20).strip()
     by_heading = "<div><h2>An intro to it</h2><p>The first long paragraph here.</p><h3>x</h3><p>The second long paragraph here.</p><h2>End</h2><p>Not this paragraph any more.</p></div>"
-    assert html_sections.section(html_sections.parsed(by_heading), p) == "The first long paragraph here.\n\nThe second long paragraph here."
-    assert html_sections.section(html_sections.parsed("<p>nothing</p>"), p) == "Section not found (searched for: introduction, intro)"
+    assert html_sections.section(html_sections.Page(by_heading), p) == "The first long paragraph here.\n\nThe second long paragraph here."
+    assert html_sections.section(html_sections.Page("<p>nothing</p>"), p) == "Section not found (searched for: introduction, intro)"
 
 
 def test_streamed_papers_are_indexed_once(spark, tmp_path):
@@ -77,4 +77,4 @@ def test_streamed_papers_are_indexed_once(spark, tmp_path):
     spark.createDataFrame([(1, "a b"), (2, "c d"), (2, "c d")], "id int, text string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("id int, text string").parquet(str(tmp_path / "in"))
     index_stream(stream, str(tmp_path / "store"), str(tmp_path / "cp")).awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "store")).count() == 2
+    assert files.current(spark, str(tmp_path / "store")).count() == 2
