@@ -17,15 +17,16 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, only, stored, tune
+from .common import discard, lean, only, stored, tune
 
 #: Bytes of words (with their offsets) after which a block is closed.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 24 << 20
 #: Words in one row for the fold.
 ROW_WORDS = 10_000
 #: Words folded for the whole corpus at once and broadcast with their ids, at most; all others are folded where they occur.
@@ -257,7 +258,7 @@ def common_words(blocks: DataFrame, ranks_path: str, most: int = COMMON) -> tupl
 
     They are only there to save work: a word that is not among them is folded where it occurs.
     """
-    often = stored(blocks.select("sizes", "words").mapInArrow(_distinct(ranks_path), "word binary").groupBy("word").agg(F.count("*").alias("n")).where("n > 1"))
+    often = stored(blocks.select("sizes", "words").mapInArrow(lean(_distinct(ranks_path)), "word binary").groupBy("word").agg(F.count("*").alias("n")).where("n > 1"))
     level = F.floor(8 * F.log2("n")).cast("int")
     total, least = 0, None
     for r in sorted(often.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
@@ -267,7 +268,7 @@ def common_words(blocks: DataFrame, ranks_path: str, most: int = COMMON) -> tupl
     if least is None:
         discard(often)
         return pa.array([], pa.binary()), pa.array([], pa.list_(pa.int32()))
-    rows = often.where(level >= least).select("word").repartition(-(-total // ROW_WORDS), "word").mapInArrow(_packed(ranks_path), "raw array<binary>, words array<array<int>>")
+    rows = often.where(level >= least).select("word").repartition(-(-total // ROW_WORDS), "word").mapInArrow(lean(_packed(ranks_path)), "raw array<binary>, words array<array<int>>")
     got = with_ids(rows, ranks_path).toArrow().combine_chunks()
     discard(often)
     return _one(got.column("raw")).flatten().cast(pa.binary()), _one(got.column("words")).flatten().cast(pa.list_(pa.int32()))
@@ -354,15 +355,15 @@ def _encoded(df: DataFrame, ranks_path: str, pattern: str, text: str, keys: tupl
     words = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
     source = only(df, **{text: "text"} | {old: k for k, old in names.items()}).select(*names, words.alias("words"))
     of_keys = ", ".join(f"{k}: {source.schema[k].dataType.simpleString()}" for k in names)
-    blocks = stored(source.mapInArrow(_cut(len(keys)), f"keys array<struct<{of_keys}>>, counts binary, indices binary, sizes binary, words binary"))
+    blocks = stored(source.mapInArrow(lean(_cut(len(keys))), f"keys array<struct<{of_keys}>>, counts binary, indices binary, sizes binary, words binary"))
     common = pa.table(common_words(blocks, ranks_path), ["word", "ids"])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, common.schema) as writer:
         writer.write_table(common)
     known = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
-    todo = blocks.mapInArrow(_todo(ranks_path, known), f"words array<array<int>>, keys array<struct<{of_keys}>>, counts binary, indices binary, lens binary, given binary")
+    todo = blocks.mapInArrow(lean(_todo(ranks_path, known)), f"words array<array<int>>, keys array<struct<{of_keys}>>, counts binary, indices binary, lens binary, given binary")
     out = ", ".join([*(f"{k} {source.schema[k].dataType.simpleString()}" for k in names), *(f"{c} {kind}" for c, kind in kinds.items())])
-    merged = with_ids(todo, ranks_path).mapInArrow(_assembled(len(keys), rows, list(kinds)), out)
+    merged = with_ids(todo, ranks_path).mapInArrow(lean(_assembled(len(keys), rows, list(kinds))), out)
     return merged.select(*(F.col(k).alias(old) for k, old in names.items()), *kinds)
 
 
@@ -393,9 +394,10 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded
     tune(df.sparkSession)
 
     @F.pandas_udf("binary")
-    def joined(column):
+    def joined(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = pieces(ranks_path)
-        return column.map(lambda x: None if x is None else b"".join(own[np.asarray(x, dtype=np.int64)]))
+        one = lambda x: None if x is None else b"".join(own[np.asarray(x, dtype=np.int64)])
+        yield from lean(lambda parts: (c.map(one) for c in parts))(columns)
 
     return df.withColumn(out, joined(F.col(f"`{ids}`")))
 

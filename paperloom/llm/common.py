@@ -2,23 +2,47 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes in one Arrow batch.  Texts can be long; a batch is held in memory as a whole.
-BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+#: Rows and bytes in one Arrow batch, and rows that a scan decodes at once.  Texts can be long; a batch is held as a whole.
+BATCH_ROWS, BATCH_BYTES, SCAN_ROWS = 2000, 4 << 20, 512
 #: A name is hot when it has more than one in so many of all rows; there cannot be more hot names than this.
 HOT_SHARE = 1000
 
 
 def tune(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for long texts."""
+    """Keep the batches of scans and of Arrow small enough for long texts."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(SCAN_ROWS))
+
+
+def _release() -> None:
+    """Give memory that is free, but kept by an allocator, back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, after which the Python worker keeps no memory but what it needs: idle workers of earlier stages stay alive."""
+
+    def held(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return held
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

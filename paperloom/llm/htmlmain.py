@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import only, tune
+from .common import lean, only, tune
 
 PATH_DIM, WORD_DIM, OWN_DIM, HIDDEN = 96, 16, 6, 20
 TRAIN_PAGES, EPOCHS, BATCH = 500, 10, 20
@@ -487,5 +487,5 @@ def extract(df: DataFrame, page_id: str = "page_id", url: str = "url", page: str
                 texts = main_texts(own.column("html").to_pylist(), net)
                 yield pa.RecordBatch.from_arrays([own.column("id"), own.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
-    out = d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, url string, text string, n_chars long")
+    out = d.mapInArrow(lean(run), f"id {d.schema['id'].dataType.simpleString()}, url string, text string, n_chars long")
     return out.select(F.col("id").alias(page_id), F.col("url").alias(url), "text", "n_chars")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import discard, only, stored, tune
+from .common import discard, lean, only, stored, tune
 from .graph import components
 
 #: Shingles in a block in which frequent ones are looked for, the count there that makes one frequent, and how many are kept.
@@ -220,13 +220,13 @@ def link(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, k: int =
     tune(spark)
     d = only(df, **{doc_id: "doc", text: "text"})
     kind = d.schema["doc"].dataType.simpleString()
-    seen = stored(d.mapInArrow(_surveyed(k, separators), f"doc {kind}, s long, node long, hint long, n long, hist binary, sketch array<int>"))
+    seen = stored(d.mapInArrow(lean(_surveyed(k, separators)), f"doc {kind}, s long, node long, hint long, n long, hist binary, sketch array<int>"))
     docs = seen.where("n = 0").select("doc", "s", "node", "hist", "sketch")
     hints = seen.where("n > 0").groupBy("hint").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "hint").limit(HINTS).toPandas().sort_values("hint", key=lambda x: x.astype("int64").to_numpy().astype(np.uint64))
     sizes = {r["s"]: r["n"] for r in docs.where(F.col("s").between(1, SMALL_LIMIT)).groupBy("s").agg(F.countDistinct("node").alias("n")).collect()}
     limit = boundary(sizes, num, den)
     make = _keys(k, separators, num, den, limit, hints["hint"].to_numpy().astype(np.int64).astype(np.uint64), hints["n"].to_numpy())
-    raw = stored(d.select("text").mapInArrow(make, "key long, c long, salt long, node long, s long"))
+    raw = stored(d.select("text").mapInArrow(lean(make), "key long, c long, salt long, node long, s long"))
     several = raw.groupBy("key", "c").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p <> q")
     keys = stored(raw.join(several, ["key", "c"], "left_semi").distinct())
     discard(raw)
@@ -260,12 +260,12 @@ def link(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, k: int =
         known = stored(classes.join(ends(pairs), "node", "left_semi").select("node", "s", "hist"))
         x = known.select(F.col("node").alias("a"), F.col("hist").alias("x"), F.col("s").alias("xs"))
         y = known.select(F.col("node").alias("b"), F.col("hist").alias("y"), F.col("s").alias("ys"))
-        likely = stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "xs", "ys").mapInArrow(_possible(num, den), "a long, b long"))
+        likely = stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "xs", "ys").mapInArrow(lean(_possible(num, den)), "a long, b long"))
         ids = classes.join(ends(likely), "node", "left_semi").select("node", F.col("least").alias("doc"))
         # An id can stand for several texts, so a set also has to have the key it is wanted for.
-        have = stored(d.join(ids, "doc").select("node", "text").mapInArrow(_sets_of(k, separators), "node long, members binary").dropDuplicates(["node"]))
+        have = stored(d.join(ids, "doc").select("node", "text").mapInArrow(lean(_sets_of(k, separators)), "node long, members binary").dropDuplicates(["node"]))
         both = likely.join(have.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(have.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
-        out = stored(both.select("a", "b", "x", "y").mapInArrow(_linked(num, den), "a long, b long"))
+        out = stored(both.select("a", "b", "x", "y").mapInArrow(lean(_linked(num, den)), "a long, b long"))
         discard(known, likely, have)
         return out
 

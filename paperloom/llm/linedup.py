@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import discard, joined_by, only, stored, tune
+from .common import discard, joined_by, lean, only, stored, tune
 
 MIN_WORDS = 50
 
@@ -104,7 +104,7 @@ def _meets(p: DataFrame, q: DataFrame, by) -> DataFrame:
 def repeated_runs(docs: DataFrame, min_words: int) -> DataFrame:
     """(doc, h, runs array<struct<at, n>>): runs of lines that begin at an earlier place too.  ``docs``: doc, h, text."""
     kind = docs.schema["doc"].dataType.simpleString()
-    lines = docs.mapInArrow(_line_rows(min_words), f"doc {kind}, h long, at long, name long, ahead long, back long")
+    lines = docs.mapInArrow(lean(_line_rows(min_words)), f"doc {kind}, h long, at long, name long, ahead long, back long")
     lines = lines.dropDuplicates(["doc", "h", "at"])  # a repeated row is the same document
     now = _shared(lines, "name").drop("first")
     windows = now.where("ahead > 0").select("doc", "h", "at", F.col("ahead").alias("n")).union(now.where("back > 0").select("doc", "h", (F.col("at") - F.col("back") + 1).alias("at"), F.col("back").alias("n"))).distinct()
@@ -145,5 +145,5 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, mi
     row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c != text))
     keyed = df.select(row.alias("row"), F.col(f"`{doc_id}`").alias("doc"), F.xxhash64(f"`{text}`").alias("h"), F.col(f"`{text}`").cast("string").alias("text"))
     joined = keyed.join(runs, keyed["doc"].eqNullSafe(runs["rd"]) & (keyed["h"] == runs["rh"]), "left").select("row", "text", "runs")
-    out = joined.mapInArrow(_cut, f"row {keyed.schema['row'].dataType.simpleString()}, text string, n_lines long, n_removed long")
+    out = joined.mapInArrow(lean(_cut), f"row {keyed.schema['row'].dataType.simpleString()}, text string, n_lines long, n_removed long")
     return out.select(*(F.col("text").alias(text) if c == text else F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)), "n_lines", "n_removed")

@@ -11,12 +11,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import only, tune
+from .common import lean, only, tune
 
 #: Labelled rows that the model is fitted on.
 FIT_ROWS = 20_000
@@ -192,7 +193,7 @@ def fit(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("y"), b.column("h"), pa.array(list(x), pa.list_(pa.float64()))], ["doc", "y", "h", "x"])
 
     kind = docs.schema["doc"].dataType.simpleString()
-    every = docs.select("doc", "y", F.xxhash64("text").alias("h"), "text").mapInArrow(run, f"doc {kind}, y int, h long, x array<double>")
+    every = docs.select("doc", "y", F.xxhash64("text").alias("h"), "text").mapInArrow(lean(run), f"doc {kind}, y int, h long, x array<double>")
     # One row for each id, picked where the rows lie, so that no more than ``rows`` of them reach the driver.
     got = every.groupBy("doc", "y").agg(F.min(F.struct("h", "x")).alias("t")).select("doc", "y", "t.x").toPandas().sort_values("doc")
     x = np.vstack([np.asarray(v) for v in got["x"]]) if len(got) else np.zeros((0, len(FEATURES)))
@@ -208,9 +209,7 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
     tune(df.sparkSession)
 
     @F.pandas_udf("double")
-    def scored(column):
-        import pandas as pd
-
-        return pd.Series(model.score(pa.array(column, pa.string(), from_pandas=True)))
+    def scored(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from lean(lambda own: (pd.Series(model.score(pa.array(c, pa.string(), from_pandas=True))) for c in own))(columns)
 
     return df.withColumn(out, scored(F.col(f"`{text}`")))

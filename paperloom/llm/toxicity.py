@@ -15,12 +15,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import discard, only, stored, tune
+from .common import discard, lean, only, stored, tune
 
 #: Labelled texts that the grammar is fitted on, those of the lowest key hash; each is read whole.
 FIT_ROWS = 8000
@@ -315,7 +316,7 @@ def fit(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str =
     if not totals[1::2].any() or not totals[::2].any():
         discard(sample)
         return Model(beta=np.array([6.0 if totals.any() and totals[1::2].any() else -6.0] + [0.0] * FEATURES))
-    counted = sample.mapInArrow(_counted, "key long, stem boolean, n0 long, n1 long, n2 long, n3 long").groupBy("key", "stem").agg(*(F.sum(f"n{j}").alias(f"n{j}") for j in range(4)))
+    counted = sample.mapInArrow(lean(_counted), "key long, stem boolean, n0 long, n1 long, n2 long, n3 long").groupBy("key", "stem").agg(*(F.sum(f"n{j}").alias(f"n{j}") for j in range(4)))
     # Only what may be associated on all or on half the texts comes to the driver: more than two toxic texts in which it is over-represented.
     t, c = F.col("n1") + F.col("n3"), F.col("n0") + F.col("n2")
     base = float(totals[1::2].sum() / totals.sum())
@@ -325,12 +326,12 @@ def fit(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str =
     counts = {name: got[name].to_numpy() for name in got.columns} | {"key": got["key"].to_numpy().astype(np.int64).astype(np.uint64)}
     half_of = {h: lexicon(counts, totals, (1 - h,), math.sqrt(CHANCE)) for h in (0, 1)}
     model = lexicon(counts, totals, (0, 1))
-    tallies = sample.mapInArrow(_crossed(half_of, _tallied, ["n"]), "n array<bigint>").select(F.posexplode("n")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
+    tallies = sample.mapInArrow(lean(_crossed(half_of, _tallied, ["n"])), "n array<bigint>").select(F.posexplode("n")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
     tally = np.zeros(len(TIMERS) * 16, dtype=np.int64)
     for r in tallies:
         tally[r["pos"]] = r["n"]
     model.gains = half_of[0].gains = half_of[1].gains = learned_gains(tally.reshape(len(TIMERS), 8, 2))
-    rows_ = sample.mapInArrow(_crossed(half_of, _featured, ["y", "x"]), "y long, x array<double>").toPandas()
+    rows_ = sample.mapInArrow(lean(_crossed(half_of, _featured, ["y", "x"])), "y long, x array<double>").toPandas()
     discard(sample)
     order = sorted(range(len(rows_)), key=lambda i: (rows_["y"][i], tuple(rows_["x"][i])))
     x = np.vstack([np.asarray(rows_["x"][i]) for i in order])
@@ -347,9 +348,7 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
     tune(df.sparkSession)
 
     @F.pandas_udf("double")
-    def scored(column):
-        import pandas as pd
-
-        return pd.Series(model.score(pa.array(column, pa.string(), from_pandas=True)))
+    def scored(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from lean(lambda own: (pd.Series(model.score(pa.array(c, pa.string(), from_pandas=True))) for c in own))(columns)
 
     return df.withColumn(out, scored(F.col(f"`{text}`")))
