@@ -60,7 +60,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and whether they decode to the bytes that went in."""
     path = public_tokenizers.path(RANKS)
     ids = bpe.encode(docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")), path, public_tokenizers.PATTERN, keys=("doc_id", "sha"))
-    whole = bpe.decode(ids, path)
+    whole = bpe.decode(stored(ids), path)
     return whole.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("sha")).alias("round_trip"))
 
 
