@@ -97,8 +97,9 @@ def joined_by(rows: DataFrame, one: DataFrame, names: list[str], count: str) ->
     A hot name's rows do not meet in one task: the rows of ``one`` whose names hold more than a HOT_SHARE-th of all rows, at
     most HOT_SHARE by their definition, are broadcast to where the rows lie; only the others are shuffled by name.
     """
-    total = one.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
-    hot = F.col(count) > max(1, total // HOT_SHARE)
-    few, many = F.broadcast(one.where(hot)), one.where(~hot)
-    keys = few.select(*names)
-    return rows.join(few, names).unionByName(rows.join(F.broadcast(keys), names, "left_anti").join(many, names))
+    total, most = one.agg(F.coalesce(F.sum(count), F.lit(0)), F.coalesce(F.max(count), F.lit(0))).first()
+    limit = max(1, total // HOT_SHARE)
+    if most <= limit:
+        return rows.join(one, names)
+    few, many = F.broadcast(one.where(F.col(count) > limit)), one.where(F.col(count) <= limit)
+    return rows.join(few, names).unionByName(rows.join(F.broadcast(few.select(*names)), names, "left_anti").join(many, names))
