@@ -86,6 +86,12 @@ def discard(*frames: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files, broadcasts and compiled plans of rounds that are over; it does so when the driver's garbage is
+    collected, which may else not happen for long."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The columns an operator reads (old=new name) and no others, whatever they are called."""
     return df.select(*(F.col(f"`{old}`").alias(new) for old, new in columns.items()))

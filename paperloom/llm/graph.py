@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, joined_by, stored
+from .common import discard, joined_by, stored, swept
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -42,4 +42,5 @@ def components(edges: DataFrame) -> DataFrame:
         mark = new
     out = stored(now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
     discard(now)
+    swept(edges.sparkSession)
     return out

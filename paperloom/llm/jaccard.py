@@ -11,7 +11,7 @@ give all their pairs.  In longer ones each set is held against its neighbour by
 partners a set keeps the few that most of its lists name, so a group of near copies gives a bounded number of pairs for each member,
 a star around few of them.  A bound from histograms of the members' leading bits drops most other pairs, and exact intersections
 decide.  What these links join is one component.  In lists that still hold several, members are held against others in further
-rounds, in another order each, as long as these find links; in the last round every member outside a list's largest component is
+rounds, in another order each, as long as these find links (sketches of parities drop most pairs that differ too much); in the last round every member outside a list's largest component is
 held against all members of other components.  So every linked pair is found, or is already joined, without all pairs of a group
 of near copies.
 
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import discard, lean, only, stored, tune
+from .common import discard, lean, only, stored, swept, tune
 from .graph import components
 
 #: Shingles in a block in which frequent ones are looked for, the count there that makes one frequent, and how many are kept.
@@ -41,13 +41,13 @@ BLOCK, FREQUENT, HINTS = 2_000_000, 8, 100_000
 CHECK_COST, SMALL_LIMIT = 24, 39
 #: Leading bits of the bins of a set's histogram, and the size from which there are more bins.
 COARSE, FINE, MANY = 6, 9, 2000
-#: Bins of the small histograms that bound the intersections of pairs inside a join.
-SKETCH = 32
+#: Bits of the sketches that bound the differences of pairs inside a join, as a power of two.
+SKETCH = 10
 #: Members of one salted part of a list.
 PART = 500
 #: Partners that a set keeps from its long lists in a round, rounds at most, and one in how many pairs must link for a further
 #: one.  What they leave out the last round looks at, which tries everything.
-PARTNERS, TURNS, FRUITFUL = 3, 8, 4
+PARTNERS, TURNS, FRUITFUL = 3, 2, 4
 
 
 def class_key(s: np.ndarray) -> np.uint64:
@@ -71,9 +71,10 @@ def histogram(one: np.ndarray) -> bytes:
     return np.bincount((one >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32).tobytes()
 
 
-def sketch(hist: bytes) -> np.ndarray:
-    """A histogram folded to SKETCH bins."""
-    return np.frombuffer(hist, dtype=np.uint32).reshape(SKETCH, -1).sum(axis=1).astype(np.int32)
+def sketch(one: np.ndarray) -> list[int]:
+    """Bits that say whether a bin holds an odd number of members; two sets differ in no fewer members than sketches in bits."""
+    odd = np.bincount((one >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
 def most_common(x: bytes, y: bytes) -> int:
@@ -111,23 +112,24 @@ def _surveyed(k: int, separators: np.ndarray):
             m = int(many.sum())
             return out(pa.nulls(m, kind), np.zeros(m), np.zeros(m), found[many].astype(np.int64), n[many])
 
-        def out(doc, s, node, hint, n, hist=None) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([doc, pa.array(s, pa.int64()), pa.array(node, pa.int64()), pa.array(hint, pa.int64()), pa.array(n, pa.int64()), pa.array(hist or [None] * len(doc), pa.binary()), pa.array([sketch(h) for h in hist] if hist else [None] * len(doc), pa.list_(pa.int32()))], ["doc", "s", "node", "hint", "n", "hist", "sketch"])
+        def out(doc, s, node, hint, n, hist=None, sketches=None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([doc, pa.array(s, pa.int64()), pa.array(node, pa.int64()), pa.array(hint, pa.int64()), pa.array(n, pa.int64()), pa.array(hist or [None] * len(doc), pa.binary()), pa.array(sketches or [None] * len(doc), pa.list_(pa.int64()))], ["doc", "s", "node", "hint", "n", "hist", "sketch"])
 
         kind = pa.int64()
         for batch in batches:
             kind = batch.column("doc").type
-            s, node, hist = [], [], []
+            s, node, hist, sketches = [], [], [], []
             for one in textvec.shingle_sets(batch.column("text"), k, separators):
                 s.append(len(one))
                 hist.append(histogram(one))
+                sketches.append(sketch(one))
                 node.append(as_long(class_key(one)))
                 if node[-1] not in seen:
                     seen.add(node[-1])
                     held.append(one)
                     size += len(one)
             zero = np.zeros(len(s), dtype=np.int64)
-            yield out(batch.column("doc"), s, node, zero, zero, hist)
+            yield out(batch.column("doc"), s, node, zero, zero, hist, sketches)
             if size >= BLOCK:
                 yield frequent()
                 held, size, seen = [], 0, set()
@@ -220,7 +222,7 @@ def link(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, k: int =
     tune(spark)
     d = only(df, **{doc_id: "doc", text: "text"})
     kind = d.schema["doc"].dataType.simpleString()
-    seen = stored(d.mapInArrow(lean(_surveyed(k, separators)), f"doc {kind}, s long, node long, hint long, n long, hist binary, sketch array<int>"))
+    seen = stored(d.mapInArrow(lean(_surveyed(k, separators)), f"doc {kind}, s long, node long, hint long, n long, hist binary, sketch array<bigint>"))
     docs = seen.where("n = 0").select("doc", "s", "node", "hist", "sketch")
     hints = seen.where("n > 0").groupBy("hint").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "hint").limit(HINTS).toPandas().sort_values("hint", key=lambda x: x.astype("int64").to_numpy().astype(np.uint64))
     sizes = {r["s"]: r["n"] for r in docs.where(F.col("s").between(1, SMALL_LIMIT)).groupBy("s").agg(F.countDistinct("node").alias("n")).collect()}
@@ -267,14 +269,16 @@ def link(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, k: int =
         both = likely.join(have.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(have.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
         out = stored(both.select("a", "b", "x", "y").mapInArrow(lean(_linked(num, den)), "a long, b long"))
         discard(known, likely, have)
+        swept(spark)
         return out
 
     roots = components(links.union(verified(tried)))
     asked, turn = [tried], 0
     while True:
         rest = stored(_unsettled(lists, roots, classes))
-        common = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.least(p, q)), F.lit(0), lambda t, v: t + v)
-        may = lambda xs, x, ys, y: near(xs, ys) & ((xs > limit) | (ys > limit)) & (den * common(x, y) >= num * (xs + ys - common(x, y)))
+        apart = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
+        # With d members apart, two sets of xs + ys members have (xs + ys - d) / 2 in common and (xs + ys + d) / 2 in all.
+        may = lambda xs, x, ys, y: near(xs, ys) & ((xs > limit) | (ys > limit)) & (den * (xs + ys - apart(x, y)) >= num * (xs + ys + apart(x, y)))
         pairs = _neighbours(rest, turn, may) if turn >= 0 else _others(rest, may)
         for old in asked:
             pairs = pairs.join(old, ["a", "b"], "left_anti")

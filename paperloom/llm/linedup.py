@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import discard, joined_by, lean, only, stored, tune
+from .common import discard, joined_by, lean, only, stored, swept, tune
 
 MIN_WORDS = 50
 
@@ -92,6 +92,7 @@ def _shared(t: DataFrame, *names: str) -> DataFrame:
     g = stored(t.groupBy(*names).agg(F.count("*").alias("c"), F.min(F.struct("doc", "h", "at")).alias("first")).where("c > 1"))
     out = stored(joined_by(t, g, list(names), "c").drop("c"))
     discard(t, g)
+    swept(t.sparkSession)
     return out
 
 
