@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import discard, lean, only, stored, swept, tune
+from .common import discard, lean, only, stored, tune
 from .graph import components
 
 #: Shingles in a block in which frequent ones are looked for, the count there that makes one frequent, and how many are kept.
@@ -47,7 +47,7 @@ SKETCH = 10
 PART = 500
 #: Partners that a set keeps from its long lists in a round, rounds at most, and one in how many pairs must link for a further
 #: one.  What they leave out the last round looks at, which tries everything.
-PARTNERS, TURNS, FRUITFUL = 3, 2, 4
+PARTNERS, TURNS, FRUITFUL = 3, 1, 4
 
 
 def class_key(s: np.ndarray) -> np.uint64:
@@ -269,7 +269,6 @@ def link(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, k: int =
         both = likely.join(have.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(have.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
         out = stored(both.select("a", "b", "x", "y").mapInArrow(lean(_linked(num, den)), "a long, b long"))
         discard(known, likely, have)
-        swept(spark)
         return out
 
     roots = components(links.union(verified(tried)))
