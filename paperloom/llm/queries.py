@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, htmlmain, jaccard, licenses, linedup, quality, topk, toxicity
+from . import bpe, chat, decontam, fim, htmlmain, jaccard, licenses, linedup, quality, runs, topk, toxicity
 from .common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -67,6 +67,15 @@ def op10_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.transform(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(), 256).alias("restored_sha256"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.collapse(table(spark, sf_dir, "documents"), plant=F.crc32(F.col("doc_id").cast("string").cast("binary"))))
+
+
 QUERIES = {
     "op1_quality_gam": op1_quality_gam,
     "op2_license_rules": op2_license_rules,
@@ -78,6 +87,8 @@ QUERIES = {
     "op8_exact_topk": op8_exact_topk,
     "op9_html_main_text": op9_html_main_text,
     "op10_toxicity_grammar": op10_toxicity_grammar,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 _CONTROL = ["<|", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "<SYS>>", "</SYS>>", "[INST]", "[/INST]", "\\"]
@@ -116,7 +127,24 @@ select d.doc_id, coalesce(ids, '') as sentence_ids, coalesce(names, '') as licen
 from documents d left join u using (doc_id) left join i using (doc_id)"""
 
 
+_FIM_SQL = """
+with d as (
+  select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n, sha256('1:' || doc_id) as h from documents
+), v as (
+  select doc_id, t, n, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from d
+), c as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when t = '' or h1 is null or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form
+  from v
+), p as (select *, substring(t, 1, a) as pre, substring(t, a + 1, b - a) as mid, substring(t, b + 1) as suf from c)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+  sha256(t) as restored_sha256
+from p"""
+
+
 ORACLES = {
+    "op11_fill_in_middle": _FIM_SQL,
     "op2_license_rules": _license_sql(),
     "op4_chat_format": f"""
 with c as (
