@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, fim, htmlmain, jaccard, licenses, linedup, quality, runs, topk, toxicity
+from . import bpe, chat, decontam, fim, htmlmain, jaccard, licenses, linedup, pii, quality, runs, topk, toxicity
 from .common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -76,6 +76,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digest(runs.collapse(table(spark, sf_dir, "documents"), plant=F.crc32(F.col("doc_id").cast("string").cast("binary"))))
 
 
+def op13_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents"), pii.fit()))
+
+
 QUERIES = {
     "op1_quality_gam": op1_quality_gam,
     "op2_license_rules": op2_license_rules,
@@ -89,6 +93,7 @@ QUERIES = {
     "op10_toxicity_grammar": op10_toxicity_grammar,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_pii_boosting": op13_pii_boosting,
 }
 
 _CONTROL = ["<|", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "<SYS>>", "</SYS>>", "[INST]", "[/INST]", "\\"]
