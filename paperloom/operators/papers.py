@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.config import DEFAULT
+from paperloom.operators import search as SE
+
+#: Least log-likelihood of a phrase (chance 0.001), its longest length in words, and the phrases of ideas in one broadcast.
+LEAST_LIKELIHOOD, LONGEST, BROADCAST_PHRASES = 10.83, 3, 500_000
 
 
 def first_hits(hits: DataFrame) -> DataFrame:
@@ -38,3 +42,74 @@ def keywords(ideas: DataFrame, corpus: DataFrame, specific: int = 4, broad: int
     ranked = known.select("*", rare.alias("r"), common.alias("c"))
     kind = F.when(F.col("r") <= specific, "specific").otherwise("broad")
     return ranked.where((F.col("r") <= specific) | (F.col("c") <= broad)).select("idea_id", "word", "df", kind.alias("kind"))
+
+
+def _letters(text: Column) -> Column:
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+")
+
+
+def _phrases(w: Column) -> Column:
+    """Distinct rows of one to LONGEST neighbouring words of four letters or more, of the words ``w``, a plain column."""
+    rows = every = F.transform(w, lambda x: F.when(F.length(x) >= 4, x))
+    for n in range(1, LONGEST):
+        left = F.greatest(F.size(w) - n, F.lit(0))
+        rows = F.zip_with(F.slice(rows, 1, left), F.slice(w, n + 1, left), lambda p, x: F.when(p.isNotNull() & (F.length(x) >= 4), F.concat(p, F.lit(" "), x)))
+        every = F.concat(every, rows)
+    return F.array_compact(F.array_distinct(every))
+
+
+def _likelihood(both: Column, a: Column, b: Column, n: Column) -> Column:
+    """Twice the log-likelihood ratio of two events in n rows, which happen ``both``, ``a`` and ``b`` times."""
+
+    def part(k: Column, row: Column, column: Column) -> Column:
+        return F.when(k > 0, k * F.log(k * n / (row * column))).otherwise(0.0)
+
+    return 2 * (part(both, a, b) + part(a - both, a, n - b) + part(b - both, n - a, b) + part(n - a - b + both, n - a, n - b))
+
+
+def keyphrases(ideas: DataFrame, corpus: DataFrame, specific: int = 4, broad: int = 3) -> DataFrame:
+    """ideas(idea_id, text), corpus(text) -> (idea_id, kw_pos, phrase, df, likelihood, kind), what an idea is searched by.
+
+    A phrase of several words counts if the corpus holds it, and more often than its first words and its last word meet by chance.
+    It absorbs the shorter ones in it.  First come ``specific`` phrases: the longest, then the least accidental, then the rarest;
+    then ``broad`` ones: of the others those that most texts hold.  ``df`` is the number of corpus texts with the phrase; phrases that
+    no text holds come last.  Ideas without a word have no row.  The phrases of all ideas, a stated set, are broadcast to where the
+    texts lie, at most BROADCAST_PHRASES at a time, and what is shuffled are partial counts.
+    """
+    own = ideas.select("idea_id", _letters(F.col("text")).alias("w")).select("idea_id", F.explode_outer(_phrases(F.col("w"))).alias("phrase")).where("phrase is not null")
+    known = own.select("phrase").distinct()
+    rows = corpus.select(_letters(F.col("text")).alias("w")).select(F.explode_outer(_phrases(F.col("w"))).alias("phrase"))
+    slices, counted = max(1, -(-known.count() // BROADCAST_PHRASES)), None
+    for i in range(slices):
+        mine = known if slices == 1 else known.where(F.pmod(F.xxhash64("phrase"), F.lit(slices)) == i)
+        part = rows.join(F.broadcast(mine), "phrase").groupBy("phrase").agg(F.count("*").alias("df"))
+        counted = part if counted is None else counted.unionByName(part)
+    n = corpus.agg(F.count("*").alias("n"))
+    w = F.split("phrase", " ")
+    size = F.size(w)
+    rest = own.select("idea_id", "phrase", size.alias("size"), F.array_join(F.slice(w, 1, F.greatest(size - 1, F.lit(1))), " ").alias("head"), F.element_at(w, -1).alias("tail"))
+    df = lambda c: counted.select(F.col("phrase").alias(c), F.col("df").alias(f"df_{c}"))
+    full = rest.join(df("phrase"), "phrase", "left").join(df("head"), "head", "left").join(df("tail"), "tail", "left").join(n).fillna(0, ["df_phrase", "df_head", "df_tail"])
+    both, a, b = F.col("df_phrase"), F.col("df_head"), F.col("df_tail")
+    score = F.when(F.col("size") > 1, F.round(_likelihood(both, a, b, F.col("n")), 6)).otherwise(0.0)
+    linked = (both > 0) & (both * F.col("n") > a * b) & (score >= LEAST_LIKELIHOOD)
+    kept = full.select("idea_id", "phrase", "size", both.alias("df"), score.alias("likelihood"), ((F.col("size") == 1) | linked).alias("ok")).where("ok")
+    # The phrases of one idea, as many as it has words, meet in its row, where the shorter are absorbed and the rest put in order.
+    item = F.struct((F.col("df") == 0).alias("none"), (-F.col("size")).alias("less"), (-F.col("likelihood")).alias("minus"), "df", "phrase")
+    found = kept.groupBy("idea_id").agg(F.sort_array(F.collect_list(item)).alias("p"))
+    inside = lambda x, y: (y["less"] < x["less"]) & F.contains(F.concat(F.lit(" "), y["phrase"], F.lit(" ")), F.concat(F.lit(" "), x["phrase"], F.lit(" ")))
+    found = found.withColumn("p", F.filter("p", lambda x: ~F.exists("p", lambda y: inside(x, y))))
+    first = F.transform(F.slice("p", 1, specific), lambda x: F.struct(x["phrase"].alias("phrase"), x["df"].alias("df"), (-x["minus"]).alias("likelihood"), F.lit("specific").alias("kind")))
+    others = F.sort_array(F.transform(F.filter("p", lambda x, i: i >= specific), lambda x: F.struct((-x["df"]).alias("less"), x["phrase"].alias("phrase"), (-x["minus"]).alias("likelihood"))))
+    then = F.transform(F.slice(others, 1, broad), lambda x: F.struct(x["phrase"].alias("phrase"), (-x["less"]).alias("df"), x["likelihood"].alias("likelihood"), F.lit("broad").alias("kind")))
+    return found.select("idea_id", F.posexplode(F.concat(first, then)).alias("kw_pos", "k")).select("idea_id", (F.col("kw_pos") + 1).alias("kw_pos"), "k.phrase", "k.df", "k.likelihood", "k.kind")
+
+
+def ranked_hits(phrases: DataFrame, index: SE.Index, k: int = 10) -> DataFrame:
+    """(idea_id, keyword, kw_pos, rank, doc_id, arxiv_id, score): for each phrase the ``k`` documents that suit its words best.
+
+    phrases(idea_id, kw_pos, phrase); a document's number, as text, plays the paper's id.
+    """
+    asked = phrases.select(F.struct("idea_id", "kw_pos", "phrase").alias("query_id"), SE.words(F.col("phrase")).alias("terms"))
+    hits = SE.search(asked, index, k)
+    return hits.select("query_id.idea_id", F.col("query_id.phrase").alias("keyword"), "query_id.kw_pos", "rank", F.col("doc").alias("doc_id"), F.col("doc").cast("string").alias("arxiv_id"), "score")

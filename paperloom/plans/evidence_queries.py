@@ -168,9 +168,9 @@ def processed_papers(spark, sf_dir):
     return E.processed(_read_papers(spark, sf_dir)).select("doc_id", "source")
 
 
-@query(f"with recursive {Q.CHUNKS}, {Q.HITS}, {PAPERS}, own as (select item_id as idea_id, unnest({Q.KEYS}) as word from benchmark) select (select count(*) from hits) as papers_found, (select count(*) from papers) as papers_analyzed, (select count(*) from papers where is_processed) as papers_processed, (select count(*) from chunks where is_valid) as total_chunks, (select md5(string_agg(distinct word, ',' order by word)) from own) as keywords")
+@query(f"with recursive {Q.CHUNKS}, {Q.HITS}, {PAPERS} select (select count(*) from hits) as papers_found, (select count(*) from papers) as papers_analyzed, (select count(*) from papers where is_processed) as papers_processed, (select count(*) from chunks where is_valid) as total_chunks, (select md5(string_agg(distinct phrase, ',' order by phrase)) from keyphrases) as keywords")
 def pipeline_stats(spark, sf_dir):
-    words = _ideas(spark, sf_dir).select(F.explode(F.filter(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")), lambda w: F.length(w) >= 4)).alias("word"))
+    words = Q._keyphrases(spark, sf_dir).withColumnRenamed("phrase", "word")
     out = E.statistics(_hits(spark, sf_dir), _read_papers(spark, sf_dir), C.chunks(_bodies(spark, sf_dir)).where("is_valid"), words)
     return out.withColumn("keywords", _md5("keywords"))
 

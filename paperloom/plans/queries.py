@@ -15,6 +15,7 @@ from paperloom.operators import assess as A
 from paperloom.operators import chunks as C
 from paperloom.operators import papers as P
 from paperloom.operators import retrieval as R
+from paperloom.operators import search as SE
 from paperloom.operators import sections as SEC
 from paperloom.sources import atom, files, html_sections
 
@@ -319,25 +320,82 @@ def idea_guard(spark, sf_dir):
 
 # --- search hits, papers, keywords ---------------------------------------------------------------------------------------
 
-HITS = "hits as (select 0 as idea_id, k.keyword, k.kw_pos, doc_id as rank, coalesce(source, '') as arxiv_id, doc_id from documents d join (values ('the', 1), ('of', 2), ('de', 3)) k(keyword, kw_pos) on contains(lower(d.text), ' ' || k.keyword || ' '))"
+PHRASE_WORDS = r"regexp_split_to_array(lower(text), '[^\p{{L}}]+')"
+GRAM = "select {0}, array_to_string(w[i : i + n - 1], ' ') as phrase, n as size from (select {0}, w, unnest(range(1, len(w) + 1)) as i from (select {0}, " + PHRASE_WORDS + " as w from {1})), (values (1), (2), (3)) s(n) where i + n - 1 <= len(w) and len(list_filter(w[i : i + n - 1], lambda x: length(x) < 4)) = 0"
+
+
+def _likelihood_sql(both: str, a: str, b: str, n: str) -> str:
+    part = lambda k, row, column: f"case when {k} > 0 then ({k}) * ln(({k}) * ({n})::double / (({row}) * ({column})::double)) else 0 end"
+    return f"2 * ({part(both, a, b)} + {part(f'{a} - {both}', a, f'{n} - {b}')} + {part(f'{b} - {both}', f'{n} - {a}', b)} + {part(f'{n} - {a} - {b} + {both}', f'{n} - {a}', f'{n} - {b}')})"
+
+
+KEYPHRASES = f"""own as (select distinct * from ({GRAM.format('idea_id', '(select item_id as idea_id, text from benchmark)')})
+), grams as materialized (select phrase, count(*) as df from (select distinct doc_id, phrase from ({GRAM.format('doc_id', 'documents')}) where phrase in (select phrase from own)) group by phrase
+), halves as (select *, case when size = 1 then phrase else array_to_string(string_split(phrase, ' ')[1 : size - 1], ' ') end as head, string_split(phrase, ' ')[size] as tail from own
+), met as (select p.idea_id, p.phrase, p.size, coalesce(g.df, 0) as c, coalesce(h.df, 0) as a, coalesce(t.df, 0) as b, (select count(*) from documents) as n from halves p left join grams g on g.phrase = p.phrase left join grams h on h.phrase = p.head left join grams t on t.phrase = p.tail
+), weighed as (select *, case when size = 1 then 0.0::double else round({_likelihood_sql('c', 'a', 'b', 'n')}, 6) end as likelihood from met
+), linked as (select * from weighed where size = 1 or (c > 0 and c * n > a * b and likelihood >= {P.LEAST_LIKELIHOOD})
+), widest as (select * from linked x where not exists (select 1 from linked y where y.idea_id = x.idea_id and y.size > x.size and contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' '))
+), turns as (select *, row_number() over (partition by idea_id order by c = 0, size desc, likelihood desc, c, phrase) as r from widest
+), others as (select *, 4 + row_number() over (partition by idea_id order by c desc, phrase) as r2 from turns where r > 4
+), keyphrases as (select idea_id, r as kw_pos, phrase, c as df, likelihood, 'specific' as kind from turns where r <= 4 union all select idea_id, r2, phrase, c, likelihood, 'broad' from others where r2 <= 7)"""
+
+# BM25 of every document for every phrase; the blocks that bound it, as the search reads them.
+RANKED_HITS = f"""{KEYPHRASES}, bags as (select doc_id, len(w) as length, w from (select doc_id, {{TOKENS}} as w from documents)
+), kt as (select distinct idea_id, kw_pos, phrase, unnest(string_split(phrase, ' ')) as term from keyphrases
+), tfs as materialized (select doc_id, length, term, count(*) as tf from (select doc_id, length, unnest(w) as term from bags) where term in (select term from kt) group by all
+), bm as (select *, tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * length / (select avg(length) from bags))) as part, doc_id // 32 as block from tfs
+), rare as (select term, ln(1 + ((select count(*) from documents) - count(*) + 0.5::double) / (count(*) + 0.5::double)) as rarity, count(*) as df from tfs group by term
+), scored as (select idea_id, kw_pos, phrase, doc_id, any_value(block) as block, round(sum(rarity * part), 6) as score, count(*) as postings from kt join rare using (term) join bm using (term) group by idea_id, kw_pos, phrase, doc_id
+), ranked_hits as (select * from (select *, row_number() over (partition by idea_id, kw_pos order by score desc, doc_id) as rank from scored) where rank <= 10)""".replace("{TOKENS}", r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')")
+HITS = f"{RANKED_HITS}, hits as (select idea_id, phrase as keyword, kw_pos, rank, doc_id::varchar as arxiv_id, doc_id from ranked_hits)"
 FIRST = f"{HITS}, firsts as (select * from (select *, row_number() over (partition by idea_id, arxiv_id order by kw_pos, rank) as n from hits where arxiv_id <> '') where n = 1)"
 
 
+def _keyphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.keyphrases(_ideas(spark, sf_dir), _t(spark, sf_dir, "documents").select("text"))
+
+
+def _index(spark: SparkSession, sf_dir: str) -> SE.Index:
+    return SE.write_index(_t(spark, sf_dir, "documents"), files.scratch(spark))
+
+
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a keyword, ranked by id within it; their source plays the paper's id."""
-    d = _t(spark, sf_dir, "documents").select("doc_id", "source", F.lower("text").alias("text"))
-    each = d.select("doc_id", "source", F.explode(F.array(*(F.when(F.contains("text", F.lit(f" {w} ")), F.struct(F.lit(w).alias("keyword"), F.lit(i).alias("kw_pos"))) for i, w in enumerate(("the", "of", "de"), 1)))).alias("k")).where("k is not null")
-    return each.select(F.lit(0).alias("idea_id"), "k.keyword", F.col("k.kw_pos").alias("kw_pos"), F.coalesce("source", F.lit("")).alias("arxiv_id"), "doc_id", F.col("doc_id").alias("rank"))
+    """What the documents' index finds for every phrase of every idea."""
+    return P.ranked_hits(files.stored(_keyphrases(spark, sf_dir)), _index(spark, sf_dir))
+
+
+@query(f"with {KEYPHRASES} select idea_id, kw_pos::int as kw_pos, phrase, df, likelihood, kind from keyphrases")
+def keyphrases(spark, sf_dir):
+    return _keyphrases(spark, sf_dir)
+
+
+@query(f"with {RANKED_HITS} select idea_id, phrase as keyword, kw_pos::int as kw_pos, rank::int as rank, doc_id, score from ranked_hits")
+def ranked_search(spark, sf_dir):
+    return _hits(spark, sf_dir).drop("arxiv_id")
+
+
+@query(f"""with {RANKED_HITS}, tops as (select term, block, max(part) as top, count(*) as n from bm group by term, block
+), bound as (select idea_id, kw_pos, block, sum(rarity * top) as bound, max(n) as n from kt join rare using (term) join tops using (term) group by idea_id, kw_pos, block
+), turn as (select *, row_number() over (partition by idea_id, kw_pos order by round(bound, 6) desc, block) as turn from bound
+), first as (select * from (select *, coalesce(sum(n) over (partition by idea_id, kw_pos order by turn rows between unbounded preceding and 1 preceding), 0) as before from turn where turn <= 10) where before < 10
+), least as (select idea_id, kw_pos, score as least from (select *, row_number() over (partition by idea_id, kw_pos order by score desc, doc_id) as r from scored join first using (idea_id, kw_pos, block)) where r = 10
+), opened as (select idea_id, kw_pos, block from first union select idea_id, kw_pos, block from bound left join least using (idea_id, kw_pos) where least is null or bound >= least - 1e-6
+), seen as (select idea_id, kw_pos, sum(postings)::bigint as read from scored join opened using (idea_id, kw_pos, block) group by all)
+select idea_id, kw_pos::int as kw_pos, (select sum(df) from kt join rare using (term) where kt.idea_id = seen.idea_id and kt.kw_pos = seen.kw_pos)::bigint as postings, read from seen""")
+def search_cost(spark, sf_dir):
+    asked = files.stored(_keyphrases(spark, sf_dir)).select(F.struct("idea_id", "kw_pos").alias("query_id"), SE.words(F.col("phrase")).alias("terms"))
+    return SE.cost(asked, _index(spark, sf_dir)).select("query_id.idea_id", "query_id.kw_pos", "postings", "read")
 
 
-@query(f"with {FIRST} select idea_id, keyword as search_keyword, kw_pos, rank, arxiv_id, doc_id from firsts")
+@query(f"with {FIRST} select idea_id, keyword as search_keyword, kw_pos::int as kw_pos, rank::int as rank, arxiv_id, doc_id from firsts")
 def dedupe_first(spark, sf_dir):
     return P.first_hits(_hits(spark, sf_dir)).select("idea_id", "search_keyword", "kw_pos", "rank", "arxiv_id", "doc_id")
 
 
-@query(f"with {FIRST}, s as (select *, row_number() over (partition by idea_id order by kw_pos, rank, arxiv_id) as paper_pos from firsts) select printf('paper_%02d', paper_pos) as paper_id, arxiv_id, doc_id from s where paper_pos <= 5")
+@query(f"with {FIRST}, s as (select *, row_number() over (partition by idea_id order by kw_pos, rank, arxiv_id) as paper_pos from firsts) select idea_id, printf('paper_%02d', paper_pos) as paper_id, arxiv_id, doc_id from s where paper_pos <= 5")
 def select_papers(spark, sf_dir):
-    return P.selected(P.first_hits(_hits(spark, sf_dir))).select("paper_id", "arxiv_id", "doc_id")
+    return P.selected(P.first_hits(_hits(spark, sf_dir))).select("idea_id", "paper_id", "arxiv_id", "doc_id")
 
 
 KEYS = r"list_filter(list_distinct(regexp_split_to_array(lower(text), '[^\p{L}]+')), lambda w: length(w) >= 4)"

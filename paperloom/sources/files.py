@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,27 @@ from paperloom.functions import text as T
 PAPER_ROWS = "search_keyword string, id string, title string, abstract string, url string, year int, categories array<string>"
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share, for a table that only this application reads.
+
+    Where that is unset, a local master takes one on its machine; a cluster fails.
+    """
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file:///tmp/checkpoints"
+    return f"{found}/paperloom-{sc.applicationId}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df``, written to ``scratch`` and read again: computed once, whatever is made of it."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_papers(spark: SparkSession, path: str) -> DataFrame:
     """JSON Lines of papers; blank lines are skipped, ids are text, missing titles and abstracts are empty."""
     return spark.read.schema(PAPER_ROWS).json(path).fillna("", ["title", "abstract"])
