@@ -17,6 +17,7 @@ from paperloom.operators import papers as P
 from paperloom.operators import retrieval as R
 from paperloom.operators import search as SE
 from paperloom.operators import sections as SEC
+from paperloom.operators import vector_lists as VL
 from paperloom.sources import atom, files, html_sections
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -458,7 +459,7 @@ RANKED = "ranked as (select *, row_number() over (partition by query_id order by
 @query(f"with {PAIRS}, {RANKED.format('')} select query_id, id, round(similarity, 9) as similarity, rank::int as rank from ranked where rank <= 5")
 def vector_topk(spark, sf_dir):
     q, s = _vectors(spark, sf_dir)
-    return R.top_k(q.drop("label"), s, 5).withColumn("similarity", F.round("similarity", 9))
+    return VL.top_k(q, VL.build(s), 5).withColumn("similarity", F.round("similarity", 9))
 
 
 @query(f"with {PAIRS}, {RANKED.format(' where label = q_label')} select query_id, id, round(similarity, 9) as similarity, rank::int as rank from ranked where rank <= 5")
@@ -470,7 +471,7 @@ def vector_topk_filtered(spark, sf_dir):
 @query(f"with {PAIRS}, {RANKED.format(' where similarity >= 0.3')} select query_id, r.id, rank::int as rank, round(similarity, 9) as similarity, printf('Semantic similarity: %.2f', similarity) as reason, md5(left(text, 500)) as digest from ranked r join documents on doc_id = r.id where rank <= 10")
 def vector_threshold(spark, sf_dir):
     q, s = _vectors(spark, sf_dir)
-    hits = R.top_k(q.drop("label"), s, 10, least=CFG.min_similarity)
+    hits = VL.top_k(q, VL.build(s), 10, least=CFG.min_similarity)
     m = R.matches(hits, _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
     return m.select("query_id", "id", "rank", F.round("similarity", 9).alias("similarity"), "reason", _md5("text_snippet").alias("digest"))
 
@@ -478,7 +479,7 @@ def vector_threshold(spark, sf_dir):
 @query(f"with {PAIRS}, {RANKED.format(' where similarity >= 0.3')} select query_id, count(*) as n, round(max(similarity), 9) as best, string_agg(id::varchar, ',' order by rank) as ids from ranked where rank <= 3 group by query_id")
 def vector_batch_topk(spark, sf_dir):
     q, s = _vectors(spark, sf_dir)
-    hits = R.top_k(q.drop("label"), s, 3, least=CFG.min_similarity)
+    hits = VL.top_k(q, VL.build(s), 3, least=CFG.min_similarity)
     ordered = F.sort_array(F.collect_list(F.struct("rank", F.col("id").cast("string").alias("i"))))
     return hits.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("similarity"), 9).alias("best"), F.array_join(F.transform(ordered, lambda x: x["i"]), ",").alias("ids"))
 
@@ -495,7 +496,7 @@ UNIT = "unit as (select vec_id, list_transform(embedding::double[], lambda x: x
 @query(f"with {UNIT}, pairs as (select q.vec_id as query_id, s.vec_id as id, list_dot_product(q.u, s.u) as similarity from unit q, unit s where q.vec_id % 50 = 0), {RANKED.format('')} select query_id, id, rank::int as rank, round(similarity, 6) as similarity, d.source from ranked join documents d on d.doc_id = id where rank <= 15")
 def flat_ip_topk(spark, sf_dir):
     q, s = _vectors(spark, sf_dir)
-    hits = R.top_k(q.select("query_id", V.normalised(F.col("q")).alias("q")), s.select("id", V.normalised(F.col("v")).alias("v")), 15)
+    hits = VL.top_k(q.select("query_id", V.normalised(F.col("q")).alias("q")), VL.build(s.select("id", V.normalised(F.col("v")).alias("v"))), 15)
     meta = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
     return hits.join(meta, "id").select("query_id", "id", "rank", F.round("similarity", 6).alias("similarity"), "source")
 
