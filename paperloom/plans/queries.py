@@ -18,7 +18,7 @@ from paperloom.operators import retrieval as R
 from paperloom.operators import search as SE
 from paperloom.operators import sections as SEC
 from paperloom.operators import vector_lists as VL
-from paperloom.sources import atom, files, html_sections
+from paperloom.sources import atom, files, html_sections, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -523,12 +523,27 @@ def chunk_heading_join(spark, sf_dir):
 @query("with k as (select doc_id, text, sha256('m' || chr(10) || 'passage' || chr(10) || text) as key from documents), cache as (select distinct key from k where doc_id % 3 = 0) select doc_id, key, key in (select key from cache) as hit from k")
 def cache_split(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    cache = d.where("id % 3 = 0").select(files.cache_key("m", "passage", F.col("text")).alias("key"), F.array(F.lit(0.0)).alias("embedding")).dropDuplicates(["key"])
-    hits, misses = files.split_cache(d, cache, "m", "passage")
+    path = files.scratch(spark)
+    files.put_cache(d.where("id % 3 = 0 and text is not null").select("text", F.array(F.length("text").cast("float")).alias("embedding")), path, "m", "passage", 0)
+    hits, misses = files.split_cache(d, files.current(spark, path), "m", "passage")
     one = lambda t, hit: t.select(F.col("id").alias("doc_id"), "key", F.lit(hit).alias("hit"))
     return one(hits, True).unionByName(one(misses, False))
 
 
+@query("select vec_id as id, case when vec_id % 5 = 0 then 'third' when vec_id % 3 = 0 then 'second' else 'first' end as written, label + case when vec_id % 5 = 0 then 200 when vec_id % 3 = 0 then 100 else 0 end as label, round(list_dot_product(embedding::double[], embedding::double[]), 6) as length from embeddings")
+def store_upserts(spark, sf_dir):
+    """All vectors, then a third, then a fifth of them with other metadata; compacted in between, the second written twice."""
+    v = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    path, dim = files.scratch(spark), 64
+    put = lambda every, name, more, n: files.append_index(v.where(F.col("id") % every == 0).select("id", F.lit(name).alias("written"), (F.col("label") + more).alias("label"), "embedding"), path, dim, n)
+    put(1, "first", 0, 1)
+    put(3, "second", 100, 2)
+    store.compact(spark, path)
+    put(3, "again", 900, 2)
+    put(5, "third", 200, 3)
+    return files.current(spark, path).select("id", "written", "label", F.round(V.dot(F.col("embedding"), F.col("embedding")), 6).alias("length"))
+
+
 HASHED = r"""
 words as (select doc_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')) as w from documents
 ), spots as (select doc_id, ('0x' || left(md5(w), 4))::int % 64 as k, sum(case when substr(md5(w), 5, 1) < '8' then 1 else -1 end) as v from words group by all

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
+from paperloom.sources import store
 
 PAPER_ROWS = "search_keyword string, id string, title string, abstract string, url string, year int, categories array<string>"
 
@@ -82,20 +83,17 @@ def write_results(df: DataFrame, folder: str, topic: str, at: Column | None = No
     return path
 
 
-def upsert(df: DataFrame, path: str, version: int) -> None:
-    """Append the rows of ``df`` as a version; ``current`` shows, of the rows with one key, those of the highest version.
+def upsert(df: DataFrame, path: str, version: int, key: str = "id") -> None:
+    """The rows of ``df`` as a version of a store; ``current`` shows, of the rows with one key, those of the highest version.
 
     The store is not read, so an upsert costs what its own rows cost, and one that runs again changes nothing.
     """
-    df.withColumn("version", F.lit(version).cast("long")).write.mode("append").parquet(path)
+    store.write(df, path, key=key, version=version)
 
 
-def current(spark: SparkSession, path: str, key: str = "id") -> DataFrame:
-    """The latest row of each key, without its version; of several rows of one version the least."""
-    store = spark.read.parquet(path)
-    rest = [c for c in store.columns if c not in (key, "version")]
-    least = F.struct((-F.col("version")).alias("v"), *rest)
-    return store.groupBy(key).agg(F.min(least).alias("r")).select(key, *(f"r.{c}" for c in rest))
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The latest row of each key; of several rows of one version the least."""
+    return store.read(spark, path)
 
 
 def checked_vectors(df: DataFrame, dim: int, vector: str = "embedding") -> DataFrame:
@@ -124,11 +122,11 @@ def index_rows(chunks: DataFrame, papers: DataFrame, embedding: Column) -> DataF
 
 def put_cache(df: DataFrame, path: str, model: str, mode: str, version: int) -> None:
     """df(text, embedding) into the embedding cache (key, model, embedding); a later version of a text replaces an earlier one."""
-    upsert(df.select(cache_key(model, mode, F.col("text")).alias("key"), F.lit(model).alias("model"), "embedding"), path, version)
+    upsert(df.select(cache_key(model, mode, F.col("text")).alias("key"), F.lit(model).alias("model"), "embedding"), path, version, "key")
 
 
 def truncate_index(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+    store.write(df, path, mode="overwrite")
 
 
 def cache_key(model: str, mode: str, text: Column) -> Column:

@@ -64,7 +64,7 @@ def test_cache_round_trip(spark, tmp_path):
     put = lambda v, n: files.put_cache(spark.createDataFrame([("t", v)], "text string, embedding array<float>"), where, "m", "passage", n)
     put([1.0], 0)
     put([2.0], 1)
-    cache = files.current(spark, where, "key")
+    cache = files.current(spark, where)
     hits, misses = files.split_cache(spark.createDataFrame([(1, "t"), (2, "u")], "id int, text string"), cache, "m", "passage")
     assert [(r.id, r.embedding) for r in hits.collect()] == [(1, [2.0])] and [r.id for r in misses.collect()] == [2]
     assert files.split_cache(spark.createDataFrame([(1, "t")], "id int, text string"), cache, "m", "query")[0].count() == 0
