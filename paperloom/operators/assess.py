@@ -126,10 +126,10 @@ def reality(raw: DataFrame) -> DataFrame:
 
 
 def report(ideas: DataFrame, assessed: DataFrame, annotated: DataFrame) -> DataFrame:
-    """(idea_id, report): score, summary and a line for each sentence, as Markdown."""
+    """(idea_id, report): score, summary and a line for each sentence, as Markdown.  Criteria that ``assessed`` lacks count as 0."""
     line = F.format_string("- [%s] %s (%d%% overlap)", "label", "sentence", F.floor(F.col("overlap_score") * 100 + 0.5).cast("int"))
     lines = annotated.groupBy("idea_id").agg(F.sort_array(F.collect_list(F.struct("sentence_index", line.alias("l")))).alias("p"))
-    told = F.when(F.col("papers_analyzed") == 0, S.NO_PAPERS).otherwise(S.summary(F.col("score"), [F.lit(0.0)] * 4, F.col("red"), F.col("yellow"), F.col("green")))
+    told = F.when(F.col("papers_analyzed") == 0, S.NO_PAPERS).otherwise(S.summary(F.col("score"), [F.col(n) if n in assessed.columns else F.lit(0.0) for n, _ in S.CRITERIA], F.col("red"), F.col("yellow"), F.col("green")))
     j = ideas.select("idea_id").join(assessed, "idea_id").join(lines, "idea_id", "left")
     body = F.coalesce(F.array_join(F.transform("p", lambda x: x["l"]), "\n"), F.lit(""))
     return j.select("idea_id", F.concat(F.lit("# Originality: "), F.col("score").cast("string"), F.lit("/100\n\n"), told, F.lit("\n\n"), body).alias("report"))

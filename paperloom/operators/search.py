@@ -61,13 +61,17 @@ def open_index(spark: SparkSession, path: str) -> Index:
     return Index(spark.read.parquet(f"{path}/postings"), total["documents"], total["mean"])
 
 
+def rarities(terms: DataFrame, index: Index) -> DataFrame:
+    """(term, df, rarity) of those of terms(term), distinct ones, that the index knows."""
+    many = index.postings.select("term", F.size("docs").alias("n")).join(terms, "term").groupBy("term").agg(F.sum("n").alias("df"))
+    return many.withColumn("rarity", F.log(1 + (F.lit(index.documents) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+
+
 def _bounds(queries: DataFrame, index: Index) -> tuple[DataFrame, DataFrame]:
     """(query_id, term, rarity) and (query_id, block, bound, n: documents it has at least); no block's documents are looked at."""
     asked = queries.select("query_id", F.explode_outer(F.array_distinct("terms")).alias("term")).where("term is not null")
     heads = index.postings.select("term", "block", "top", F.size("docs").alias("n"))
-    many = heads.join(asked.select("term").distinct(), "term").groupBy("term").agg(F.sum("n").alias("df"))
-    rarity = F.log(1 + (F.lit(index.documents) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("rarity")
-    weighed = asked.join(many, "term").select("query_id", "term", rarity)
+    weighed = asked.join(rarities(asked.select("term").distinct(), index), "term").select("query_id", "term", "rarity")
     bound = heads.join(weighed, "term").groupBy("query_id", "block").agg(F.sum(F.col("rarity") * F.col("top")).alias("bound"), F.max("n").alias("n"))
     return weighed, bound
 

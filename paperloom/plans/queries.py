@@ -13,6 +13,7 @@ from paperloom.functions import text as T
 from paperloom.functions import vectors as V
 from paperloom.operators import assess as A
 from paperloom.operators import chunks as C
+from paperloom.operators import judge as J
 from paperloom.operators import papers as P
 from paperloom.operators import retrieval as R
 from paperloom.operators import search as SE
@@ -99,6 +100,13 @@ def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), F.array_join(lines, "\n").alias("markdown"))
 
 
+def _titled(papers: DataFrame) -> DataFrame:
+    """Papers with the headings of a paper, made of papers(paper_id, text): one of TITLES in turn before every fourth line."""
+    title = F.array(*(F.lit(f"## {t}\n") for t in TITLES))
+    lines = F.transform(F.split("text", "\n"), lambda s, i: F.when(i % 4 == 0, F.concat(F.get(title, (F.floor(i / 4) % len(TITLES)).cast("int")), s)).otherwise(s))
+    return papers.select("paper_id", F.array_join(lines, "\n").alias("markdown"))
+
+
 def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections made of documents: one each, its lines as paragraphs."""
     return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), F.lit(0).alias("heading_index"), F.lit("Body").alias("text"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("section_text"))
@@ -244,16 +252,9 @@ def text_between_headings(spark, sf_dir):
     return m.select("paper_id", _md5(SEC.between(F.col("markdown"), "the", "and")).alias("inner_digest"), _md5(SEC.between_with_heading(F.col("markdown"), "the", "and")).alias("outer_digest"))
 
 
-PAPERS = [
-    (1, "# Title\n## Abstract\nShort words.\nMore.\n## Introduction\nIntro text.\n### Detail\nDeep.\n## Method\nM.\n# Conclusion\nDone.\n## Inner\nstill\n# References\n[1]"),
-    (2, "no headings at all\nabstract"),
-    (3, "#Title\n## 1. INTRODUCTION: why\nbody\n## Summary\nsum\n# Next\nafter\n## Other\nx"),
-    (4, "## abstract\n\nonly this\nand that\n## End"),
-    (5, ""),
-    (6, "## Concluding Remarks\nc1\n# Acknowledgements\nthanks"),
-    (7, "# About\nx\n# Extended Abstract\n  one\n\ntwo\n# Introduction\nz"),
-]
-INLINE_LINES = f"md as (select * from {_values(PAPERS, 'paper_id, markdown')}), ln as (select paper_id, unnest(string_split(markdown, chr(10))) as s, unnest(range(len(string_split(markdown, chr(10))))) as line, len(string_split(markdown, chr(10))) as n from md)"
+TITLES = ("Abstract", "1. Introduction", "2. Method", "3. Results", "4. Conclusion", "References")
+TITLED = f"array_to_string(list_transform(string_split(text, chr(10)), lambda s, i: case when (i - 1) % 4 = 0 then '## ' || {list(TITLES)}[((i - 1) // 4) % 6 + 1] || chr(10) || s else s end), chr(10))"
+INLINE_LINES = f"md as (select doc_id as paper_id, {TITLED} as markdown from documents), ln as (select paper_id, unnest(string_split(markdown, chr(10))) as s, unnest(range(len(string_split(markdown, chr(10))))) as line, len(string_split(markdown, chr(10))) as n from md)"
 INLINE = SHORTS.replace(LINES, INLINE_LINES)
 
 
@@ -263,7 +264,7 @@ INLINE = SHORTS.replace(LINES, INLINE_LINES)
   w as (select z.paper_id, string_agg({strip_sql('s')}, ' ' order by line) as t from z join ln on ln.paper_id = z.paper_id and line > a and line < b where {strip_sql('s')} <> '' and not starts_with(s, '#') group by z.paper_id)
 select md.paper_id, left(case when coalesce((select {CUT} from x where x.paper_id = md.paper_id), '') <> '' then (select {CUT} from x where x.paper_id = md.paper_id) else coalesce((select t from w where w.paper_id = md.paper_id), '') end, 2000) as abstract from md""")
 def abstract_extract(spark, sf_dir):
-    return spark.createDataFrame(PAPERS, "paper_id int, markdown string").select("paper_id", SEC.abstract(F.col("markdown")).alias("abstract"))
+    return _titled(_papers(spark, sf_dir)).select("paper_id", SEC.abstract(F.col("markdown")).alias("abstract"))
 
 
 def _section_sql(words: str, ends: str, missing: str, name: str) -> str:
@@ -272,12 +273,12 @@ def _section_sql(words: str, ends: str, missing: str, name: str) -> str:
 
 @query(_section_sql("introduction|intro", "e.level <= lv", "Introduction section not found", "introduction"))
 def intro_section(spark, sf_dir):
-    return spark.createDataFrame(PAPERS, "paper_id int, markdown string").select("paper_id", SEC.introduction(F.col("markdown")).alias("introduction"))
+    return _titled(_papers(spark, sf_dir)).select("paper_id", SEC.introduction(F.col("markdown")).alias("introduction"))
 
 
 @query(_section_sql("conclusion|concluding|summary|closing", "e.level = lv or (e.level < lv and regexp_matches(lower(e.h), 'reference|acknowledgment|acknowledgement|appendix'))", "Conclusion section not found", "conclusion"))
 def conclusion_section(spark, sf_dir):
-    return spark.createDataFrame(PAPERS, "paper_id int, markdown string").select("paper_id", SEC.conclusion(F.col("markdown")).alias("conclusion"))
+    return _titled(_papers(spark, sf_dir)).select("paper_id", SEC.conclusion(F.col("markdown")).alias("conclusion"))
 
 
 @query(f"with {SHORTS} select paper_id, count(*)::int as n_headings, md5(string_agg(h, '|' order by line)) as digest, max(level)::int as deepest from hs where h is not null group by paper_id")
@@ -601,6 +602,30 @@ def label_counts(spark, sf_dir):
     return _assess(spark, sf_dir)["annotations"].groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("idea_id").alias("ideas"))
 
 
+def _novelty(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Every idea against the documents, which have the headings of papers; what several stages read is stored."""
+    sections = lambda papers: SEC.sections(_titled(papers))
+    return J.novelty(_ideas(spark, sf_dir), _t(spark, sf_dir, "documents").select("doc_id", "text"), sections, _index(spark, sf_dir), files.stored)
+
+
+# Alignments are folds over two sequences, which SQL can say only row by row: the tests hold them against a plain table.
+@query()
+def novelty_assessment(spark, sf_dir):
+    return _novelty(spark, sf_dir)["assessments"]
+
+
+@query()
+def novelty_sentences(spark, sf_dir):
+    a = _novelty(spark, sf_dir)["annotations"]
+    return a.select("idea_id", "sentence_index", "overlap_score", "originality_score", "label", F.to_json("linked_sections").alias("linked_sections"))
+
+
+@query()
+def novelty_report(spark, sf_dir):
+    x = _novelty(spark, sf_dir)
+    return A.report(_ideas(spark, sf_dir), x["assessments"], x["annotations"])
+
+
 LEVEL = "case when score >= 70 then 'high' when score >= 40 then 'moderate' else 'low' end"
 SUMMARY = f"'Your idea shows ' || {LEVEL} || ' originality (score: ' || score || '/100). ' || red || ' sentences have significant overlap, ' || yellow || ' have moderate overlap, and ' || green || ' appear novel.'"
 
