@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.config import DEFAULT, Settings
+from paperloom.functions import answers as AN
 from paperloom.functions import scores as S
 from paperloom.functions import text as T
 
@@ -91,37 +92,21 @@ def assess(ideas: DataFrame, corpus: DataFrame, cfg: Settings = DEFAULT) -> dict
     return {"sentences": s, "overlaps": o, "papers": c, "layer1": layer1, "annotations": a, "assessments": assessments(ideas, a, c, cfg)}
 
 
-def parsed_analyses(raw: DataFrame) -> DataFrame:
-    """raw(idea_id, paper_id, json) -> (idea_id, paper_id, overall, four criteria, sentence_index, overlap, matches).
+def reality(raw: DataFrame) -> DataFrame:
+    """raw(id, json) -> what a reality check says, with defaults for what is missing; an answer that is no JSON object has failed.
 
-    Missing values are 0; a missing overall is the mean of the criteria; broken JSON gives one row of zeros without a sentence.
+    Values that have the wrong type count as missing, one by one; examples that are no objects are left out.
     """
-    kind = (
-        "struct<criteria_scores:struct<problem_similarity:double,method_similarity:double,domain_overlap:double,contribution_similarity:double>,"
-        "overall_overlap_score:double,sentence_level:array<struct<sentence_index:int,sentence:string,overlap_score:double,"
-        "matched_sections:array<struct<heading:string,similarity:double,reason:string>>>>>"
-    )
-    j = raw.select("idea_id", "paper_id", F.from_json("json", kind).alias("j"))
-    c = {name: F.coalesce(F.col(f"j.criteria_scores.{name}"), F.lit(0.0)) for name, _ in S.CRITERIA}
-    mean = sum(c.values()) / 4
-    rows = j.select("idea_id", "paper_id", *(v.alias(k) for k, v in c.items()), F.coalesce("j.overall_overlap_score", mean).alias("overall"), F.explode_outer("j.sentence_level").alias("s"))
-    index = F.when(F.col("s").isNotNull(), F.coalesce("s.sentence_index", F.lit(0)))
-    return rows.select("idea_id", "paper_id", *c, "overall", index.alias("sentence_index"), F.when(F.col("s").isNotNull(), F.coalesce("s.overlap_score", F.lit(0.0))).alias("overlap"), F.coalesce(F.size("s.matched_sections"), F.lit(0)).alias("n_matches"))
-
-
-def reality(raw: DataFrame) -> DataFrame:
-    """raw(id, json) -> defaults filled in; broken JSON counts as a failed check."""
-    kind = "struct<already_exists:boolean,confidence:double,existing_examples:array<struct<name:string,similarity:double,description:string>>,assessment:string,recommendation:string>"
-    j = F.from_json("json", kind)
-    failed = (F.col("j").isNull()) | (F.col("j.already_exists").isNull() & F.col("j.assessment").isNull() & F.col("j.confidence").isNull())
-    r = raw.select("id", j.alias("j"))
+    r = raw.select("id", AN.parsed(F.col("json")).alias("v"))
+    example = lambda e: F.struct(AN.text(e, "$.name").alias("name"), AN.number(e, "$.similarity").alias("similarity"), AN.text(e, "$.description").alias("description"))
+    r = r.select("id", "v", F.transform(AN.objects(F.col("v"), "$.existing_examples"), example).alias("e"), (~F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))).alias("failed"))
     # Fixed values below: what stands in for a missing assessment and advice.
-    best = F.coalesce(F.array_max(F.transform("j.existing_examples", lambda e: F.coalesce(e["similarity"], F.lit(0.0)))), F.lit(0.0))
+    best = F.coalesce(F.array_max(F.transform("e", lambda e: F.coalesce(e["similarity"], F.lit(0.0)))), F.lit(0.0))
     return r.select(
-        "id", F.coalesce("j.already_exists", F.lit(False)).alias("already_exists"), F.coalesce("j.confidence", F.lit(0.0)).alias("confidence"), best.alias("max_similarity"),
-        F.try_element_at("j.existing_examples", F.lit(1)).alias("top_example"), F.size(F.coalesce("j.existing_examples", F.array())).alias("n_examples"),
-        F.when(failed, "Unable to perform reality check. Proceeding with paper analysis.").otherwise(F.coalesce("j.assessment", F.lit(""))).alias("assessment"),
-        F.when(failed, "Consider manually verifying if similar products/research exist.").otherwise(F.coalesce("j.recommendation", F.lit("Consider what makes your approach unique."))).alias("recommendation"),
+        "id", F.coalesce(AN.flag(F.col("v"), "$.already_exists"), F.lit(False)).alias("already_exists"), F.coalesce(AN.number(F.col("v"), "$.confidence"), F.lit(0.0)).alias("confidence"), best.alias("max_similarity"),
+        F.try_element_at("e", F.lit(1)).alias("top_example"), F.size("e").alias("n_examples"),
+        F.when(F.col("failed"), "Unable to perform reality check. Proceeding with paper analysis.").otherwise(F.coalesce(AN.text(F.col("v"), "$.assessment"), F.lit(""))).alias("assessment"),
+        F.when(F.col("failed"), "Consider manually verifying if similar products/research exist.").otherwise(F.coalesce(AN.text(F.col("v"), "$.recommendation"), F.lit("Consider what makes your approach unique."))).alias("recommendation"),
     )
 
 

@@ -6,37 +6,58 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.config import DEFAULT, Settings
+from paperloom.functions import answers as AN
 from paperloom.functions import prompts as PR
 from paperloom.functions import scores as S
 
-_ANSWER = (
-    "struct<criteria_scores:struct<problem_similarity:double,method_similarity:double,domain_overlap:double,contribution_similarity:double>,overall_overlap_score:double,"
-    "sentence_level:array<struct<sentence_index:int,sentence:string,overlap_score:double,matched_sections:array<struct<heading:string,similarity:double,reason:string>>>>>"
-)
+_MATCHES = "array<struct<heading:string,similarity:double,reason:string>>"
+
+
+def _criterion(name: str) -> Column:
+    return F.coalesce(AN.number(F.col("v"), f"$.criteria_scores.{name}"), F.lit(0.0)).alias(name)
 
 
 def criteria(raw: DataFrame) -> DataFrame:
     """raw(idea_id, paper_id, json): (idea_id, four criteria, papers_analyzed), each the mean over the idea's papers.
 
-    An answer that cannot be read counts with zeros, as does a criterion that is missing.
+    An answer that cannot be read counts with zeros, as does a criterion that is missing or no number.
     """
-    j = raw.select("idea_id", F.from_json("json", _ANSWER).alias("j"))
-    mean = lambda name: F.round(F.avg(F.coalesce(F.col(f"j.criteria_scores.{name}"), F.lit(0.0))), 6).alias(name)
+    j = raw.select("idea_id", AN.parsed(F.col("json")).alias("v"))
+    mean = lambda name: F.round(F.avg(_criterion(name)), 6).alias(name)
     return j.groupBy("idea_id").agg(*(mean(name) for name, _ in S.CRITERIA), F.count("*").alias("papers_analyzed"))
 
 
+def _said(v: Column) -> Column:
+    """array<struct<sentence_index, told, overlap, matched_sections>> of an answer; entries whose index is no number are left out."""
+    match = lambda m: F.struct(AN.text(m, "$.heading").alias("heading"), AN.number(m, "$.similarity").alias("similarity"), AN.text(m, "$.reason").alias("reason"))
+    entry = lambda s: F.struct(
+        AN.whole(s, "$.sentence_index", 0).alias("sentence_index"), F.nullif(AN.text(s, "$.sentence"), F.lit("")).alias("told"), F.coalesce(AN.number(s, "$.overlap_score"), F.lit(0.0)).alias("overlap"), F.transform(AN.objects(s, "$.matched_sections"), match).alias("matched_sections"),
+    )
+    return F.filter(F.transform(AN.objects(v, "$.sentence_level"), entry), lambda s: s["sentence_index"].isNotNull())
+
+
+def analyses(raw: DataFrame) -> DataFrame:
+    """raw(idea_id, paper_id, json) -> (idea_id, paper_id, four criteria, overall, sentence_index, overlap, n_matches).
+
+    One row for each sentence that an answer tells, or one without a sentence.  A missing overall is the mean of the criteria.
+    """
+    j = raw.select("idea_id", "paper_id", AN.parsed(F.col("json")).alias("v"))
+    rows = j.select("idea_id", "paper_id", *(_criterion(name) for name, _ in S.CRITERIA), AN.number(F.col("v"), "$.overall_overlap_score").alias("told"), F.explode_outer(_said(F.col("v"))).alias("s"))
+    names = [name for name, _ in S.CRITERIA]
+    mean = sum(F.col(n) for n in names) / len(names)
+    return rows.select("idea_id", "paper_id", *names, F.coalesce("told", mean).alias("overall"), "s.sentence_index", "s.overlap", F.coalesce(F.size("s.matched_sections"), F.lit(0)).alias("n_matches"))
+
+
 def sentence_rows(raw: DataFrame, sentences: DataFrame) -> DataFrame:
     """raw(idea_id, paper_id, paper_pos, json) x sentences(idea_id, sentence_index, sentence): one row for each paper and sentence.
 
     Sentences that an answer leaves out overlap by 0 and match nothing; a missing sentence text is the idea's own.
     """
-    j = raw.select("idea_id", "paper_id", "paper_pos", F.from_json("json", _ANSWER).alias("j"))
-    said = j.select("idea_id", "paper_id", F.explode_outer("j.sentence_level").alias("s")).where("s is not null")
-    said = said.select("idea_id", "paper_id", F.coalesce("s.sentence_index", F.lit(0)).alias("sentence_index"), F.nullif("s.sentence", F.lit("")).alias("told"), F.coalesce("s.overlap_score", F.lit(0.0)).alias("overlap"), "s.matched_sections")
+    j = raw.select("idea_id", "paper_id", "paper_pos", AN.parsed(F.col("json")).alias("v"))
+    said = j.select("idea_id", "paper_id", F.explode_outer(_said(F.col("v"))).alias("s")).where("s is not null").select("idea_id", "paper_id", "s.*")
     every = j.select("idea_id", "paper_id", "paper_pos").join(sentences, "idea_id")
     full = every.join(said, ["idea_id", "paper_id", "sentence_index"], "left")
-    none = F.array().cast("array<struct<heading:string,similarity:double,reason:string>>")
-    return full.select("idea_id", "paper_id", "paper_pos", "sentence_index", F.coalesce("told", "sentence").alias("sentence"), F.coalesce("overlap", F.lit(0.0)).alias("overlap"), F.coalesce("matched_sections", none).alias("matched_sections"))
+    return full.select("idea_id", "paper_id", "paper_pos", "sentence_index", F.coalesce("told", "sentence").alias("sentence"), F.coalesce("overlap", F.lit(0.0)).alias("overlap"), F.coalesce("matched_sections", F.array().cast(_MATCHES)).alias("matched_sections"))
 
 
 def linked_sections(rows: DataFrame, most: int = 5) -> DataFrame:
@@ -119,7 +140,8 @@ def per_topic(rows: DataFrame, topic: str = "topic") -> DataFrame:
 def html_records(entries: DataFrame, sections: DataFrame) -> DataFrame:
     """Papers that have a page, with its sections: entries(arxiv_id, title, ..., has_html), sections(arxiv_id, introduction,
     methodology, conclusion; null where the page could not be had, which leaves the paper out)."""
-    got = entries.where("has_html").join(sections.where("introduction is not null"), "arxiv_id")
+    found = sections.where("introduction is not null").select("arxiv_id", "introduction", "methodology", "conclusion")
+    got = entries.where("has_html").join(found, "arxiv_id")
     page = F.regexp_replace("url", "/abs/", "/html/")
     return got.select("arxiv_id", "title", "authors", F.col("published_date").alias("published"), "updated", F.col("abstract").alias("summary"), page.alias("html_url"), F.struct("introduction", "methodology", "conclusion").alias("sections"))
 

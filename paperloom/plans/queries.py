@@ -19,7 +19,7 @@ from paperloom.operators import retrieval as R
 from paperloom.operators import search as SE
 from paperloom.operators import sections as SEC
 from paperloom.operators import vector_lists as VL
-from paperloom.sources import atom, files, html_sections, store
+from paperloom.sources import files, html_sections, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -174,14 +174,6 @@ def section_extract(spark, sf_dir):
     return s.select("paper_id", "heading_index", "level", "text", _md5("section_text").alias("digest"), "is_valid", F.round("quality_score", 6).alias("quality_score"))
 
 
-HEADINGS = [(i, h) for i, h in enumerate(["1. Introduction", "2.3  Method", "IV. RESULTS", "(2) Data", "1) Scope", "3D Vision", "A. Proof", "Plain", "x" * 90 + ": " + "y" * 40, "word " * 40, ""])]
-
-
-@query(f"select id, {heading_sql('h')} as cleaned from {_values(HEADINGS, 'id, h')}")
-def heading_clean(spark, sf_dir):
-    return spark.createDataFrame(HEADINGS, "id int, h string").select("id", T.clean_heading(F.col("h")).alias("cleaned"))
-
-
 @query(f"select doc_id, round({QUALITY.format('text')}, 6) as quality from documents")
 def section_quality(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", F.round(T.section_quality(F.col("text")), 6).alias("quality"))
@@ -298,12 +290,6 @@ def html_sections_query(spark, sf_dir):
     return html_sections.sections(_t(spark, sf_dir, "pages"))
 
 
-@query("select page_id, len(p)::int as n, md5(left(array_to_string(p[1:50], chr(10) || chr(10)), 10000)) as digest from (select page_id, list_filter(list_transform(regexp_extract_all(html, '<p>([^<]*)', 1), lambda x: trim(x)), lambda x: length(x) > 20) as p from pages)")
-def html_cap(spark, sf_dir):
-    p = _t(spark, sf_dir, "pages").select("page_id", F.filter(F.transform(F.regexp_extract_all("html", F.lit("<p>([^<]*)"), F.lit(1)), lambda x: F.trim(x)), lambda x: F.length(x) > 20).alias("p"))
-    return p.select("page_id", F.size("p").alias("n"), _md5(F.substring(F.array_join(F.slice("p", 1, html_sections.MOST_PARAGRAPHS), "\n\n"), 1, html_sections.MOST_CHARS)).alias("digest"))
-
-
 @query("select doc_id, left(regexp_replace(regexp_replace(text, '[^A-Za-z0-9_\\s-]', '', 'g'), '[\\s-]+', '_', 'g'), 50) as slug from documents")
 def filename_slug(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
@@ -420,37 +406,6 @@ def lookup_by_key(spark, sf_dir):
     return d.unionByName(_t(spark, sf_dir, "embeddings").where("label = 3").select(F.lit("vector").alias("kind"), F.col("vec_id").alias("id"), F.col("label").cast("string").alias("digest")))
 
 
-ATOM = [("graphs", """<feed xmlns="http://www.w3.org/2005/Atom" xmlns:opensearch="http://a9.com/-/spec/opensearch/1.1/" xmlns:arxiv="http://arxiv.org/schemas/atom"><title>ArXiv  Query</title><id>q1</id><opensearch:totalResults>42</opensearch:totalResults><opensearch:startIndex>0</opensearch:startIndex><opensearch:itemsPerPage>3</opensearch:itemsPerPage>
-<entry><id>http://arxiv.org/abs/2101.00001v2</id><title>A
-  long   title</title><summary> Some
- abstract. </summary><published>2021-01-02T00:00:00Z</published><author><name>Ann</name></author><author><name>Bo</name></author><link href="http://arxiv.org/abs/2101.00001v2" rel="alternate" type="text/html"/><link title="pdf" href="http://arxiv.org/pdf/2101.00001v2" rel="related" type="application/pdf"/><category term="cs.LG"/><category term="cs.DB"/><arxiv:primary_category term="cs.LG"/><arxiv:doi>10.1/x</arxiv:doi></entry>
-<entry><title>No id</title><summary>x</summary></entry>
-<entry><id>weird-id</id><title>Bare</title><published>unknown</published><author><name>Cy</name></author></entry></feed>"""), ("broken", "<feed><entry>"), ("none", """<feed xmlns="http://www.w3.org/2005/Atom"><title>Empty</title></feed>""")]
-
-
-def _atom(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ATOM, "topic string, xml string")
-
-
-ENTRIES = [("graphs", "2101.00001v2", "A long title", "Some abstract.", "http://arxiv.org/abs/2101.00001v2", "http://arxiv.org/pdf/2101.00001v2", "Ann;Bo", "cs.LG;cs.DB", "cs.LG", "2021-01-02T00:00:00Z", "10.1/x", True), ("graphs", "weird-id", "Bare", "", "https://arxiv.org/abs/weird-id", "https://arxiv.org/pdf/weird-id", "Cy", "", "", "unknown", None, False)]
-
-
-@query(f"select * from {_values(ENTRIES, 'topic, arxiv_id, title, abstract, url, pdf_url, authors, categories, primary_category, published_date, doi, has_html')}")
-def atom_parse(spark, sf_dir):
-    e = atom.entries(_atom(spark)).withColumns({"authors": F.array_join("authors", ";"), "categories": F.array_join("categories", ";")})
-    return e.select("topic", "arxiv_id", "title", "abstract", "url", "pdf_url", "authors", "categories", "primary_category", "published_date", "doi", "has_html")
-
-
-@query(f"select topic, feed_title, total_results::int as total_results, start_index::int as start_index, items_per_page::int as items_per_page, n_entries::int as n_entries from {_values([('graphs', 'ArXiv Query', 42, 0, 3, 3), ('none', 'Empty', None, None, None, 0)], 'topic, feed_title, total_results, start_index, items_per_page, n_entries')}")
-def atom_feed_meta(spark, sf_dir):
-    return atom.feed_meta(_atom(spark)).where("topic <> 'broken'")
-
-
-@query(f"select topic, arxiv_id as id, title, abstract, url, try_cast(left(published_date, 4) as int) as year, 2 - (categories = '')::int * 2 as n_categories from {_values(ENTRIES, 'topic, arxiv_id, title, abstract, url, pdf_url, authors, categories, primary_category, published_date, doi, has_html')}")
-def feed_to_rows(spark, sf_dir):
-    return atom.as_rows(atom.entries(_atom(spark))).withColumn("n_categories", F.size("categories")).drop("categories")
-
-
 # --- vectors -------------------------------------------------------------------------------------------------------------
 
 PAIRS = "pairs as (select q.vec_id as query_id, s.vec_id as id, s.label, q.label as q_label, list_dot_product(q.embedding::double[], s.embedding::double[]) as similarity from embeddings q, embeddings s where q.vec_id % 50 = 0)"
@@ -514,11 +469,15 @@ def row_id_lookup(spark, sf_dir):
     return _t(spark, sf_dir, "embeddings").join(_t(spark, sf_dir, "documents"), F.col("vec_id") == F.col("doc_id")).select("vec_id", "label", "source", "lang")
 
 
-@query(f"with recursive {CHUNKS}, {SECTIONS} select c.paper_id, chunk_index::int as chunk_index, coalesce(s.text, '') as section, coalesce(s.level, 0)::int as level from chunks c left join (select * from sections where heading_index = 0) s on s.paper_id = c.paper_id")
+SECTION_CHUNKS = CHUNKS.replace("as t from documents\n", "as t from (select paper_id || ':' || heading_index as doc_id, section_text as text from sections)\n")
+
+
+@query(f"with recursive {SECTIONS}, {SECTION_CHUNKS} select s.paper_id, s.heading_index::int as heading_index, chunk_index::int as chunk_index, s.text as section, s.level::int as level, md5(c.text) as digest from chunks c join sections s on c.paper_id = s.paper_id || ':' || s.heading_index")
 def chunk_heading_join(spark, sf_dir):
-    c = C.chunks(_bodies(spark, sf_dir)).select("paper_id", "heading_index", "chunk_index")
-    s = SEC.sections(_marked(spark, sf_dir)).select("paper_id", "heading_index", F.col("text").alias("section"), "level")
-    return c.join(s, ["paper_id", "heading_index"], "left").select("paper_id", "chunk_index", F.coalesce("section", F.lit("")).alias("section"), F.coalesce("level", F.lit(0)).alias("level"))
+    s = SEC.sections(_marked(spark, sf_dir))
+    c = C.chunks(s.withColumn("section_text", F.replace("section_text", F.lit("\n"), F.lit("\n\n")))).select("paper_id", "heading_index", "chunk_index", _md5("text").alias("digest"))
+    heads = s.select("paper_id", "heading_index", F.col("text").alias("section"), "level")
+    return c.join(heads, ["paper_id", "heading_index"], "left").select("paper_id", "heading_index", "chunk_index", F.coalesce("section", F.lit("")).alias("section"), F.coalesce("level", F.lit(0)).alias("level"), "digest")
 
 
 @query("with k as (select doc_id, text, sha256('m' || chr(10) || 'passage' || chr(10) || text) as key from documents), cache as (select distinct key from k where doc_id % 3 = 0) select doc_id, key, key in (select key from cache) as hit from k")
@@ -660,19 +619,6 @@ def rerank_select(spark, sf_dir):
     return b.withColumn("rank", rank).where(F.col("rank") <= CFG.max_papers).select("idea_id", "paper_id", "rank")
 
 
-ANALYSES = [
-    (0, "p1", '{"criteria_scores":{"problem_similarity":0.5,"method_similarity":0.25,"domain_overlap":1.0,"contribution_similarity":0.25},"sentence_level":[{"sentence_index":0,"overlap_score":0.8,"matched_sections":[{"heading":"A","similarity":0.9,"reason":"r"}]},{"sentence_index":2}]}'),
-    (0, "p2", '{"overall_overlap_score":0.75,"sentence_level":[]}'),
-    (1, "p1", "not json"),
-]
-PARSED = [(0, "p1", 0.5, 0.25, 1.0, 0.25, 0.5, 0, 0.8, 1), (0, "p1", 0.5, 0.25, 1.0, 0.25, 0.5, 2, 0.0, 0), (0, "p2", 0.0, 0.0, 0.0, 0.0, 0.75, None, None, 0), (1, "p1", 0.0, 0.0, 0.0, 0.0, 0.0, None, None, 0)]
-
-
-@query(f"select idea_id, paper_id, problem_similarity, method_similarity, domain_overlap, contribution_similarity, overall, sentence_index::int as sentence_index, overlap, n_matches from {_values(PARSED, 'idea_id, paper_id, problem_similarity, method_similarity, domain_overlap, contribution_similarity, overall, sentence_index, overlap, n_matches')}")
-def layer1_parse(spark, sf_dir):
-    return A.parsed_analyses(spark.createDataFrame(ANALYSES, "idea_id int, paper_id string, json string"))
-
-
 @query("select source, round(avg(quality), 6) as problem_similarity, round(avg(toxic), 6) as method_similarity, round(avg(quality * 0.5::double), 6) as domain_overlap, round(avg(1.0::double - toxic), 6) as contribution_similarity from labels join documents using (doc_id) group by source")
 def criteria_avg(spark, sf_dir):
     j = _t(spark, sf_dir, "labels").join(_t(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
@@ -680,50 +626,6 @@ def criteria_avg(spark, sf_dir):
     return j.groupBy("source").agg(mean("quality").alias("problem_similarity"), mean("toxic").alias("method_similarity"), mean(F.col("quality") * 0.5).alias("domain_overlap"), mean(1.0 - F.col("toxic")).alias("contribution_similarity"))
 
 
-CRITERIA_ROWS = [(1, 0.5, 0.5, 0.2, 0.1), (2, 0.1, 0.9, 0.9, 0.3), (3, 0.0, 0.0, 0.0, 0.0), (4, 0.2, 0.3, 0.4, 0.95), (5, None, 0.6, None, 0.6)]
-
-
-@query(f"select id, case when m = coalesce(a, 0) then 'problem definition' when m = coalesce(b, 0) then 'methodology' when m = coalesce(c, 0) then 'application domain' else 'contributions' end as name, m as value from (select *, greatest(coalesce(a, 0), coalesce(b, 0), coalesce(c, 0), coalesce(d, 0)) as m from {_values(CRITERIA_ROWS, 'id, a, b, c, d')})")
-def argmax_criterion(spark, sf_dir):
-    d = spark.createDataFrame(CRITERIA_ROWS, "id int, a double, b double, c double, d double")
-    return d.select("id", S.main_criterion([F.col(c) for c in "abcd"]).alias("m")).select("id", "m.name", "m.value")
-
-
-CHECKS = [
-    (1, '{"already_exists":true,"confidence":0.95,"existing_examples":[{"name":"X","similarity":0.98},{"name":"Y"}],"assessment":"a","recommendation":"r"}', 80),
-    (2, '{"already_exists":true,"confidence":0.95,"existing_examples":[{"name":"X","similarity":0.98}],"assessment":"a","recommendation":"r"}', 3),
-    (3, '{"already_exists":true,"confidence":0.5,"assessment":"b"}', 50),
-    (4, '{"already_exists":true,"confidence":1.0,"existing_examples":[{"similarity":1.0}],"assessment":"c"}', 100),
-    (5, '{"already_exists":false,"confidence":0.9,"assessment":"d"}', 70),
-    (6, "oops", 60),
-]
-
-
-def _checks(spark: SparkSession) -> DataFrame:
-    raw = spark.createDataFrame(CHECKS, "id int, json string, score int")
-    return raw.select("id", "score").join(A.reality(raw.select("id", "json")), "id")
-
-
-@query(f"select id, adjusted::int as adjusted, similarity as max_similarity from {_values([(1, 21, 0.98), (2, 5, 0.98), (3, 50, 0.0), (4, 20, 1.0), (5, 70, 0.0), (6, 60, 0.0)], 'id, adjusted, similarity')}")
-def reality_adjust(spark, sf_dir):
-    return _checks(spark).select("id", S.adjusted(F.col("score"), F.col("already_exists"), F.col("confidence"), F.col("max_similarity")).alias("adjusted"), "max_similarity")
-
-
-LONG = "⚠️ **Warning: This idea may already exist!**\n\nYour idea closely resembles **{}** (similarity: {}%).\n\n*{}*\n\n**Recommendation:** {}"
-WARNINGS = [(1, LONG.format("X", 98, "a", "r")), (2, LONG.format("X", 98, "a", "r")), (3, "⚠️ **Note:** Similar concepts may exist.\n\n*b*"), (4, LONG.format("existing products", 100, "c", "Consider what makes your approach unique.")), (5, None), (6, None)]
-
-
-@query(f"select * from {_values(WARNINGS, 'id, warning')}")
-def reality_warning(spark, sf_dir):
-    return _checks(spark).select("id", S.warning(F.col("already_exists"), F.col("confidence"), F.col("top_example"), F.col("assessment"), F.col("recommendation")).alias("warning"))
-
-
-@query(f"select * from {_values([(3, False, 'b', 'Consider what makes your approach unique.'), (6, True, 'Unable to perform reality check. Proceeding with paper analysis.', 'Consider manually verifying if similar products/research exist.')], 'id, failed, assessment, recommendation')}")
-def default_rows(spark, sf_dir):
-    c = _checks(spark).where("id in (3, 6)")
-    return c.select("id", F.startswith("assessment", F.lit("Unable")).alias("failed"), "assessment", "recommendation")
-
-
 COST = "round(sum(case when event_type = 'view' then value * 0.8::double / 1e6 * 0.075::double + value * (1::double - 0.8::double) / 1e6 * 0.3::double else value * 0.7::double / 1e6 * 0.075::double + value * (1::double - 0.7::double) / 1e6 * 0.3::double end) + 0.001::double, 9)"
 
 
