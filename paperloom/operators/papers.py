@@ -113,3 +113,36 @@ def ranked_hits(phrases: DataFrame, index: SE.Index, k: int = 10) -> DataFrame:
     asked = phrases.select(F.struct("idea_id", "kw_pos", "phrase").alias("query_id"), SE.words(F.col("phrase")).alias("terms"))
     hits = SE.search(asked, index, k)
     return hits.select("query_id.idea_id", F.col("query_id.phrase").alias("keyword"), "query_id.kw_pos", "rank", F.col("doc").alias("doc_id"), F.col("doc").cast("string").alias("arxiv_id"), "score")
+
+
+def diverse(candidates: DataFrame, k: int = DEFAULT.max_papers, relevance: float = 0.7, most: int = 15) -> DataFrame:
+    """candidates(idea_id, paper_id, relevance, covers: array<double>) -> (idea_id, paper_id, rank, gain), at most ``k`` for each idea.
+
+    One after the other the paper is picked that gains most: its relevance less its likeness to the likest one picked before, weighed
+    as ``relevance`` to the rest of 1.  Two papers are alike as far as ``covers``, what they hold of each part of the idea, agree: the
+    sum of the parts' smaller values over that of the larger ones.  ``most`` candidates of the highest relevance take part.  Ties fall
+    to the smaller id; null values count as 0.  The fold runs in the row of the idea, over ``most`` candidates.
+    """
+    turn = F.row_number().over(Window.partitionBy("idea_id").orderBy(F.desc(F.coalesce("relevance", F.lit(0.0))), "paper_id"))
+    few = candidates.withColumn("turn", turn).where(F.col("turn") <= most)
+    kind = candidates.schema["paper_id"].dataType.simpleString()
+    item = F.struct("paper_id", F.coalesce("relevance", F.lit(0.0)).alias("relevance"), F.transform(F.coalesce("covers", F.array().cast("array<double>")), lambda x: F.coalesce(x, F.lit(0.0))).alias("covers"))
+    rows = few.groupBy("idea_id").agg(F.sort_array(F.collect_list(item)).alias("c"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+
+    def alike(a: Column, b: Column) -> Column:
+        zero = lambda x: F.coalesce(x, F.lit(0.0))
+        both, either = (total(F.zip_with(a, b, lambda x, y: f(zero(x), zero(y)))) for f in (F.least, F.greatest))
+        return F.when(either > 0, both / either).otherwise(0.0)
+
+    picked = f"array<struct<paper_id:{kind},covers:array<double>,gain:double>>"
+
+    def step(acc: Column, _: Column) -> Column:
+        left = F.filter("c", lambda x: ~F.exists(acc, lambda p: p["paper_id"].eqNullSafe(x["paper_id"])))
+        nearest = lambda x: F.coalesce(F.array_max(F.transform(acc, lambda p: alike(x["covers"], p["covers"]))), F.lit(0.0))
+        gain = lambda x: F.round(relevance * x["relevance"] - (1 - relevance) * nearest(x), 6)
+        best = F.array_min(F.transform(left, lambda x, i: F.struct((-gain(x)).alias("less"), i.alias("i"), x["paper_id"].alias("paper_id"), x["covers"].alias("covers"))))
+        return F.when(F.size(left) > 0, F.concat(acc, F.array(F.struct(best["paper_id"].alias("paper_id"), best["covers"].alias("covers"), (-best["less"]).alias("gain"))))).otherwise(acc)
+
+    chosen = F.aggregate(F.sequence(F.lit(1), F.lit(k)), F.array().cast(picked), step)
+    return rows.select("idea_id", F.posexplode(chosen).alias("pos", "p")).select("idea_id", "p.paper_id", (F.col("pos") + 1).alias("rank"), "p.gain")

@@ -608,15 +608,27 @@ def score_bands(spark, sf_dir):
     return a.select("idea_id", "score", band.alias("band"), F.round((1 - F.col("overlap")) * 100, 2).alias("shown"))
 
 
-@query(f"with {OVERLAPS}, c15 as (select * from (select *, row_number() over (partition by idea_id order by mean desc, paper_id) as pos from (select idea_id, paper_id, round(sum(overlap) / (select count(*) from snt where snt.idea_id = o.idea_id), 6) as mean from ovl o group by idea_id, paper_id)) where pos <= 15), b as (select idea_id, paper_id, max(overlap) as top, count(*) as n from ovl join c15 using (idea_id, paper_id) group by idea_id, paper_id) select idea_id, paper_id, rank::int as rank from (select *, row_number() over (partition by idea_id order by top desc, n desc, paper_id) as rank from b) where rank <= 5")
-def rerank_select(spark, sf_dir):
-    from pyspark.sql import Window
+MOST_MEAN = "select *, row_number() over (partition by idea_id order by mean desc, paper_id) as pos from (select idea_id, paper_id, round(sum(overlap) / (select count(*) from snt where snt.idea_id = o.idea_id), 6) as mean from ovl o group by idea_id, paper_id)"
+
 
+@query(f"""with recursive {OVERLAPS}, c15 as materialized (select * from ({MOST_MEAN}) where pos <= 15
+), covers as materialized (select c.idea_id, c.paper_id, snt.sentence_index, coalesce(o.overlap, 0.0::double) as v from c15 c join snt on snt.idea_id = c.idea_id left join ovl o on o.idea_id = c.idea_id and o.paper_id = c.paper_id and o.sentence_index = snt.sentence_index
+), alike as materialized (select a.idea_id, a.paper_id as a, b.paper_id as b, case when sum(greatest(a.v, b.v)) > 0 then sum(least(a.v, b.v)) / sum(greatest(a.v, b.v)) else 0 end as s from covers a join covers b on a.idea_id = b.idea_id and a.sentence_index = b.sentence_index and a.paper_id <> b.paper_id group by all
+), pick as (
+  select distinct idea_id, 0 as rank, null::bigint as paper_id, null::double as gain, []::bigint[] as picked from c15
+  union all
+  select idea_id, rank + 1, paper_id, gain, list_append(picked, paper_id) from (
+    select *, row_number() over (partition by idea_id order by gain desc, paper_id) as r from (
+      select p.idea_id, p.rank, p.picked, c.paper_id, round(0.7::double * any_value(c.mean) - (1 - 0.7::double) * coalesce(max(case when list_contains(p.picked, a.b) then a.s end), 0), 6) as gain
+      from pick p join c15 c on c.idea_id = p.idea_id left join alike a on a.idea_id = c.idea_id and a.a = c.paper_id where p.rank < 5 and not list_contains(p.picked, c.paper_id) group by p.idea_id, p.rank, p.picked, c.paper_id)) where r = 1
+) select idea_id, paper_id, rank::int as rank, gain from pick where rank > 0""")
+def rerank_select(spark, sf_dir):
     x = _assess(spark, sf_dir)
-    c15 = A.candidates(x["sentences"], x["overlaps"], 15).select("idea_id", "paper_id")
-    b = x["overlaps"].join(c15, ["idea_id", "paper_id"]).groupBy("idea_id", "paper_id").agg(F.max("overlap").alias("top"), F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("idea_id").orderBy(F.desc("top"), F.desc("n"), "paper_id"))
-    return b.withColumn("rank", rank).where(F.col("rank") <= CFG.max_papers).select("idea_id", "paper_id", "rank")
+    c15 = A.candidates(x["sentences"], x["overlaps"], 15).select("idea_id", "paper_id", F.col("mean").alias("relevance"))
+    # What each candidate holds of each sentence of its idea, in the sentences' order.
+    each = c15.join(x["sentences"].select("idea_id", "sentence_index"), "idea_id").join(x["overlaps"], ["idea_id", "paper_id", "sentence_index"], "left")
+    covers = F.transform(F.sort_array(F.collect_list(F.struct("sentence_index", F.coalesce("overlap", F.lit(0.0)).alias("v")))), lambda s: s["v"])
+    return P.diverse(each.groupBy("idea_id", "paper_id", "relevance").agg(covers.alias("covers")))
 
 
 @query("select source, round(avg(quality), 6) as problem_similarity, round(avg(toxic), 6) as method_similarity, round(avg(quality * 0.5::double), 6) as domain_overlap, round(avg(1.0::double - toxic), 6) as contribution_similarity from labels join documents using (doc_id) group by source")
