@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.config import DEFAULT, Settings
@@ -133,6 +135,25 @@ def statistics(hits: DataFrame, papers: DataFrame, chunks: DataFrame, keywords:
     return whole.agg(*(F.max(c).alias(c) for c in whole.columns))
 
 
+class Watched:
+    """Stores frames and counts them on the way: what ``count`` says of a frame comes with the pass that writes it, no pass is added.
+
+    Tasks that are run again because an executor was lost are counted once where they write; a frame is observed as it is written.
+    """
+
+    def __init__(self, store: Callable[[DataFrame], DataFrame], **more: dict[str, Column]) -> None:
+        self.store, self.more, self.seen = store, more, {}
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.seen[name] = Observation(name)
+        return self.store(df.observe(self.seen[name], F.count(F.lit(1)).alias("rows"), *(c.alias(k) for k, c in self.more.get(name, {}).items())))
+
+    def row(self, spark: SparkSession) -> DataFrame:
+        """One row: <name>_rows and <name>_<metric> of every frame that was stored."""
+        told = {f"{name}_{k}": v for name, o in self.seen.items() for k, v in o.get.items()}
+        return spark.createDataFrame([tuple(told.values())], list(told))
+
+
 def per_topic(rows: DataFrame, topic: str = "topic") -> DataFrame:
     return rows.groupBy(topic).agg(F.count("*").alias("n"))
 

@@ -114,23 +114,23 @@ def reality(raw: DataFrame) -> DataFrame:
     return top.select(F.col("idea_id").alias("id"), F.to_json(said).alias("json"))
 
 
-def novelty(ideas: DataFrame, corpus: DataFrame, sections_of, index: SE.Index, keep=lambda df: df, cfg: Settings = DEFAULT) -> dict[str, DataFrame]:
+def novelty(ideas: DataFrame, corpus: DataFrame, sections_of, index: SE.Index, keep=lambda df, name: df, cfg: Settings = DEFAULT) -> dict[str, DataFrame]:
     """Everything from ideas(idea_id, text) to their assessment against corpus(doc_id, text), indexed as ``index``.
 
     Key phrases, ranked hits, the first of each paper, the ``max_papers`` first of these, their sections (``sections_of`` makes them of
     (paper_id, text)), the judge's answers, and from these sentence rows with linked sections, criteria, score, reality check, summary,
-    warning and cost.  ``keep`` stores what several later stages read.  Ideas without sentences or papers score 100 with zeros.
+    warning and cost.  ``keep(frame, name)`` stores what several later stages read.  Ideas without sentences or papers score 100 with zeros.
     """
-    sentences = keep(A.idea_sentences(ideas))
-    phrases = keep(P.keyphrases(ideas, corpus))
-    hits = keep(P.ranked_hits(phrases, index))
-    papers = keep(P.selected(P.first_hits(hits), cfg.max_papers).select("idea_id", F.col("doc_id").alias("paper_id"), "paper_pos", "search_keyword"))
+    sentences = keep(A.idea_sentences(ideas), "sentences")
+    phrases = keep(P.keyphrases(ideas, corpus), "phrases")
+    hits = keep(P.ranked_hits(phrases, index), "hits")
+    papers = keep(P.selected(P.first_hits(hits), cfg.max_papers).select("idea_id", F.col("doc_id").alias("paper_id"), "paper_pos", "search_keyword"), "papers")
     texts = corpus.select(F.col("doc_id").alias("paper_id"), "text").join(papers.select("paper_id").distinct(), "paper_id", "left_semi")
-    sections = keep(sections_of(texts))
-    overlaps = keep(section_overlaps(weighed_sentences(sentences, index), papers, sections))
-    raw = keep(answers(papers, overlaps))
+    sections = keep(sections_of(texts), "sections")
+    overlaps = keep(section_overlaps(weighed_sentences(sentences, index), papers, sections), "overlaps")
+    raw = keep(answers(papers, overlaps), "answers")
     rows = E.sentence_rows(raw, sentences)
-    linked = keep(E.linked_sections(rows))
+    linked = keep(E.linked_sections(rows), "linked")
     criteria = E.criteria(raw)
     annotated = sentences.join(linked, ["idea_id", "sentence_index"], "left").select("idea_id", "sentence_index", "sentence", F.coalesce("overlap_score", F.lit(0.0)).alias("overlap_score"), F.coalesce("originality_score", F.lit(1.0)).alias("originality_score"), F.coalesce("label", F.lit("high")).alias("label"), "linked_sections")
     scored = A.assessments(ideas, annotated, papers, cfg)

@@ -13,6 +13,7 @@ from paperloom.functions import text as T
 from paperloom.functions import vectors as V
 from paperloom.operators import assess as A
 from paperloom.operators import chunks as C
+from paperloom.operators import evidence as E
 from paperloom.operators import judge as J
 from paperloom.operators import papers as P
 from paperloom.operators import retrieval as R
@@ -561,10 +562,10 @@ def label_counts(spark, sf_dir):
     return _assess(spark, sf_dir)["annotations"].groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("idea_id").alias("ideas"))
 
 
-def _novelty(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def _novelty(spark: SparkSession, sf_dir: str, keep=lambda df, _: files.stored(df)) -> dict[str, DataFrame]:
     """Every idea against the documents, which have the headings of papers; what several stages read is stored."""
     sections = lambda papers: SEC.sections(_titled(papers))
-    return J.novelty(_ideas(spark, sf_dir), _t(spark, sf_dir, "documents").select("doc_id", "text"), sections, _index(spark, sf_dir), files.stored)
+    return J.novelty(_ideas(spark, sf_dir), _t(spark, sf_dir, "documents").select("doc_id", "text"), sections, _index(spark, sf_dir), keep)
 
 
 # Alignments are folds over two sequences, which SQL can say only row by row: the tests hold them against a plain table.
@@ -585,6 +586,14 @@ def novelty_report(spark, sf_dir):
     return A.report(_ideas(spark, sf_dir), x["assessments"], x["annotations"])
 
 
+@query(f"with {IDEA_SENTENCES}, {FIRST}, s as (select *, row_number() over (partition by idea_id order by kw_pos, rank, arxiv_id) as paper_pos from firsts) select (select count(*) from snt) as sentences_rows, (select count(*) from keyphrases) as phrases_rows, (select count(*) from hits) as hits_rows, (select count(*) from s where paper_pos <= 5) as papers_rows, (select count(distinct idea_id) from s) as papers_ideas, (select count(*) from s where paper_pos <= 5) as answers_rows")
+def novelty_statistics(spark, sf_dir):
+    """Counts of a run, observed while its stages are written."""
+    watched = E.Watched(files.stored, papers={"ideas": F.count_if(F.col("paper_pos") == 1)})
+    _novelty(spark, sf_dir, watched)
+    return watched.row(spark).select("sentences_rows", "phrases_rows", "hits_rows", "papers_rows", "papers_ideas", "answers_rows")
+
+
 LEVEL = "case when score >= 70 then 'high' when score >= 40 then 'moderate' else 'low' end"
 SUMMARY = f"'Your idea shows ' || {LEVEL} || ' originality (score: ' || score || '/100). ' || red || ' sentences have significant overlap, ' || yellow || ' have moderate overlap, and ' || green || ' appear novel.'"
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import alignment as AL
+from paperloom.operators import evidence as E
 from paperloom.operators import judge as J
 from paperloom.operators import search as SE
 from paperloom.operators import sections as SEC
@@ -55,7 +56,8 @@ def chain(spark, tmp_path_factory):
     ideas = spark.createDataFrame([(1, IDEA), (2, "Zymurgy flummoxes quixotic jabberwocks everywhere today."), (3, ""), (4, None), (5, "Sparse graph kernels run well on machines that we have.")], "idea_id long, text string")
     index = SE.write_index(docs, f"file://{tmp_path_factory.mktemp('ix')}")
     sections = lambda texts: SEC.sections(texts.withColumnRenamed("text", "markdown"))
-    return J.novelty(ideas, docs, sections, index, files.stored)
+    watched = E.Watched(files.stored, answers={"first": F.count_if(F.col("paper_pos") == 1)})
+    return J.novelty(ideas, docs, sections, index, watched) | {"watched": watched}
 
 
 def test_chain_from_idea_to_assessment(chain):
@@ -95,3 +97,10 @@ def test_papers_without_sections_have_zeros(chain, spark):
     papers = spark.createDataFrame([(9, 1, 1)], "idea_id long, paper_id long, paper_pos int")
     told = J.answers(papers, chain["overlaps"].limit(0)).first()
     assert json.loads(told.json)["criteria_scores"]["method_similarity"] == 0.0
+
+
+def test_counts_come_with_the_pass(chain, spark):
+    row = chain["watched"].row(spark).first().asDict()
+    for name in ("sentences", "phrases", "hits", "papers", "sections", "overlaps", "answers"):
+        assert row[f"{name}_rows"] == chain[name].count()
+    assert row["answers_first"] == 2
