@@ -98,18 +98,10 @@ def test_truncating_a_store(spark, tmp_path):
     assert files.current(spark, str(tmp_path / "s")).count() == 0
 
 
-def test_options_of_the_search_source(spark, monkeypatch):
+def test_options_of_the_search_source():
     where = search.address("graphs", {"field": "ti", "category": "cs.LG", "dateFrom": "202001010000", "dateTo": "202101010000", "start": "20", "maxResults": "5", "sortBy": "submittedDate", "sortOrder": "ascending"})
     assert "search_query=%28ti%3Agraphs%29+AND+%28cat%3Acs.LG%29+AND+%28submittedDate%3A%5B202001010000+TO+202101010000%5D%29" in where
     assert where.endswith("start=20&max_results=5&sortBy=submittedDate&sortOrder=ascending")
-    asked, waits = [], []
-    monkeypatch.setattr(search, "fetch", lambda a, tries: asked.append(a) or (None if "bad" in a else "<feed/>"))
-    monkeypatch.setattr(search.time, "sleep", waits.append)
-    reader = search.PaperSearch({"topics": "one\nbad\ntwo", "start": "3"}).reader(None)
-    assert list(reader.read(reader.partitions()[0])) == [("one", "<feed/>"), ("two", "<feed/>")]
-    assert len(asked) == 3 and waits == [3.0, 3.0] and all("start=3" in a for a in asked)
-    spark.dataSource.register(search.PaperSearch)
-    assert spark.read.format("papersearch").option("topics", "").load().count() == 0
 
 
 def test_prompt_falls_back_to_context(spark):
