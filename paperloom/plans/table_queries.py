@@ -11,7 +11,7 @@ from paperloom.functions import text as T
 from paperloom.operators import assess as A
 from paperloom.operators import evidence as E
 from paperloom.plans.queries import _md5, _t, heading_sql, query, strip_sql
-from paperloom.sources import atom, html_sections
+from paperloom.sources import atom, html_sections, pdf
 
 
 def _joined(*parts: Column | str) -> Column:
@@ -220,3 +220,34 @@ def default_rows(spark, sf_dir):
 def checked_summary(spark, sf_dir):
     after = S.adjusted(F.col("score"), F.col("already_exists"), F.col("confidence"), F.col("max_similarity"))
     return _checks(spark, sf_dir).select("id", E.checked_summary(_joined("S", F.col("id").cast("string"), "."), F.col("score"), after, F.col("top_example")).alias("summary"))
+
+
+# --- PDF files -----------------------------------------------------------------------------------------------------------
+
+CLOSING = "The paper ends here, with more small letters than there are large ones in it."
+_PDF_LINES = r"list_filter(list_transform(string_split(text, chr(10)), lambda s, i: trim(case when (i - 1) % 4 = 0 then '## ' || (i - 1) // 4 || ' Part' || chr(10) || regexp_replace(trim(s), '\s+', ' ', 'g') else regexp_replace(trim(s), '\s+', ' ', 'g') end)), lambda s: s <> '')"
+
+
+def _as_pdf(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        made = []
+        for n, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            lines = [(20.0, f"Paper {n}")]
+            for i, s in enumerate((text or "").split("\n")):
+                lines += [(14.0, f"{i // 4} Part")] * (i % 4 == 0) + [(10.0, t) for t in [" ".join(s.split(" ")).strip()] if t]
+            lines.append((10.0, CLOSING))
+            made.append(pdf.written(lines, modern=n % 2 == 1)[: None if n % 10 != 3 else 60])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary())], ["doc_id", "content"])
+
+
+@query(rf"""with p as (select doc_id, {_PDF_LINES} as l from documents), m as (select doc_id, list_transform(list_append(l, '{CLOSING}'), lambda s: case when starts_with(s, '## ') then chr(10) || split_part(s, chr(10), 1) || chr(10) || case when contains(s, chr(10)) then chr(10) || split_part(s, chr(10), 2) else '' end else s end) as t from p)
+select doc_id, case when doc_id % 10 <> 3 then md5(rtrim('# Paper ' || doc_id || chr(10) || regexp_replace(array_to_string(t, chr(10)), '
+
+
++', chr(10) || chr(10), 'g'), chr(10))) end as digest, doc_id % 10 = 3 as broken from m""")
+def pdf_markdown(spark, sf_dir):
+    """Documents as PDF files, of either kind of table, read back; every tenth is cut off."""
+    files = _t(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(_as_pdf, "doc_id long, content binary")
+    return pdf.read_pdfs(files).select("doc_id", _md5("markdown").alias("digest"), F.col("problem").isNotNull().alias("broken"))
