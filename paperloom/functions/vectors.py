@@ -26,13 +26,26 @@ def normalised(a: Column) -> Column:
     return _let(a, lambda v: _let(F.struct(v.alias("v"), norm(v).alias("n")), scaled))
 
 
+def _letter(digest: Column, dim: int) -> Column:
+    """One letter for a word's place and sign; ``dim`` divides 256, so the third and fourth hex digits tell the place."""
+    figures = F.lit("0123456789abcdef")
+    figure = lambda at: F.instr(figures, F.substring(digest, at, 1)) - 1
+    place = (figure(3) * 16 + figure(4)) % dim
+    return F.char(place + F.when(F.substring(digest, 5, 1) < "8", 0).otherwise(dim))
+
+
 def hashed_counts(text: Column, dim: int = 64) -> Column:
     """array<int>: signed feature hashing of words (letters and digits, lower case).
 
-    A word's MD5 digest says where it counts (the first four hex digits, modulo ``dim``) and its sign (the fifth).
+    A word's MD5 digest says where it counts (the first four hex digits, modulo ``dim``) and its sign (the fifth).  For dimensions
+    that are powers of two up to 64 every word becomes a letter, and letters are counted by what the text of them loses without one.
     """
     words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
     digest = F.transform(words, lambda w: F.md5(w.cast("binary")))
+    if 64 % dim == 0:
+        letters = F.array_join(F.transform(digest, lambda h: _letter(h, dim)), "")
+        without = lambda x, k: F.octet_length(F.replace(x, F.lit(chr(k)), F.lit("")))
+        return _let(letters, lambda x: F.array(*(without(x, dim + k) - without(x, k) for k in range(dim))))
     spots = F.transform(digest, lambda h: F.struct((F.conv(F.substring(h, 1, 4), 16, 10).cast("int") % dim).alias("k"), F.when(F.substring(h, 5, 1) < "8", 1).otherwise(-1).alias("s")))
     count = lambda acc, x: F.concat(F.slice(acc, 1, x["k"]), F.array(F.get(acc, x["k"]) + x["s"]), F.slice(acc, x["k"] + 2, dim))
     return F.aggregate(spots, F.array_repeat(F.lit(0), dim), count)
