@@ -256,6 +256,7 @@ def link(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, k: int =
     first = named.withColumn("r", best).where(F.col("all") | (F.col("r") <= PARTNERS)).select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b"))
     tried = stored(first.distinct())
     classes = stored(docs.where("s > 0").groupBy("node").agg(F.min("doc").alias("least"), F.first("s").alias("s"), F.first("hist").alias("hist"), F.first("sketch").alias("sketch")))
+    nameless = not classes.where("least is null").isEmpty()
 
     def verified(pairs: DataFrame) -> DataFrame:
         ends = lambda p: p.select(F.col("a").alias("node")).union(p.select(F.col("b").alias("node"))).distinct()
@@ -265,7 +266,11 @@ def link(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, k: int =
         likely = stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "xs", "ys").mapInArrow(lean(_possible(num, den)), "a long, b long"))
         ids = classes.join(ends(likely), "node", "left_semi").select("node", F.col("least").alias("doc"))
         # An id can stand for several texts, so a set also has to have the key it is wanted for.
-        have = stored(d.join(ids, "doc").select("node", "text").mapInArrow(lean(_sets_of(k, separators)), "node long, members binary").dropDuplicates(["node"]))
+        found = d.join(ids, "doc").select("node", "text").mapInArrow(lean(_sets_of(k, separators)), "node long, members binary")
+        if nameless:  # sets that only rows without an id have are looked for among these by their own keys
+            own = d.where("doc is null").select(F.lit(None).cast("long").alias("node"), "text").mapInArrow(lean(_sets_of(k, separators)), "node long, members binary")
+            found = found.unionByName(own.join(ids.where("doc is null").select("node"), "node", "left_semi"))
+        have = stored(found.dropDuplicates(["node"]))
         both = likely.join(have.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(have.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
         out = stored(both.select("a", "b", "x", "y").mapInArrow(lean(_linked(num, den)), "a long, b long"))
         discard(known, likely, have)
@@ -336,11 +341,12 @@ def _others(rest: DataFrame, may) -> DataFrame:
 
 
 def _sets_of(k: int, separators: np.ndarray):
-    """(node, text) -> (node, members), for texts whose set has the key ``node``."""
+    """(node, text) -> (node, members), for texts whose set has the key ``node``; where that is null, for every text with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(n, s.tobytes()) for n, s in zip(batch.column("node").to_pylist(), textvec.shingle_sets(batch.column("text"), k, separators), strict=True) if as_long(class_key(s)) == n]
+            each = zip(batch.column("node").to_pylist(), textvec.shingle_sets(batch.column("text"), k, separators), strict=True)
+            found = [(own, s.tobytes()) for n, s in each if len(s) and ((own := as_long(class_key(s))) == n or n is None)]
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], ["node", "members"])
 
     return run

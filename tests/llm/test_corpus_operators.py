@@ -75,6 +75,31 @@ def test_jaccard_of_lists_with_three_members_in_two_parts(spark, monkeypatch):
     assert got == dict(zip(ids, _components(ids, sets, 80, 100), strict=True))
 
 
+@pytest.mark.parametrize("size", [12, 120])
+def test_jaccard_of_null_and_repeated_ids(spark, size):
+    """Texts in chains, a neighbour like the next and unlike the one after, under ids that are null or stand for several texts."""
+    rng, rows = random.Random(size), []
+    step = max(1, size // 15)
+    for g in range(12):
+        words = [f"g{g}w{i}" for i in range(size + 4 * step)]
+        texts = [" ".join(words[j * step : j * step + size]) for j in range(4)]
+        ids = [rng.choice([None, None, 10 * g + 1, 10 * g + 2, 7]) for _ in texts]
+        rows += list(zip(ids, texts, strict=True)) + [(ids[0], texts[0])]
+    rows += [(None, None), (None, ""), (None, "alone in here"), (7, "one more text"), (7, None)]
+    assert any(d is None for d, _ in rows)
+    texts = [t for _, t in rows]
+    sets = _sets(texts, 3)
+    tags = _components(list(range(len(rows))), sets, 80, 100)
+    least = {}
+    for (d, _), c in zip(rows, tags, strict=True):
+        if d is not None:
+            least[c] = min(least.get(c, d), d)
+    want = sorted((str(d), len(s), str(least.get(c, d) if s else d)) for (d, _), s, c in zip(rows, sets, tags, strict=True))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.link(df, k=3, num=80).collect())
+    assert got == want
+
+
 def test_jaccard_of_an_empty_table(spark):
     assert jaccard.link(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
