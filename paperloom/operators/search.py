@@ -24,7 +24,7 @@ def words(text: Column) -> Column:
 
 @dataclass
 class Index:
-    """postings(term, block, docs: array<struct<doc, tf, length>>, top), documents, and their mean number of words."""
+    """postings(term, block, docs: array<struct<doc, tf, length>>, top, n: size of docs), documents, and their mean number of words."""
 
     postings: DataFrame
     documents: int
@@ -51,7 +51,7 @@ def write_index(corpus: DataFrame, path: str, *, doc: str = "doc_id", text: str
     block = F.floor(F.col("doc") / BLOCK).alias("block")
     top = F.array_max(F.transform("docs", lambda d: _weight(d["tf"], d["length"], F.lit(mean))))
     packed = counted.groupBy("term", block).agg(F.sort_array(F.collect_list(F.struct("doc", "tf", "length"))).alias("docs"))
-    packed.withColumn("top", top).sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
+    packed.withColumns({"top": top, "n": F.size("docs")}).sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
     rows.sparkSession.createDataFrame([(total["n"], mean)], "documents long, mean double").coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
     return open_index(rows.sparkSession, path)
 
@@ -63,14 +63,14 @@ def open_index(spark: SparkSession, path: str) -> Index:
 
 def rarities(terms: DataFrame, index: Index) -> DataFrame:
     """(term, df, rarity) of those of terms(term), distinct ones, that the index knows."""
-    many = index.postings.select("term", F.size("docs").alias("n")).join(terms, "term").groupBy("term").agg(F.sum("n").alias("df"))
+    many = index.postings.select("term", "n").join(terms, "term").groupBy("term").agg(F.sum("n").alias("df"))
     return many.withColumn("rarity", F.log(1 + (F.lit(index.documents) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
 def _bounds(queries: DataFrame, index: Index) -> tuple[DataFrame, DataFrame]:
     """(query_id, term, rarity) and (query_id, block, bound, n: documents it has at least); no block's documents are looked at."""
     asked = queries.select("query_id", F.explode_outer(F.array_distinct("terms")).alias("term")).where("term is not null")
-    heads = index.postings.select("term", "block", "top", F.size("docs").alias("n"))
+    heads = index.postings.select("term", "block", "top", "n")
     weighed = asked.join(rarities(asked.select("term").distinct(), index), "term").select("query_id", "term", "rarity")
     bound = heads.join(weighed, "term").groupBy("query_id", "block").agg(F.sum(F.col("rarity") * F.col("top")).alias("bound"), F.max("n").alias("n"))
     return weighed, bound
@@ -115,6 +115,6 @@ def search(queries: DataFrame, index: Index, k: int = 10) -> DataFrame:
 def cost(queries: DataFrame, index: Index, k: int = 10) -> DataFrame:
     """(query_id, postings, read): how many postings the lists of a query's words hold, and how many of them a search reads."""
     weighed, first, rest = _read_blocks(queries, index, k)
-    full = weighed.join(index.postings.select("term", F.size("docs").alias("n")), "term").groupBy("query_id").agg(F.sum("n").alias("postings"))
+    full = weighed.join(index.postings.select("term", "n"), "term").groupBy("query_id").agg(F.sum("n").alias("postings"))
     read = _scored(weighed, first.unionByName(rest), index).groupBy("query_id").agg(F.sum("postings").alias("read"))
     return full.join(read, "query_id")
