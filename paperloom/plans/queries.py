@@ -604,7 +604,7 @@ def summary_text(spark, sf_dir):
     return a.select("idea_id", S.summary(F.col("score"), [F.lit(0.0)] * 4, F.col("red"), F.col("yellow"), F.col("green")).alias("summary"))
 
 
-@query(f"with {OVERLAPS}, l as (select idea_id, string_agg('- [' || label || '] ' || sentence || ' (' || floor(overlap_score * 100 + 0.5)::int || '% overlap)', chr(10) order by sentence_index) as t from ann group by idea_id) select idea_id, md5('# Originality: ' || score || '/100' || chr(10) || chr(10) || {SUMMARY} || chr(10) || chr(10) || coalesce(t, '')) as digest from assessed left join l using (idea_id)")
+@query(f"with {OVERLAPS}, l as (select idea_id, string_agg('- [' || label || '] ' || sentence || ' (' || floor(overlap_score * 100 + 0.5)::int || '% overlap)', chr(10) order by sentence_index) as t from ann group by idea_id) select idea_id, md5('# Originality: ' || score || '/100' || chr(10) || chr(10) || case when papers_analyzed = 0 then '{S.NO_PAPERS}' else {SUMMARY} end || chr(10) || chr(10) || coalesce(t, '')) as digest from assessed left join l using (idea_id)")
 def report_lines(spark, sf_dir):
     x = _assess(spark, sf_dir)
     return A.report(_ideas(spark, sf_dir), x["assessments"], x["annotations"]).select("idea_id", _md5("report").alias("digest"))
