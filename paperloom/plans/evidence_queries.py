@@ -9,7 +9,6 @@ from paperloom.functions import prompts as PR
 from paperloom.functions import text as T
 from paperloom.operators import chunks as C
 from paperloom.operators import evidence as E
-from paperloom.operators import papers as P
 from paperloom.operators import retrieval as R
 from paperloom.operators import sections as SEC
 from paperloom.plans import queries as Q

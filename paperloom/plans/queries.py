@@ -40,12 +40,6 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _values(rows: list[tuple], names: str) -> str:
-    """Rows as a SQL table expression."""
-    show = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else repr(v) + "::double" if isinstance(v, float) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-    return f"(values {', '.join('(' + ', '.join(show(v) for v in r) + ')' for r in rows)}) as v({names})"
-
-
 def _md5(c: Column | str) -> Column:
     return F.md5((F.col(c) if isinstance(c, str) else c).cast("binary"))
 
