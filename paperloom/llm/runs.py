@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import lean, only, tune
+from .common import lean, tune
 
 #: A run has so many words at least, and so many periods.
 WORDS, PERIODS = 6, 4
