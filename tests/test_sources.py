@@ -78,3 +78,15 @@ def test_streamed_papers_are_indexed_once(spark, tmp_path):
     stream = spark.readStream.schema("id int, text string").parquet(str(tmp_path / "in"))
     index_stream(stream, str(tmp_path / "store"), str(tmp_path / "cp")).awaitTermination(120)
     assert files.current(spark, str(tmp_path / "store")).count() == 2
+
+
+def test_title_as_the_page_writes_it_beside_the_decoded_one(spark, tmp_path):
+    import __spark_entry__ as e
+
+    pages = ["<html>\n<head>\n<title>A &amp; B\n &quot;c&quot; d &amp</title></head><body><h1>Other</h1></body></html>", "<p>none</p>", None, "<title></title>", "<h1 class='x'>cut off &lt; &am"]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    got = {r.page_id: (r.title, r.title_source) for r in html_sections.sections(df).collect()}
+    assert got == {0: ('A & B "c" d &', "A &amp; B\n &quot;c&quot; d &amp"), 1: (None, None), 2: (None, None), 3: ("", ""), 4: ("cut off < &am", "cut off &lt; &am")}
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    told = {r.page_id: r.title for r in e.queries()["html_sections_query"](spark, str(tmp_path)).collect()}
+    assert told == {0: "A & B &quot;c&quot; d &amp", 1: "", 2: None, 3: "", 4: "cut off < &am"}
