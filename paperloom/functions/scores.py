@@ -13,6 +13,23 @@ CRITERIA = (("problem_similarity", "problem definition"), ("method_similarity",
 NO_PAPERS = "No similar papers were found. Your idea appears to be highly original, though this may indicate a gap in the search rather than true novelty."
 
 
+def rounded(value: Column, digits: int = 6) -> Column:
+    """A double to so many digits, as databases round: the scaled double to a whole number, halves away from zero.
+
+    ``F.round`` rounds the shortest decimal that tells the double, which differs where that ends in a 5.
+    """
+    return F.round(value * 10.0**digits) / 10.0**digits
+
+
+def millionths(total: Column, n: Column) -> Column:
+    """To six digits the mean of ``n`` numbers of six digits, whose ``total`` is one of ``whole`` millionths: whatever their order."""
+    return F.round(total / n) / 1e6
+
+
+def whole(value: Column) -> Column:
+    return F.round(value * 1e6).cast("long")
+
+
 def overlap_label(overlap: Column, cfg: Settings = DEFAULT) -> Column:
     return F.when(overlap >= cfg.low_overlap, "low").when(overlap >= cfg.medium_overlap, "medium").otherwise("high")
 

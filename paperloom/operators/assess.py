@@ -51,7 +51,7 @@ def candidates(sentences: DataFrame, overlaps: DataFrame, k: int = DEFAULT.max_p
     from pyspark.sql import Window
 
     n = sentences.groupBy("idea_id").agg(F.count("*").alias("n"))
-    mean = overlaps.groupBy("idea_id", "paper_id").agg(F.sum("overlap").alias("total")).join(n, "idea_id").select("idea_id", "paper_id", F.round(F.col("total") / F.col("n"), 6).alias("mean"))
+    mean = overlaps.groupBy("idea_id", "paper_id").agg(F.sum(S.whole(F.col("overlap"))).alias("total")).join(n, "idea_id").select("idea_id", "paper_id", S.millionths(F.col("total"), F.col("n")).alias("mean"))
     rank = F.row_number().over(Window.partitionBy("idea_id").orderBy(F.desc("mean"), "paper_id"))
     return mean.withColumn("paper_pos", rank).where(F.col("paper_pos") <= k)
 
@@ -74,7 +74,7 @@ def annotations(sentences: DataFrame, layer1: DataFrame, most: int = 5) -> DataF
 
 def assessments(ideas: DataFrame, annotated: DataFrame, papers: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """One row per idea.  Without papers or sentences: score 100, label high, overlap 0."""
-    per = annotated.groupBy("idea_id").agg(F.round(F.avg("overlap_score"), 6).alias("o"), F.count_if(F.col("label") == "low").alias("red"), F.count_if(F.col("label") == "medium").alias("yellow"), F.count_if(F.col("label") == "high").alias("green"))
+    per = annotated.groupBy("idea_id").agg(S.millionths(F.sum(S.whole(F.col("overlap_score"))), F.count("overlap_score")).alias("o"), F.count_if(F.col("label") == "low").alias("red"), F.count_if(F.col("label") == "medium").alias("yellow"), F.count_if(F.col("label") == "high").alias("green"))
     n = papers.groupBy("idea_id").agg(F.count("*").alias("n"))
     j = ideas.select("idea_id").join(per, "idea_id", "left").join(n, "idea_id", "left")
     o = F.coalesce("o", F.lit(0.0))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.config import DEFAULT
+from paperloom.functions import scores as S
 from paperloom.operators import search as SE
 
 #: Least log-likelihood of a phrase (chance 0.001), its longest length in words, and the phrases of ideas in one broadcast.
@@ -140,7 +141,7 @@ def diverse(candidates: DataFrame, k: int = DEFAULT.max_papers, relevance: float
     def step(acc: Column, _: Column) -> Column:
         left = F.filter("c", lambda x: ~F.exists(acc, lambda p: p["paper_id"].eqNullSafe(x["paper_id"])))
         nearest = lambda x: F.coalesce(F.array_max(F.transform(acc, lambda p: alike(x["covers"], p["covers"]))), F.lit(0.0))
-        gain = lambda x: F.round(relevance * x["relevance"] - (1 - relevance) * nearest(x), 6)
+        gain = lambda x: S.rounded(relevance * x["relevance"] - (1 - relevance) * nearest(x))
         best = F.array_min(F.transform(left, lambda x, i: F.struct((-gain(x)).alias("less"), i.alias("i"), x["paper_id"].alias("paper_id"), x["covers"].alias("covers"))))
         return F.when(F.size(left) > 0, F.concat(acc, F.array(F.struct(best["paper_id"].alias("paper_id"), best["covers"].alias("covers"), (-best["less"]).alias("gain"))))).otherwise(acc)
 

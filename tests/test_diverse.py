@@ -2,6 +2,7 @@
 
 import random
 
+from paperloom.operators import assess as A
 from paperloom.operators import papers as P
 
 
@@ -39,3 +40,17 @@ def test_nulls_ties_and_nothing(spark):
     df = spark.createDataFrame([(1, 2, 0.5, [1.0]), (1, 1, 0.5, [1.0]), (1, 3, None, None), (1, 4, 0.4, [None, 1.0])], "idea_id int, paper_id long, relevance double, covers array<double>")
     assert [(r.paper_id, r["rank"]) for r in P.diverse(df).orderBy("rank").collect()] == [(1, 1), (4, 2), (2, 3), (3, 4)]
     assert P.diverse(df.limit(0)).count() == 0
+
+
+def test_gain_is_rounded_as_in_the_sql(spark):
+    """0.7 * 0.000365 is told as 0.0002555, but its millionths lie below the half."""
+    df = spark.createDataFrame([(1, 90, 0.000365, [0.1])], "idea_id int, paper_id long, relevance double, covers array<double>")
+    assert P.diverse(df).first().gain == 0.000255
+
+
+def test_mean_overlap_does_not_depend_on_the_order_of_its_sum(spark):
+    """0.04 + 0.25 + 0.181818, a quarter of which ends in a 5, is 0.47181799999999996 in this order and 0.471818 in others."""
+    s = spark.createDataFrame([(1, i, "") for i in range(4)], "idea_id int, sentence_index int, sentence string")
+    for order in ([0.04, 0.25, 0.181818], [0.181818, 0.25, 0.04]):
+        o = spark.createDataFrame([(1, i, 7, v) for i, v in enumerate(order)], "idea_id int, sentence_index int, paper_id long, overlap double").coalesce(1)
+        assert A.candidates(s, o).first()["mean"] == 0.117955
