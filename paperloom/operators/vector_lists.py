@@ -4,20 +4,20 @@ Two bounds hold for a query q and a vector v of a ring around centre c: q.v = q.
 |q - v| is at least the difference of |q - c| and |v - c|, 2 q.v = |q|^2 + |v|^2 - |q - v|^2 is bounded by the triangle's sides.  The
 ring's radii and the largest length of its vectors give both without a look at the vectors.  The rings nearest to a query are compared first; rings whose bound lies below the k-th best similarity found there
 hold nothing better and are skipped whole.  Results are those of comparing all: how much is skipped depends on how far the vectors
-gather around centres, what is returned does not.
+gather around centres, what is returned does not.  What is compared is compared as in ``retrieval``: ring by ring in matrices.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.functions import vectors as V
+from paperloom.operators import retrieval as R
 from paperloom.sources import files
 
 #: Vectors that centres are trained on, by the hash of their ids; rounds; most centres; rings of the sample's usual width.
@@ -48,11 +48,6 @@ class Lists:
         return np.minimum(ahead[:, self.list_of] + length * self.outer, (length**2 + self.longest**2 - gap**2) / 2)
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), dim) if len(column) else np.empty((0, dim))
-
-
 def trained(sample: np.ndarray, centres: int, rounds: int = ROUNDS) -> np.ndarray:
     """Centres by Lloyd's rounds, started from rows that are drawn by their distance from those drawn before; always the same ones."""
     rng = np.random.default_rng(1)
@@ -76,10 +71,6 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return near, np.linalg.norm(x - centres[near], axis=1)
 
 
-def _usable(v: str):
-    return F.col(v).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-
-
 def build(store: DataFrame, path: str | None = None) -> Lists:
     """Lists of store(id, v), written below ``path`` (else to a scratch folder).
 
@@ -87,20 +78,20 @@ def build(store: DataFrame, path: str | None = None) -> Lists:
     about as many as the square root of the sample's vectors.  Rows with one id are all kept.
     """
     spark = store.sparkSession
-    rows = store.select("id", "v").where(_usable("v"))
+    rows = R.spread(store.select("id", "v").where(R.usable("v")))
     # About twice as many as are wanted pass a test of their hash where they lie, and only these are put in order.
     thin = max(1, rows.count() // (2 * SAMPLE))
     first = rows.where(F.pmod(F.xxhash64("id"), F.lit(thin)) == 0).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()
     if not first.num_rows:  # few ids stand for very many rows
         first = rows.limit(SAMPLE).select("v").toArrow()
     dim = len(first["v"][0]) if first.num_rows else 1
-    sample = _matrix(first["v"].combine_chunks(), dim) if first.num_rows else np.zeros((1, dim))
+    sample = R.matrix(first["v"].combine_chunks(), dim) if first.num_rows else np.zeros((1, dim))
     centres = trained(sample, min(CENTRES, max(1, int(np.sqrt(len(sample))))))
     width = max(float(np.median(nearest(sample, centres)[1])) / RINGS, 1e-9)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _matrix(b.column("v"), dim)
+            x = R.matrix(b.column("v"), dim)
             near, far = nearest(x, centres)
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(near, pa.int32()), pa.array((far / width).astype(np.int32)), pa.array(far), pa.array(np.linalg.norm(x, axis=1))], ["id", "v", "list", "ring", "far", "length"])
 
@@ -115,72 +106,79 @@ def build(store: DataFrame, path: str | None = None) -> Lists:
     return Lists(kept.drop("far", "length"), centres, part("list", np.int64), part("ring", np.int64), part("inner", float), part("outer", float), part("longest", float), part("n", np.int64))
 
 
-def _asked(queries: DataFrame, lists: Lists, chosen: Callable[[np.ndarray, float | None], np.ndarray]) -> DataFrame:
-    """(query_id, list, ring) for the rings that ``chosen`` names by the query's bounds and its ``least``."""
-    dim, list_of, ring, bounds_of = lists.centres.shape[1], lists.list_of, lists.ring, Lists(None, *(getattr(lists, n) for n in ("centres", "list_of", "ring", "inner", "outer", "longest", "count"))).bounds
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches if len(list_of) else ():
-            bounds = bounds_of(_matrix(b.column("q"), dim))
-            for i, least in enumerate(b.column("least").to_pylist()):
-                own = chosen(bounds[i], least)
-                yield pa.RecordBatch.from_arrays([b.column("query_id").take(pa.array([i] * len(own), pa.int64())), pa.array(list_of[own], pa.int32()), pa.array(ring[own], pa.int32())], ["query_id", "list", "ring"])
-
-    return queries.select("query_id", "q", "least").mapInArrow(run, f"query_id {queries.schema['query_id'].dataType.simpleString()}, list int, ring int")
-
-
-def _ranked(pairs: DataFrame, k: int) -> DataFrame:
-    turn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
-    return pairs.withColumn("rank", turn).where(F.col("rank") <= k)
+def _compared(lists: Lists, mine: R.Asked, k: int, least: float | None, floor: np.ndarray | None, kinds: str) -> DataFrame:
+    """(query_id, id, similarity) of what may be among the ``k`` best; without ``floor`` only in the rings that are compared first.
 
+    The stored vectors stay where they lie; the queries, ``floor`` and the rings' heads are broadcast to them.
+    """
+    heads = Lists(None, *(getattr(lists, n) for n in ("centres", "list_of", "ring", "inner", "outer", "longest", "count")))
+    shared = lists.rows.sparkSession.sparkContext.broadcast((heads, mine, floor))
 
-def _compared(asked: DataFrame, queries: DataFrame, lists: Lists) -> DataFrame:
-    """The stored vectors of the asked rings with their similarity; they stay where they lie, queries are broadcast to them."""
-    pairs = lists.rows.join(F.broadcast(asked), ["list", "ring"]).join(F.broadcast(queries.select("query_id", "q")), "query_id")
-    return pairs.select("query_id", "id", V.dot(F.col("q"), F.col("v")).alias("similarity"))
-
-
-def _opened(queries: DataFrame, lists: Lists, k: int, least: float | None) -> DataFrame:
-    """(query_id, list, ring) of all rings that may hold one of the ``k`` best."""
-    count = lists.count
-
-    def some(bounds: np.ndarray, _) -> np.ndarray:
-        order = np.argsort(-bounds, kind="stable")
-        return order[: int(np.searchsorted(np.cumsum(count[order]), k)) + 1]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, asked, low = shared.value
+        best = R.Best(asked.q, k, low, least)
+        opened = _opened(own, asked.q, k, low)
+        number = {at: n for n, at in enumerate(zip(own.list_of.tolist(), own.ring.tolist(), strict=True))}
+        for batch in batches:
+            b = R.by_id(batch)
+            x = R.matrix(b.column("v"), asked.q.shape[1])
+            for at, rows in R.rows_by(list(zip(b.column("list").to_pylist(), b.column("ring").to_pylist(), strict=True))).items():
+                which = np.flatnonzero(opened[:, number[at]])
+                for i, j, value in best.meet(x[rows], which) if len(which) else ():
+                    yield pa.RecordBatch.from_arrays([asked.ids.take(pa.array(i)), b.column("id").take(pa.array(rows[j])), pa.array(value)], ["query_id", "id", "similarity"])
+
+    return lists.rows.mapInArrow(run, kinds)
+
+
+def _opened(lists: Lists, q: np.ndarray, k: int, floor: np.ndarray | None) -> np.ndarray:
+    """For each query and ring whether it is compared: all that may reach ``floor``; without it, those that come first and hold ``k``."""
+    bounds = lists.bounds(q)
+    if floor is not None:
+        return bounds >= floor[:, None] - SLACK
+    order = np.argsort(-bounds, axis=1, kind="stable")
+    held = np.cumsum(lists.count[order], axis=1)
+    out = np.zeros(bounds.shape, bool)
+    np.put_along_axis(out, order, np.hstack([np.zeros((len(q), 1), held.dtype), held[:, :-1]]) < k if bounds.shape[1] else out, axis=1)
+    return out
 
-    def all_(bounds: np.ndarray, best: float | None) -> np.ndarray:
-        return np.flatnonzero(bounds >= best - SLACK) if best is not None else np.arange(len(bounds))
 
-    floor = F.lit(least).cast("double").alias("least")
-    first = _ranked(_compared(_asked(queries.select("query_id", "q", floor), lists, some), queries, lists), k)
-    best = first.where(F.col("rank") == k).select("query_id", F.col("similarity").alias("kth"))
-    known = queries.select("query_id", "q").join(F.broadcast(best), "query_id", "left").select("query_id", "q", F.greatest("kth", F.lit(least).cast("double")).alias("least"))
-    return _asked(known, lists, all_)
+def _floor(lists: Lists, mine: R.Asked, k: int, least: float | None) -> np.ndarray:
+    """What the k-th best of the rings compared first has, for each query of the slice; ``least`` where there are fewer."""
+    numbered = R.Asked(pa.array(range(len(mine.q)), pa.int64()), mine.q)
+    kinds = f"query_id long, id {lists.rows.schema['id'].dataType.simpleString()}, similarity double"
+    first = R.ranked(_compared(lists, numbered, k, least, None, kinds), k)
+    best = first.where(F.col("rank") == k).select("query_id", "similarity").toArrow()
+    out = np.full(len(mine.q), -np.inf if least is None else least)
+    out[best["query_id"].to_numpy()] = best["similarity"].to_numpy()
+    return out
 
 
-def _slices(queries: DataFrame, lists: Lists) -> list[DataFrame]:
-    most = max(1, PAIRS // max(1, len(lists.count)))
-    n = max(1, -(-queries.count() // most))
-    return [queries if n == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)]
+def _slices(queries: DataFrame, lists: Lists) -> Iterator[R.Asked]:
+    for mine in R.asked(queries, most=max(1, PAIRS // max(1, len(lists.count)))):
+        if len(mine.q) and len(lists.count) and mine.q.shape[1] != lists.centres.shape[1]:
+            raise ValueError(f"a query does not have {lists.centres.shape[1]} dimensions")
+        yield mine
 
 
 def top_k(queries: DataFrame, lists: Lists, k: int, *, least: float | None = None) -> DataFrame:
     """queries(query_id, q) -> (query_id, id, similarity, rank), exactly as ``retrieval.top_k`` of the whole store.
 
-    Queries are a stated set: they meet the store in slices of at most PAIRS (query, ring) pairs.  Ties fall to the smaller id; query
+    Queries are a stated set: they meet the store in slices of about PAIRS (query, ring) pairs.  Ties fall to the smaller id; query
     vectors that could not be stored find nothing; an empty store or no queries give no rows.
     """
-    out = None
-    for mine in _slices(queries.select("query_id", "q").where(_usable("q")), lists):
-        pairs = _compared(_opened(mine, lists, k, least), mine, lists)
-        best = _ranked(pairs if least is None else pairs.where(F.col("similarity") >= F.lit(least)), k)
-        out = best if out is None else out.unionByName(best)
-    return out
+    kinds, out = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {lists.rows.schema['id'].dataType.simpleString()}, similarity double", None
+    for mine in _slices(queries, lists):
+        if len(mine.q) and len(lists.count):
+            best = R.ranked(_compared(lists, mine, k, least, _floor(lists, mine, k, least), kinds), k)
+            out = best if out is None else out.unionByName(best)
+    return R.ranked(queries.sparkSession.createDataFrame([], kinds), k) if out is None else out
 
 
 def compared(queries: DataFrame, lists: Lists, k: int, *, least: float | None = None) -> DataFrame:
     """(query_id, compared, stored): how many vectors a search compares with each query, of how many."""
-    own = queries.select("query_id", "q").where(_usable("q"))
-    sizes = lists.rows.sparkSession.createDataFrame([(int(a), int(b), int(n)) for a, b, n in zip(lists.list_of, lists.ring, lists.count, strict=True)], "list int, ring int, n long")
-    total = F.lit(int(lists.count.sum()))
-    return _opened(own, lists, k, least).join(F.broadcast(sizes), ["list", "ring"]).groupBy("query_id").agg(F.sum("n").alias("compared")).withColumn("stored", total)
+    kinds, total = f"query_id {queries.schema['query_id'].dataType.simpleString()}, compared long, stored long", int(lists.count.sum())
+    rows = []
+    for mine in _slices(queries, lists):
+        opened = _opened(lists, mine.q, k, _floor(lists, mine, k, least)) if len(mine.q) and total else np.zeros((len(mine.q), 0), bool)
+        rows += [(query, int(n), total) for query, n in zip(mine.ids.to_pylist(), opened @ lists.count, strict=True)]
+    return queries.sparkSession.createDataFrame(rows, kinds)
