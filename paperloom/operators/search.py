@@ -8,11 +8,19 @@ or equal to what the k-th best of all has, so blocks whose bound is below it are
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from paperloom.sources import files
+
+#: Words of queries in one broadcast.
+BROADCAST_TERMS = 200_000
 #: Documents in a block; saturation and length weight of BM25; digits of a score, beyond which documents tie.
 BLOCK, K1, B, DIGITS = 32, 1.2, 0.75, 6
 
@@ -36,22 +44,57 @@ def _weight(tf: Column, length: Column, mean: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
+def _lists(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """(term, block, docs) of rows(doc, block, w) in the order of block and doc."""
+    w = rows.column("w")
+    length = pc.list_value_length(w).to_numpy(zero_copy_only=False)
+    known = w.flatten().dictionary_encode()
+    doc, block = rows.column("doc").to_numpy(), rows.column("block").to_numpy()
+    number = np.repeat(np.arange(len(doc)), length)
+    # One entry for each word of each row, then one for each word of each document: counts add up, the longest row tells the length.
+    entry, tf = np.unique(number * max(1, len(known.dictionary)) + known.indices.to_numpy(), return_counts=True)
+    number, term = np.divmod(entry, max(1, len(known.dictionary)))
+    order = np.lexsort((doc[number], term, block[number]))
+    number, term, tf = number[order], term[order], tf[order]
+    own, at = doc[number], block[number]
+    new = lambda *columns: np.flatnonzero(np.r_[True, np.any([np.diff(c) != 0 for c in columns], axis=0)]) if len(own) else np.empty(0, np.int64)
+    each = new(own, term)
+    tf, longest = (np.add.reduceat(tf, each), np.maximum.reduceat(length[number], each)) if len(each) else (tf, length[number])
+    own, term, at = own[each], term[each], at[each]
+    begins = new(at, term)
+    docs = pa.StructArray.from_arrays([pa.array(own, pa.int64()), pa.array(tf, pa.int64()), pa.array(longest, pa.int32())], ["doc", "tf", "length"])
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[begins, len(own)], pa.int32()), docs)
+    return pa.RecordBatch.from_arrays([known.dictionary.take(pa.array(term[begins])), pa.array(at[begins], pa.int64()), lists], ["term", "block", "docs"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of whole blocks: the rows of a batch's last block wait for the next batch."""
+    left = None
+    for batch in batches:
+        rows = batch if left is None else pa.Table.from_batches([left, batch]).combine_chunks().to_batches()[0]
+        block = rows.column("block").to_numpy()
+        done = int(np.searchsorted(block, block[-1])) if len(block) else 0
+        if done:
+            yield _lists(rows.slice(0, done))
+        left = rows.slice(done)
+    if left is not None and len(left):
+        yield _lists(left)
+
+
 def write_index(corpus: DataFrame, path: str, *, doc: str = "doc_id", text: str = "text") -> Index:
     """Index corpus(doc: whole number, text) below ``path`` and open it.
 
     Rows without a number are left out, null texts have no words.  Counts of rows that share a number add up; the longest of them
-    gives the length.  Counts meet in partial sums, and no group has more rows than a block has documents.
+    gives the length.  Texts are shuffled once, by block; a block's words are counted where its texts lie, and only its lists are written.
     """
-    rows = corpus.where(F.col(f"`{doc}`").isNotNull()).select(F.col(f"`{doc}`").cast("long").alias("doc"), words(F.col(f"`{text}`")).alias("w"))
-    rows = rows.select("doc", F.size("w").alias("length"), "w")
-    total = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+    no = F.col(f"`{doc}`").cast("long")
+    rows = corpus.where(F.col(f"`{doc}`").isNotNull()).select(no.alias("doc"), F.floor(no / BLOCK).alias("block"), F.col(f"`{text}`").alias("text"))
+    total = rows.agg(F.count("*").alias("n"), F.avg(F.size(words(F.col("text")))).alias("mean")).first()
     mean = float(total["mean"] or 0) or 1.0
-    each = rows.select("doc", "length", F.explode_outer("w").alias("term")).where("term is not null")
-    counted = each.groupBy("term", "doc").agg(F.count("*").alias("tf"), F.max("length").alias("length"))
-    block = F.floor(F.col("doc") / BLOCK).alias("block")
+    dealt = rows.repartition("block").sortWithinPartitions("block", "doc").select("doc", "block", words(F.col("text")).alias("w"))
+    packed = dealt.mapInArrow(_packed, "term string, block long, docs array<struct<doc:long,tf:long,length:int>>")
     top = F.array_max(F.transform("docs", lambda d: _weight(d["tf"], d["length"], F.lit(mean))))
-    packed = counted.groupBy("term", block).agg(F.sort_array(F.collect_list(F.struct("doc", "tf", "length"))).alias("docs"))
-    packed.withColumns({"top": top, "n": F.size("docs")}).sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
+    packed.withColumns({"top": top, "n": F.size("docs")}).write.mode("overwrite").parquet(f"{path}/postings")
     rows.sparkSession.createDataFrame([(total["n"], mean)], "documents long, mean double").coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
     return open_index(rows.sparkSession, path)
 
@@ -61,17 +104,52 @@ def open_index(spark: SparkSession, path: str) -> Index:
     return Index(spark.read.parquet(f"{path}/postings"), total["documents"], total["mean"])
 
 
+def _among(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """``rows`` of terms(term), distinct ones, which are broadcast to where the lists lie, at most BROADCAST_TERMS at a time."""
+    n, out = max(1, -(-terms.count() // BROADCAST_TERMS)), None
+    for i in range(n):
+        part = rows.join(F.broadcast(terms if n == 1 else terms.where(F.pmod(F.xxhash64("term"), F.lit(n)) == i)), "term", "left_semi")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def rarities(terms: DataFrame, index: Index) -> DataFrame:
     """(term, df, rarity) of those of terms(term), distinct ones, that the index knows."""
-    many = index.postings.select("term", "n").join(terms, "term").groupBy("term").agg(F.sum("n").alias("df"))
+    many = _among(index.postings.select("term", "n"), terms).groupBy("term").agg(F.sum("n").alias("df"))
     return many.withColumn("rarity", F.log(1 + (F.lit(index.documents) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode_outer(F.array_distinct("terms")).alias("term")).where("term is not null")
+
+
+def _own(queries: DataFrame, index: Index) -> Index:
+    """``index`` with the lists of the queries' words only, stored, so that no later step meets the others."""
+    return replace(index, postings=files.stored(_among(index.postings, files.stored(_asked(queries).select("term").distinct()))))
+
+
+def _numbered(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query_id: a number, terms) and (query_id, number): what is shuffled for each block and document has the number."""
+    known = files.stored(queries.select("query_id").distinct().withColumn("number", F.monotonically_increasing_id()))
+    rows = queries.join(known, "query_id").select(F.col("number").alias("query_id"), "terms")
+    return files.stored(rows), known
+
+
+def _named(rows: DataFrame, known: DataFrame) -> DataFrame:
+    return rows.withColumnRenamed("query_id", "number").join(_few(known), "number").drop("number").select("query_id", *(c for c in rows.columns if c != "query_id"))
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """Rows of queries, broadcast if they are no more than BROADCAST_TERMS."""
+    kept = files.stored(rows)
+    return F.broadcast(kept) if kept.count() <= BROADCAST_TERMS else kept
+
+
 def _bounds(queries: DataFrame, index: Index) -> tuple[DataFrame, DataFrame]:
     """(query_id, term, rarity) and (query_id, block, bound, n: documents it has at least); no block's documents are looked at."""
-    asked = queries.select("query_id", F.explode_outer(F.array_distinct("terms")).alias("term")).where("term is not null")
+    asked = _asked(queries)
     heads = index.postings.select("term", "block", "top", "n")
-    weighed = asked.join(rarities(asked.select("term").distinct(), index), "term").select("query_id", "term", "rarity")
+    weighed = _few(asked.join(rarities(asked.select("term").distinct(), index), "term").select("query_id", "term", "rarity"))
     bound = heads.join(weighed, "term").groupBy("query_id", "block").agg(F.sum(F.col("rarity") * F.col("top")).alias("bound"), F.max("n").alias("n"))
     return weighed, bound
 
@@ -96,10 +174,11 @@ def _read_blocks(queries: DataFrame, index: Index, k: int) -> tuple[DataFrame, D
     best = bound.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= k)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("query_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = best.withColumn("before", before).where(F.col("before") < k).select("query_id", "block")
-    least = _ranked(_scored(weighed, first, index), k).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    first = files.stored(first)
+    least = _few(_ranked(_scored(weighed, first, index), k).where(F.col("rank") == k).select("query_id", F.col("score").alias("least")))
     # A bound is a sum in another order than a score: half a digit of the last place lies between them at most.
     open_ = bound.join(least, "query_id", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 10.0**-DIGITS))
-    return weighed, first, open_.select("query_id", "block").join(first, ["query_id", "block"], "left_anti")
+    return weighed, first, files.stored(open_.select("query_id", "block").join(first, ["query_id", "block"], "left_anti"))
 
 
 def search(queries: DataFrame, index: Index, k: int = 10) -> DataFrame:
@@ -108,13 +187,17 @@ def search(queries: DataFrame, index: Index, k: int = 10) -> DataFrame:
     A word counts once in a query.  Words that no document holds, null and empty arrays find nothing; documents without a word of
     the query are no hits.
     """
+    queries, known = _numbered(queries)
+    index = _own(queries, index)
     weighed, first, rest = _read_blocks(queries, index, k)
-    return _ranked(_scored(weighed, first.unionByName(rest), index).drop("postings"), k)
+    return _named(_ranked(_scored(weighed, first.unionByName(rest), index).drop("postings"), k), known)
 
 
 def cost(queries: DataFrame, index: Index, k: int = 10) -> DataFrame:
     """(query_id, postings, read): how many postings the lists of a query's words hold, and how many of them a search reads."""
+    queries, known = _numbered(queries)
+    index = _own(queries, index)
     weighed, first, rest = _read_blocks(queries, index, k)
     full = weighed.join(index.postings.select("term", "n"), "term").groupBy("query_id").agg(F.sum("n").alias("postings"))
     read = _scored(weighed, first.unionByName(rest), index).groupBy("query_id").agg(F.sum("postings").alias("read"))
-    return full.join(read, "query_id")
+    return _named(full.join(read, "query_id"), known)

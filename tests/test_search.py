@@ -93,3 +93,33 @@ def test_hits_of_phrases_lead_to_papers(spark, tmp_path):
     hits = P.ranked_hits(phrases, SE.write_index(docs, f"file://{tmp_path}/i"))
     papers = P.selected(P.first_hits(hits), 5).orderBy("paper_pos").collect()
     assert [(r.idea_id, r.paper_id, r.arxiv_id, r.search_keyword) for r in papers] == [(7, "paper_01", "2", "alpha beta"), (7, "paper_02", "1", "alpha beta"), (7, "paper_03", "3", "delta alpha")]
+
+
+def test_index_of_blocks_cut_by_batches_and_numbers_that_rows_share(spark, tmp_path):
+    """Against a plain count; one list for each word and block, however the rows fall into batches."""
+    rng = random.Random(5)
+    rows = [(rng.randrange(-40, 200), " ".join(rng.choice("aa bb cc dd éé ff7".split()) for _ in range(rng.randrange(0, 9))) or None) for _ in range(400)] + [(None, "aa")]
+    want = {}
+    for doc, text in rows:
+        w = (text or "").split()
+        for term in set(w) if doc is not None else ():
+            tf, length = want.setdefault((term, doc // 32), {}).get(doc, (0, 0))
+            want[term, doc // 32][doc] = (tf + w.count(term), max(length, len(w)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        index = SE.write_index(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "ix"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = index.postings.collect()
+    assert index.documents == 400 and len(got) == len(want)
+    assert {(r.term, r.block): {d.doc: (d.tf, d.length) for d in r.docs} for r in got} == want
+    assert all(r.n == len(r.docs) and [d.doc for d in r.docs] == sorted(d.doc for d in r.docs) for r in got)
+
+
+def test_search_shuffles_no_lists_but_those_of_its_words(spark, tmp_path):
+    rows = [(i, f"common word{i}") for i in range(200)]
+    index = SE.write_index(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "ix"))
+    own = SE._own(spark.createDataFrame([((1, 2), ["word7"])], "query_id struct<a:int,b:int>, terms array<string>"), index)
+    assert [r.term for r in own.postings.collect()] == ["word7"]
+    hits = SE.search(spark.createDataFrame([((1, 2), ["word7"])], "query_id struct<a:int,b:int>, terms array<string>"), index).collect()
+    assert [((r.query_id.a, r.query_id.b), r.doc, r["rank"]) for r in hits] == [((1, 2), 7, 1)]
