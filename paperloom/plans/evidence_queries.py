@@ -9,6 +9,7 @@ from paperloom.functions import prompts as PR
 from paperloom.functions import text as T
 from paperloom.operators import chunks as C
 from paperloom.operators import evidence as E
+from paperloom.operators import papers as P
 from paperloom.operators import retrieval as R
 from paperloom.operators import sections as SEC
 from paperloom.plans import queries as Q
@@ -154,8 +155,9 @@ def processed_papers(spark, sf_dir):
 
 @query(f"with recursive {Q.CHUNKS}, {Q.HITS}, {PAPERS} select (select count(*) from hits) as papers_found, (select count(*) from papers) as papers_analyzed, (select count(*) from papers where is_processed) as papers_processed, (select count(*) from chunks where is_valid) as total_chunks, (select md5(string_agg(distinct phrase, ',' order by phrase)) from keyphrases) as keywords")
 def pipeline_stats(spark, sf_dir):
-    words = Q._keyphrases(spark, sf_dir).withColumnRenamed("phrase", "word")
-    out = E.statistics(_hits(spark, sf_dir), _read_papers(spark, sf_dir), C.chunks(_bodies(spark, sf_dir)).where("is_valid"), words)
+    phrases = files.stored(Q._keyphrases(spark, sf_dir))
+    words = phrases.withColumnRenamed("phrase", "word")
+    out = E.statistics(P.ranked_hits(phrases, Q._index(spark, sf_dir)), _read_papers(spark, sf_dir), C.chunks(_bodies(spark, sf_dir)).where("is_valid"), words)
     return out.withColumn("keywords", _md5("keywords"))
 
 
