@@ -21,6 +21,8 @@ from paperloom.sources import files
 
 #: Words of queries in one broadcast.
 BROADCAST_TERMS = 200_000
+#: Documents whose lists one task holds.
+PART = 4096
 #: Documents in a block; saturation and length weight of BM25; digits of a score, beyond which documents tie.
 BLOCK, K1, B, DIGITS = 32, 1.2, 0.75, 6
 
@@ -145,21 +147,23 @@ def _few(rows: DataFrame) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= BROADCAST_TERMS else kept
 
 
-def _bounds(queries: DataFrame, index: Index) -> tuple[DataFrame, DataFrame]:
-    """(query_id, term, rarity) and (query_id, block, bound, n: documents it has at least); no block's documents are looked at."""
-    asked = _asked(queries)
-    heads = index.postings.select("term", "block", "top", "n")
-    weighed = _few(asked.join(rarities(asked.select("term").distinct(), index), "term").select("query_id", "term", "rarity"))
-    bound = heads.join(weighed, "term").groupBy("query_id", "block").agg(F.sum(F.col("rarity") * F.col("top")).alias("bound"), F.max("n").alias("n"))
-    return weighed, bound
+def _dealt(index: Index, *columns: str) -> DataFrame:
+    """Lists by block, so that all of a block's meet in one task; their number of parts grows with the documents, and the work in
+    one part, a row for each query and document there, does not."""
+    return index.postings.select(*columns).repartition(max(1, -(-index.documents // PART)), "block")
+
 
+def _bounds(weighed: DataFrame, index: Index) -> DataFrame:
+    """(query_id, block, bound, n: documents it has at least); no block's documents are looked at."""
+    heads = _dealt(index, "term", "block", "top", "n").join(weighed, "term")
+    return heads.groupBy("query_id", "block").agg(F.sum(F.col("rarity") * F.col("top")).alias("bound"), F.max("n").alias("n"))
 
-def _scored(weighed: DataFrame, blocks: DataFrame, index: Index) -> DataFrame:
-    """(query_id, doc, score, postings read) of the documents in (query_id, block)."""
-    read = weighed.join(blocks, "query_id").join(index.postings.select("term", "block", "docs"), ["term", "block"])
-    each = read.select("query_id", "rarity", F.explode_outer("docs").alias("d"))
+
+def _scored(read: DataFrame, index: Index) -> DataFrame:
+    """(query_id, doc, score) of the documents in the lists of read(query_id, block, rarity, docs)."""
+    each = read.select("query_id", "block", "rarity", F.explode_outer("docs").alias("d"))
     weight = F.col("rarity") * _weight(F.col("d.tf"), F.col("d.length"), F.lit(index.mean))
-    return each.groupBy("query_id", F.col("d.doc").alias("doc")).agg(F.round(F.sum(weight), DIGITS).alias("score"), F.count("*").alias("postings"))
+    return each.groupBy("query_id", "block", F.col("d.doc").alias("doc")).agg(F.round(F.sum(weight), DIGITS).alias("score")).drop("block")
 
 
 def _ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -167,37 +171,43 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", turn).where(F.col("rank") <= k)
 
 
-def _read_blocks(queries: DataFrame, index: Index, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(query_id, term, rarity); the blocks that are scored first; those that must be scored besides."""
-    weighed, bound = _bounds(queries, index)
+def _read(queries: DataFrame, index: Index, k: int) -> tuple[DataFrame, DataFrame]:
+    """(query_id, term, rarity); (query_id, block, rarity, n, docs), the lists that are read: those of the blocks scored first and of
+    those that their scores leave open."""
+    asked = _asked(queries)
+    weighed = _few(asked.join(rarities(asked.select("term").distinct(), index), "term").select("query_id", "term", "rarity"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("bound", DIGITS)), "block")
-    best = bound.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= k)
+    best = _bounds(weighed, index).withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= k)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("query_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    first = best.withColumn("before", before).where(F.col("before") < k).select("query_id", "block")
-    first = files.stored(first)
-    least = _few(_ranked(_scored(weighed, first, index), k).where(F.col("rank") == k).select("query_id", F.col("score").alias("least")))
+    first = _few(best.withColumn("before", before).where(F.col("before") < k).select("query_id", "block"))
+    lists = index.postings.select("block", "term", "docs").join(_few(first.join(weighed, "query_id")), ["block", "term"])
+    least = _few(_ranked(_scored(lists, index), k).where(F.col("rank") == k).select("query_id", F.col("score").alias("least")))
+    # The bound again, beside each of a query's lists of the block, where they lie.
+    each = _dealt(index, "term", "block", "top", "n", "docs").join(weighed, "term")
+    each = each.withColumn("bound", F.sum(F.col("rarity") * F.col("top")).over(Window.partitionBy("query_id", "block")))
     # A bound is a sum in another order than a score: half a digit of the last place lies between them at most.
-    open_ = bound.join(least, "query_id", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 10.0**-DIGITS))
-    return weighed, first, files.stored(open_.select("query_id", "block").join(first, ["query_id", "block"], "left_anti"))
+    open_ = F.col("least").isNull() | (F.col("bound") >= F.col("least") - 10.0**-DIGITS)
+    read = each.join(least, "query_id", "left").join(first.withColumn("first", F.lit(True)), ["query_id", "block"], "left").where(open_ | F.col("first"))
+    return weighed, read.select("query_id", "block", "rarity", "n", "docs")
 
 
 def search(queries: DataFrame, index: Index, k: int = 10) -> DataFrame:
     """queries(query_id, terms: array<string>) -> (query_id, doc, score, rank): the ``k`` best documents, ties to the smaller number.
 
     A word counts once in a query.  Words that no document holds, null and empty arrays find nothing; documents without a word of
-    the query are no hits.
+    the query are no hits.  The lists are dealt by block; bounds and scores arise there, and of them the best ``k`` a query and part
+    are shuffled.
     """
     queries, known = _numbered(queries)
     index = _own(queries, index)
-    weighed, first, rest = _read_blocks(queries, index, k)
-    return _named(_ranked(_scored(weighed, first.unionByName(rest), index).drop("postings"), k), known)
+    _, read = _read(queries, index, k)
+    return _named(_ranked(_scored(read, index), k), known)
 
 
 def cost(queries: DataFrame, index: Index, k: int = 10) -> DataFrame:
     """(query_id, postings, read): how many postings the lists of a query's words hold, and how many of them a search reads."""
     queries, known = _numbered(queries)
     index = _own(queries, index)
-    weighed, first, rest = _read_blocks(queries, index, k)
+    weighed, read = _read(queries, index, k)
     full = weighed.join(index.postings.select("term", "n"), "term").groupBy("query_id").agg(F.sum("n").alias("postings"))
-    read = _scored(weighed, first.unionByName(rest), index).groupBy("query_id").agg(F.sum("postings").alias("read"))
-    return _named(full.join(read, "query_id"), known)
+    return _named(full.join(read.groupBy("query_id").agg(F.sum("n").alias("read")), "query_id"), known)

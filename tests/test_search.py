@@ -123,3 +123,22 @@ def test_search_shuffles_no_lists_but_those_of_its_words(spark, tmp_path):
     assert [r.term for r in own.postings.collect()] == ["word7"]
     hits = SE.search(spark.createDataFrame([((1, 2), ["word7"])], "query_id struct<a:int,b:int>, terms array<string>"), index).collect()
     assert [((r.query_id.a, r.query_id.b), r.doc, r["rank"]) for r in hits] == [((1, 2), 7, 1)]
+
+
+def test_search_shuffles_lists_and_the_best_of_each_part_only(spark, tmp_path, monkeypatch):
+    """Neither the rows of queries and blocks nor those of queries and documents; parts grow in number, not in size."""
+    monkeypatch.setattr(SE, "PART", 100)
+    rows = [(i, f"common word{i % 7} other{i % 11}") for i in range(1500)]
+    index = SE.write_index(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "ix"))
+    queries = spark.createDataFrame([(i, ["common", f"word{i}", f"other{i}"]) for i in range(6)], "query_id int, terms array<string>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hits = SE.search(queries, index, 3)
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        got = [(r.query_id, r.doc, r.score) for r in hits.orderBy("query_id", "rank").collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert [("(block" in line and ", 15)" in line) or "(query_id" in line for line in dealt] == [True] * len(dealt), plan
+    assert sum("(query_id" in line and "block" not in line for line in dealt) == 1, plan
+    assert [(q, d) for q, d, _ in got] == [(q, d) for q in range(6) for d, _ in _full(rows, ["common", f"word{q}", f"other{q}"], 3)]
