@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import discard, lean, only, stored, tune
+from .common import discard, lean, only, stored, swept, tune
 from .graph import components
 
 #: Shingles in a block in which frequent ones are looked for, the count there that makes one frequent, and how many are kept.
@@ -274,6 +274,7 @@ def link(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, k: int =
         both = likely.join(have.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(have.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
         out = stored(both.select("a", "b", "x", "y").mapInArrow(lean(_linked(num, den)), "a long, b long"))
         discard(known, likely, have)
+        swept(spark)
         return out
 
     roots = components(links.union(verified(tried)))
@@ -291,10 +292,13 @@ def link(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, k: int =
         new = verified(pairs) if n else pairs
         discard(rest)
         if n:
-            joined = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new))
-            few = new.count() * FRUITFUL < n
-            discard(roots, new)
-            roots = joined
+            links_found = new.count()
+            few = links_found * FRUITFUL < n
+            if links_found:
+                joined = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new))
+                discard(roots)
+                roots = joined
+            discard(new)
         asked.append(pairs)
         if turn < 0:
             break

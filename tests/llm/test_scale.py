@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from paperloom.llm import common, graph, jaccard
@@ -23,6 +25,32 @@ def test_components_with_a_hub(spark, monkeypatch):
     assert got == {k: 0 for k in [*range(60), 200]} | {k: 100 for k in range(100, 104)}
 
 
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    """Tasks join up what they hold, and stars are known as such; a round, and another that repeats it, ran here before."""
+    seen, star = [], graph._star
+    monkeypatch.setattr(graph, "_star", lambda *a: seen.append(1) or star(*a))
+    edges = [(k, k + 1) for k in range(-3, 30)] + [(50, k) for k in range(51, 60)]
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long").coalesce(1)).collect()}
+    assert got == dict.fromkeys(range(-3, 31), -3) | dict.fromkeys(range(50, 60), 50) and not seen
+
+
+def test_edges_are_joined_up_in_bounded_parts(monkeypatch):
+    rng = random.Random(2)
+    chain = [(k + 1, k) for k in range(-40, 60)]
+    rng.shuffle(chain)
+    for at_once in (3, 20, 1000):
+        monkeypatch.setattr(graph, "AT_ONCE", at_once)
+        parts = (pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in chain[i : i + 7]]) for i in range(0, len(chain), 7))
+        out = [(r["a"], r["b"]) for p in graph._joined_up(parts) for r in p.to_pylist()]
+        assert all(a > b for a, b in out)
+        node, root = graph._forest(*np.array(out).T)
+        assert dict(zip(node.tolist(), root.tolist(), strict=True)) == dict.fromkeys(range(-39, 61), -40)
+
+
+def test_the_driver_gives_memory_back(spark):
+    assert common._trimmed(spark)
+
+
 def test_candidates_of_a_group_of_near_copies_grow_with_its_members(spark, monkeypatch):
     """Twice the members may give about twice the pairs, not four times."""
     monkeypatch.setattr(jaccard, "SMALL_LIMIT", 0)
