@@ -2,8 +2,9 @@
 
 Every round sends each node's larger neighbours to its smallest one, then the same for the smaller ones.  Smallest neighbours
 come from partial aggregates and are joined back; those of hubs, nodes with more than a fixed share of all edges, are broadcast
-to where the edges lie, so a hub's edges never meet in one task.  Before and after each round every task joins up the edges it has,
-a bounded number at a time, so few rounds are left.  Rounds end when every node has one edge, to a node that has none.
+to where the edges lie, so a hub's edges never meet in one task.  Before and after each round edges are read in as many tasks as their
+number asks for, however many files or partitions they lie in, and a task joins up those it has, a bounded number at a time; so few
+rounds are left, and none where all edges are within that bound.  Rounds end when every node has one edge, to a node that has none.
 """
 
 from __future__ import annotations
@@ -61,6 +62,14 @@ def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(*stars())
 
 
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges, AT_ONCE at most, -> (node, root) for every node of them."""
+    for stars in _joined_up(batches):
+        roots = stars.column("b").unique()
+        for node, root in ((stars.column("a"), stars.column("b")), (roots, roots)):
+            yield pa.RecordBatch.from_arrays([node, root], ["node", "root"])
+
+
 def _settled(edges: DataFrame) -> bool:
     """Whether every node has one edge, to a node that has none."""
     own = edges.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n")).select("node", "n", F.lit(0).alias("root"))
@@ -68,7 +77,7 @@ def _settled(edges: DataFrame) -> bool:
     return own.union(roots).groupBy("node").agg(F.sum("n").alias("n"), F.max("root").alias("root")).where("n > 1 or n > 0 and root > 0").isEmpty()
 
 
-def _star(edges: DataFrame, large: bool, then=lambda e: e) -> DataFrame:
+def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     low = stored(near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n")))
@@ -77,22 +86,31 @@ def _star(edges: DataFrame, large: bool, then=lambda e: e) -> DataFrame:
         out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-    out = stored(then(out.where("a <> b").distinct()))
+    out = stored(out.where("a <> b").distinct())
     discard(low)
     return out
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: long), stored; root is the component's smallest node."""
-    joined_up = lambda e: e.mapInArrow(lean(_joined_up), "a long, b long")
-    now = stored(joined_up(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()))
-    while not _settled(now):
+    now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    while True:
+        tasks = max(1, -(-now.count() // AT_ONCE))
+        if tasks == 1:
+            out = stored(now.coalesce(1).mapInArrow(lean(_labelled), "node long, root long"))
+            break
+        joined = stored(now.coalesce(tasks).mapInArrow(lean(_joined_up), "a long, b long"))
+        discard(now)
+        now = joined
+        if _settled(now):
+            roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+            out = stored(now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots))
+            break
         large = _star(now, True)
-        small = _star(large, False, joined_up)
+        small = _star(large, False)
         discard(now, large)
         now = small
         swept(edges.sparkSession)
-    out = stored(now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
     discard(now)
     swept(edges.sparkSession)
     return out

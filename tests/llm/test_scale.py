@@ -1,6 +1,7 @@
 """Hot names, memory, and growth with the size of a group."""
 
 import random
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,42 @@ def test_components_of_stars_take_no_round(spark, monkeypatch):
     assert got == dict.fromkeys(range(-3, 31), -3) | dict.fromkeys(range(50, 60), 50) and not seen
 
 
+@contextmanager
+def _uncoalesced(spark):
+    """Shuffles keep their partitions, however few rows these hold."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_components_of_few_edges_in_many_partitions_take_no_round(spark, monkeypatch):
+    """Each partition holds a few edges of a long path; several rounds over all of them ran here before."""
+    seen, star = [], graph._star
+    monkeypatch.setattr(graph, "_star", lambda *a: seen.append(1) or star(*a))
+    nodes = list(range(-100, 100))
+    random.Random(3).shuffle(nodes)
+    edges = spark.createDataFrame([*zip(nodes, nodes[1:]), (500, 501), (7, 7), (600, 600)], "a long, b long").repartition(8)
+    with _uncoalesced(spark):
+        got = [(r.node, r.root) for r in graph.components(edges).collect()]
+        none = graph.components(edges.where("a = b")).collect()
+    assert sorted(got) == sorted((dict.fromkeys(nodes, -100) | {500: 500, 501: 500}).items()) and none == [] and not seen
+
+
+def test_components_of_more_edges_than_a_task_joins_up(spark, monkeypatch):
+    """Above the bound several tasks join up edges, and rounds between them go on."""
+    seen, star = [], graph._star
+    monkeypatch.setattr(graph, "_star", lambda *a: seen.append(1) or star(*a))
+    monkeypatch.setattr(graph, "AT_ONCE", 30)
+    nodes = list(range(-100, 100))
+    random.Random(4).shuffle(nodes)
+    edges = spark.createDataFrame([*zip(nodes, nodes[1:]), (500, 501)], "a long, b long").repartition(8)
+    with _uncoalesced(spark):
+        got = [(r.node, r.root) for r in graph.components(edges).collect()]
+    assert sorted(got) == sorted((dict.fromkeys(nodes, -100) | {500: 500, 501: 500}).items()) and seen
+
+
 def test_edges_are_joined_up_in_bounded_parts(monkeypatch):
     rng = random.Random(2)
     chain = [(k + 1, k) for k in range(-40, 60)]
